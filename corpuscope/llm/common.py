@@ -53,3 +53,25 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> DataFrame:
         return df
     span = 1 << 32
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(span)) < F.lit(span * rows // total))
+
+
+#: A key with more than one in so many of all rows is heavy; so there are fewer heavy keys than this, whatever the input.
+HEAVY_SHARE = 2000
+#: A table of at most so many rows (of a few dozen bytes each) may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with ``table``, whose column ``n`` tells how many of ``rows`` each key has (and goes away).
+
+    Heavy keys, of which there are fewer than HEAVY_SHARE by arithmetic, are joined by broadcast and so never meet in one
+    task; the rest, where no key is hot, by shuffle.
+    """
+    heavy = F.col("n") > max(1000, rows.count() // HEAVY_SHARE)
+    hot = rows.join(F.broadcast(table.where(heavy).drop("n")), keys)
+    return hot.unionByName(rows.join(table.where(~heavy).drop("n"), keys))
+
+
+def hint_small(table: DataFrame, most: int = BROADCAST_ROWS, weight: str = "1") -> DataFrame:
+    """Broadcast a written table if its rows (or what ``weight`` sums to) allow it; else leave the join to a shuffle."""
+    return F.broadcast(table) if (table.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0) <= most else table

@@ -16,10 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import small_batches, written
-
-#: A key that holds more than one in so many of all rows is heavy; so there are fewer heavy keys than this, whatever the input.
-HEAVY_SHARE = 2000
+from corpuscope.llm.common import join_skewed, small_batches, written
 
 
 def normalised(line: bytes) -> bytes:
@@ -77,11 +74,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     else:
         shared = keys.groupBy("h1", "h2", "doc").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.min("doc").alias("keep"), F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs).drop("docs")
     shared = written(shared, "line-shared")
-    # heavy keys are fewer than HEAVY_SHARE by arithmetic, so they may be broadcast; the rest has no hot key and is joined by a shuffle
-    is_heavy = F.col("n") > max(1000, keys.count() // HEAVY_SHARE)
-    hot = keys.join(F.broadcast(shared.where(is_heavy).drop("n")), ["h1", "h2"])
-    cold = keys.join(shared.where(~is_heavy).drop("n"), ["h1", "h2"])
-    lost = hot.union(cold).where("doc > keep").select("doc", "row", "places").distinct()
+    lost = join_skewed(keys, shared, ["h1", "h2"]).where("doc > keep").select("doc", "row", "places").distinct()
     drops = lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("__drop"))
     plain = docs.drop("n_lines", "n_dropped", "__drop", "__doc", "__row")
     keyed = plain.withColumns({"__doc": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.llm.common import SPACES
 from corpuscope.llm.line_dedup import dedup_lines
+from corpuscope.llm.ngram_join import near_duplicates
 from corpuscope.llm.quality_rules import score_quality
+from corpuscope.llm.substring_dedup import remove_repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +23,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), SPACES, " " * len(SPACES)), " "), "")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_line_dedup": op5_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_ngram_join": op2_ngram_join, "op3_substring_dedup": op3_substring_dedup, "op5_line_dedup": op5_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
