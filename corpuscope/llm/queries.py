@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from corpuscope.llm.common import SPACES
 from corpuscope.llm.line_dedup import dedup_lines
 from corpuscope.llm.ngram_join import near_duplicates
+from corpuscope.llm.packing import pack
 from corpuscope.llm.quality_rules import score_quality
+from corpuscope.llm.sentencepiece_codec import token_digests
 from corpuscope.llm.substring_dedup import remove_repeated_passages
 
 
@@ -38,8 +40,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of an installed public tokenizer file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=1024).drop("ids")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_ngram_join": op2_ngram_join, "op3_substring_dedup": op3_substring_dedup, "op5_line_dedup": op5_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_ngram_join": op2_ngram_join, "op3_substring_dedup": op3_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
