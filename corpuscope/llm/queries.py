@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import SPACES
+from corpuscope.llm.embedding_dedup import embedding_duplicates
+from corpuscope.llm.language_id import fit_language_model, identify_languages
 from corpuscope.llm.line_dedup import dedup_lines
 from corpuscope.llm.ngram_join import near_duplicates
 from corpuscope.llm.packing import pack
+from corpuscope.llm.pu_quality import fit_quality, score_documents
 from corpuscope.llm.quality_rules import score_quality
 from corpuscope.llm.sentencepiece_codec import token_digests
 from corpuscope.llm.substring_dedup import remove_repeated_passages
+from corpuscope.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,12 +59,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=1024).drop("ids")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_language_model(docs))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_ngram_join": op2_ngram_join, "op3_substring_dedup": op3_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op10_sentencepiece": op10_sentencepiece}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
