@@ -1,4 +1,59 @@
-"""The corpus pipeline: quality rules, line de-duplication, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, line de-duplication, near duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the last
+return the columns of documents (doc_id, text, lang, source, n_chars), with n_chars brought up to date where a stage
+rewrites texts. ``run`` writes every stage's result to the shared folder and reads it back as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscope.llm.common import written
+from corpuscope.llm.line_dedup import dedup_lines
+from corpuscope.llm.ngram_join import keep_one_per_group
+from corpuscope.llm.packing import pack
+from corpuscope.llm.quality_rules import score_quality
+from corpuscope.llm.substring_dedup import remove_repeated_passages
+from corpuscope.llm.tokenizer_files import tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or whose posterior quality is low go."""
+    return score_quality(docs.select(*COLUMNS), columns=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the first of them."""
+    return dedup_lines(docs.select(*COLUMNS), min_chars=10, min_docs=2).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more) stays."""
+    return keep_one_per_group(docs.select(*COLUMNS), shingle=5, percent=80).select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the first document that has them."""
+    return remove_repeated_passages(docs.select(*COLUMNS), window=50).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 1024 ids."""
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), size=1024).drop("ids")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_duplicates), ("substring_dedup", passages), ("packing", packing)]
+#: SQL cannot express tokenisation; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, in order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuscope.llm.common import SPACES
 from corpuscope.llm.embedding_dedup import embedding_duplicates
 from corpuscope.llm.language_id import fit_language_model, identify_languages
@@ -18,6 +19,7 @@ from corpuscope.llm.quality_rules import score_quality
 from corpuscope.llm.sentencepiece_codec import token_digests
 from corpuscope.llm.substring_dedup import remove_repeated_passages
 from corpuscope.llm.toxicity import fit_toxicity, score_toxicity
+from corpuscope.llm.tokenizer_files import tokenizer_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +50,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def tokenizer_file(name: str) -> str:
-    """The path of an installed public tokenizer file; operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=1024).drop("ids")
 
@@ -79,7 +74,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece)}
+    named = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
