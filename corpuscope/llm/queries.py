@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpuscope.llm import oracles
 from corpuscope.llm.common import SPACES
 from corpuscope.llm.embedding_dedup import embedding_duplicates
 from corpuscope.llm.language_id import fit_language_model, identify_languages
@@ -79,4 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators 6 to 10 and the pipeline need tokenizers or fitted models, which SQL lacks: tests hold them against brute force."""
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op2_ngram_join": oracles.ngram_join(),
+        "op3_substring_dedup": oracles.substring_dedup(),
+        "op4_embedding_dedup": oracles.embedding_dedup(),
+        "op5_line_dedup": oracles.line_dedup(),
+    }
