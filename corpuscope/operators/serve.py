@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.operators.stages import cut_lineage
+
 
 def edge_posts(posts: DataFrame, users: DataFrame, urls: DataFrame, titles: DataFrame) -> DataFrame:
     """Posts with author name and title (posts that lack either vanish) and their url, empty if none."""
@@ -48,13 +50,15 @@ def thread_heads(items: DataFrame) -> DataFrame:
 
 
 def thread_roots(items: DataFrame, max_depth: int = 4096) -> DataFrame:
-    """``id, root``: follow parents to the top by pointer doubling, log2(depth) self-joins."""
-    jump = items.select("id", F.coalesce("parent", "id").alias("root"))
+    """``id, root``: follow parents to the top by pointer doubling: log2(depth) self-joins, each cut from the last, until nothing moves."""
+    jump = cut_lineage(items.select("id", F.coalesce("parent", "id").alias("root")))
     reach = 1
     while reach < max_depth:
         up = jump.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jump = jump.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-        reach *= 2
+        moved = cut_lineage(jump.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if not moved.where("moved").limit(1).count():
+            break
+        jump, reach = moved.drop("moved"), reach * 2
     return jump
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.scalar import key_hash
+from corpuscope.operators.stages import cut_lineage
 
 #: Points of the coarsest level along an axis.
 BASE = 32
@@ -60,7 +61,7 @@ def lod_sample(points: DataFrame, meta: DataFrame) -> DataFrame:
             marked = marked.withColumn("second", F.lit(None).cast("int"))
         ranked = marked.select("id", F.coalesce("first", "second", F.lit(2)).alias("turn"))
         now = ranked.orderBy("turn", key_hash(F.col("id")), "id").limit((BASE << lod) ** 2).select("id")
-        before = now.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.persist()
+        before = cut_lineage(now)
         level = before.select(F.lit(lod).alias("lod"), "id")
         out = level if out is None else out.unionByName(level)
     last = points.select(F.lit(levels - 1).alias("lod"), "id")
