@@ -8,9 +8,9 @@ its E emptiest bands, and equal bands still name the pair. Candidates are then s
 sketches (a lower bound again) and verified on the shingle sets.
 
 Sets that are equal are one class from the start. Candidates are not paired within a bucket: each bucket is a star around
-its leader; verified stars are merged into components, and only buckets that still hold several components go on. Each
-further round tests a new leader of every such bucket against the members of other components and takes that leader out,
-so work stays linear in the bucket; no link between different components is missed.
+its leader, and verified stars are merged into components. Only buckets that still hold several components are looked at
+again, members against members of other components, on short sketches within bounded blocks; what comes out are the pairs
+that the sketches don't rule out, not the pairs of the bucket. No link between different components is missed.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from corpuscope.llm.common import hint_small, input_bytes, join_skewed, small_ba
 from corpuscope.llm.components import components
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
-#: Size bands grow by this factor; band rows a task gathers before it ships them; rows of one block of keys; bits of the short sketch.
-GROWTH, FLUSH_ROWS, BLOCK_ROWS, SHORT_BITS = 1.5, 3_000_000, 1_000_000, 2048
+#: Size bands grow by this factor; band rows a task gathers before it ships them; rows of one block of keys; bits of a sketch, and how often its short form folds it.
+GROWTH, FLUSH_ROWS, BLOCK_ROWS, SHORT_BITS, FOLDS = 1.5, 1_500_000, 1_000_000, 2048, 4
 #: More equal keys than this in one shipment are linked to their smallest document on the spot.
 LOCAL_STAR = 8
+#: Members of one block of a bucket, and bucket rows that one task compares.
+BUCKET_BLOCK, TASK_ROWS = 2048, 20_000
 
 
 def size_bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +178,8 @@ def _sets(n: int):
         for batch in batches:
             sets = _split(*shingles(batch.column(1).to_pylist(), n), batch.num_rows)
             sketches = [np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) % SHORT_BITS, minlength=SHORT_BITS) & 1).tobytes() for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.large_binary())], names=["cid", "n", "sketch", "tokens"])
+            short = [np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(FOLDS, -1), axis=0).tobytes() for s in sketches]  # parities add up
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(short, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "sketch", "short", "tokens"])
 
     return run
 
@@ -217,37 +220,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(sifted.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def _links(rows: DataFrame, sets: DataFrame, percent: int, most_pairs: int) -> DataFrame:
+def _across(percent: int):
+    """Of some buckets (or pairs of blocks of large ones): pairs across components that sizes and sketches don't rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, i, j, side, cid, comp, n = (table[c].to_numpy() for c in ("key", "i", "j", "side", "cid", "comp", "n"))
+        bits = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint64).reshape(len(key), -1)
+        order = np.lexsort((side, j, i, key))
+        key, i, j, side, cid, comp, n, bits = (x[order] for x in (key, i, j, side, cid, comp, n, bits))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        run_of = np.cumsum(new) - 1
+        starts, lengths = np.flatnonzero(new), np.bincount(run_of)
+        found: list[np.ndarray] = []
+
+        def keep(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent))
+            a, b = cid[a[ok]], cid[b[ok]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+
+        small = (lengths <= 64) & (i[starts] == j[starts])
+        for step in range(1, int(lengths[small].max(initial=1))):
+            a = np.flatnonzero(small[run_of[:-step]] & (run_of[step:] == run_of[:-step]))
+            keep(a, a + step, np.bitwise_count(bits[a] ^ bits[a + step]).sum(1).astype(np.int64))
+        for r in np.flatnonzero(~small).tolist():
+            rows = np.arange(starts[r], starts[r] + lengths[r])
+            same = i[starts[r]] == j[starts[r]]
+            left, right = (rows, rows) if same else (rows[side[rows] == 0], rows[side[rows] == 1])
+            for at in range(0, len(left), 128):
+                part = left[at : at + 128]
+                apart = np.zeros((len(part), len(right)), np.int64)
+                for w in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None])
+                near = apart * (100 + percent) <= (n[part][:, None] + n[right][None]) * (100 - percent)
+                x, y = np.nonzero(near & ((part[:, None] < right[None]) | (not same)))
+                keep(part[x], right[y], apart[x, y])
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Enough links between different sets to join every component: all components of links, not all links."""
     tested = written(rows.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     links = _linked(tested, sets, percent)
-    rest = rows.select("key", "cid").distinct()
-    turn = 0
-    while True:
-        label = components(links)
-        named = rest.join(hint_small(label.withColumnRenamed("id", "cid")), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("lead")).where("lo < hi").drop("lo", "hi")
-        mixed = written(mixed, "mixed")
-        size = mixed.agg(F.count("*").alias("keys"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
-        if not size["keys"]:
-            return links
-        rest = written(join_skewed(named, mixed, ["key"]), "rest")
-        last = size["pairs"] <= most_pairs
-        if last:  # what is left is few: all pairs across components
-            other = rest.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-            fresh = rest.join(other, "key").where("cid < b and comp <> comp_b").select(F.col("cid").alias("a"), "b")
-        else:
-            lead = rest.where("cid = lead").select("key", F.col("comp").alias("lead_comp"), F.lit(1).alias("n"))
-            fresh = rest.join(lead.drop("n"), "key").where("comp <> lead_comp").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-            rest = rest.where("cid <> lead").select("key", "cid")
-        fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.union(_linked(fresh, sets, percent)), "links")
-        if last:
-            return links
-        tested, turn = tested.union(fresh), turn + 1
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most_pairs: int = 500_000) -> DataFrame:
+    named = rows.select("key", "cid").distinct().join(hint_small(components(links).withColumnRenamed("id", "cid")), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    mixed = written(mixed.where("lo < hi and n > 2").select("key", "n", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")), "mixed")  # of two, the star is the pair
+    size = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    if not size:
+        return links
+    rest = join_skewed(named, mixed, ["key"]).join(sets.select("cid", "n", "short"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "short")
+    tasks = max(96, int(size) // TASK_ROWS)
+    fresh = dealt.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).groupBy("task").applyInArrow(_across(percent), "a long, b long")
+    fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    return written(links.union(_linked(fresh, sets, percent)), "links")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text) -> one row per input row: ``doc_id, n_shingles, component_id``.
 
     Two documents link when 100 * intersection >= percent * union of their distinct shingles (of ``shingle`` words, A-Z
@@ -275,8 +307,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, most_p
     shipped = firsts.mapInArrow(_ship(shingle, percent, blocks), "kind int, block long, keys binary, docs binary, leaders binary")
     rows = written(shipped.groupBy("kind", "block").applyInArrow(_meet, "key long, cid long, leader long"), "buckets")
     wanted = written(rows.select(F.col("cid").alias("doc")).distinct(), "wanted")
-    sets = written(firsts.join(hint_small(wanted), "doc", "left_semi").mapInArrow(_sets(shingle), "cid long, n long, sketch binary, tokens binary"), "sets")
-    found = components(_links(rows, sets, percent, most_pairs)).withColumnRenamed("id", "cid")
+    sets = written(firsts.join(hint_small(wanted), "doc", "left_semi").mapInArrow(_sets(shingle), "cid long, n long, sketch binary, short binary, tokens binary"), "sets")
+    found = components(_links(rows, sets, percent)).withColumnRenamed("id", "cid")
 
     grouped = member.select("doc", "cid").join(found, "cid", "left").select("doc", F.coalesce("component", "cid").alias("component_id"))
     alone = found.join(member.select("cid").distinct(), "cid", "left_anti").select(F.col("cid").alias("doc"), F.col("component").alias("component_id"))
