@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import written
+from corpuscope.llm.common import hint_small, written
 from corpuscope.llm.line_dedup import dedup_lines
 from corpuscope.llm.ngram_join import keep_one_per_group
 from corpuscope.llm.packing import pack
@@ -22,8 +22,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or whose posterior quality is low go."""
-    return score_quality(docs.select(*COLUMNS), columns=COLUMNS).where("kept").select(*COLUMNS)
+    """Documents that fail the base rules or whose posterior quality is low go.
+
+    Verdicts are written without texts; texts pass through untouched. A row is known by its doc_id and a hash of its text.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("__row", F.xxhash64("text"))
+    verdicts = score_quality(keyed, columns=["doc_id", "__row"])
+    rejected = hint_small(written(verdicts.where("not kept").select(F.col("doc_id").alias("__doc"), F.col("__row").alias("__hash")).distinct(), "rejected"))
+    return keyed.join(rejected, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__hash")), "left_anti").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
