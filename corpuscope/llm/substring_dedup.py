@@ -24,19 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import BROADCAST_ROWS, hint_small, input_bytes, join_skewed, small_batches, written
+from corpuscope.llm.common import hint_small, input_bytes, join_skewed, small_batches, written
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
 #: Cells of one block of one row of the sketch (2^23), windows a task counts before it ships them, and input bytes of a chunk.
-BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 4_000_000, 12_000_000
+BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 1_500_000, 20_000_000
 #: Cells of a row for each window, at least; with two rows, about one unrepeated window in thirty is passed on.
 CELLS_PER_WINDOW = 4
 
 
-def _cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each window in either row of the sketch."""
-    drop = np.uint64(64 - bits)
-    return h >> drop, mix(h * MIX_3) >> drop
+def _cell(h: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The cell of each window in a row of the sketch."""
+    return (mix(h * MIX_3) if row else h) >> np.uint64(64 - bits)
 
 
 def _pack(sorted_offsets: np.ndarray) -> bytes:
@@ -54,22 +53,30 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(keys[0]))
 
 
+def _by_chunk(cell: np.ndarray, chunk: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by chunk, then cell; as one packed key where both fit."""
+    if bits + int(chunk.max(initial=0)).bit_length() <= 64:
+        key = (chunk.astype(np.uint64) << np.uint64(bits)) | cell
+        key.sort()
+        return key & np.uint64((1 << bits) - 1), (key >> np.uint64(bits)).astype(np.int64)
+    order = np.lexsort((cell, chunk))
+    return cell[order], chunk[order]
+
+
 def _first_of_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Mask: each distinct window of a text once."""
-    order = np.lexsort((text, h))
+    order = np.argsort(h, kind="stable")  # texts come in order, so equal windows stay sorted by text
     keep = np.zeros(len(h), bool)
     keep[order[_runs(h[order], text[order])[:-1]]] = True
     return keep
 
 
 def _sketch(window: int, bits: int):
-    def flush(cells: list[np.ndarray], chunks: list[np.ndarray]) -> pa.RecordBatch:
-        chunk = np.concatenate(chunks)
+    def flush(hashes: list[np.ndarray], chunks: list[np.ndarray]) -> pa.RecordBatch:
+        h, chunk = np.concatenate(hashes), np.concatenate(chunks)
         out: list[list] = [[], [], [], []]
         for row in (0, 1):
-            cell = np.concatenate([c[row] for c in cells])
-            order = np.lexsort((cell, chunk))
-            c, k = cell[order], chunk[order]
+            c, k = _by_chunk(_cell(h, bits, row), chunk, bits)
             third = np.ones(len(c), bool)  # counts saturate at 2: a third equal cell of a chunk adds nothing
             third[2:] = (c[2:] != c[:-2]) | (k[2:] != k[:-2])
             c, k = c[third], k[third]
@@ -83,20 +90,19 @@ def _sketch(window: int, bits: int):
         return pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row", "block", "chunk", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, chunks, held = [], [], 0
+        hashes, chunks, held = [], [], 0
         for batch in batches:
             words, ends = word_hashes([t.encode() for t in batch.column(1).to_pylist()])
             h, text, _ = window_hashes(words, ends, window)
             keep = _first_of_text(h, text)
-            h, text = h[keep], text[keep]
-            cells.append(_cells(h, bits))
-            chunks.append(batch.column(0).to_numpy()[text])
-            held += len(h)
+            hashes.append(h[keep])
+            chunks.append(batch.column(0).to_numpy().astype(np.int32)[text[keep]])
+            held += len(hashes[-1])
             if held >= FLUSH_WINDOWS:
-                yield flush(cells, chunks)
-                cells, chunks, held = [], [], 0
+                yield flush(hashes, chunks)
+                hashes, chunks, held = [], [], 0
         if held:
-            yield flush(cells, chunks)
+            yield flush(hashes, chunks)
 
     return run
 
@@ -131,7 +137,8 @@ def _lookup(window: int, bits: int):
                 words, ends = word_hashes([t.encode() for t in batch.column("text").to_pylist()])
                 h, text, place = window_hashes(words, ends, window)
                 hit = np.ones(len(h), bool)
-                for cells, known in zip(_cells(h, bits), found, strict=True):
+                for row, known in enumerate(found):
+                    cells = _cell(h, bits, row)
                     at = np.searchsorted(known, cells)
                     hit &= known[np.minimum(at, len(known) - 1)] == cells
                 if hit.any():
@@ -191,7 +198,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     cuts = written(starts.withColumn("__whole", F.lit(False)).unionByName(copies.select("doc", "row", F.array().cast("array<int>").alias("__starts"), F.lit(True).alias("__whole"))), "cuts")
 
     plain = docs.drop("n_words", "n_removed", "__starts", "__whole", "__doc", "__row")
-    joined = plain.withColumns({"__doc": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")}).join(hint_small(cuts.withColumnsRenamed({"doc": "__doc", "row": "__row"}), 10 * BROADCAST_ROWS, "10 + size(__starts)"), ["__doc", "__row"], "left")
+    joined = plain.withColumns({"__doc": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")}).join(hint_small(cuts.withColumnsRenamed({"doc": "__doc", "row": "__row"}), weight="10 + size(__starts)"), ["__doc", "__row"], "left")
     names, at = plain.columns, plain.columns.index("text")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
