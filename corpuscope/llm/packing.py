@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 from corpuscope.llm.common import hint_small, small_batches, written
 
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: How byte-level BPE files of this kind split text, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Punctuation that ends words and is split from them.
+ENDINGS = ".,;:!?"
 _ENCODERS: dict[str, tuple[Callable[[str], list[int]], dict[str, bytes | None]]] = {}
 
 
@@ -99,7 +101,14 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         for c in chunks:
             if c not in known:
                 word = c[1:] if c[:1] == " " else c
-                known[c] = as_bytes(encode(c)) if word and not word[0].isspace() else None
+                stem = word.rstrip(ENDINGS)
+                if stem != word and stem.isalpha() and max(stem) < "\u0250":  # letters, then punctuation: two pieces of their own
+                    for part in (c[: len(c) - len(word) + len(stem)], word[len(stem) :]):
+                        if part not in known:
+                            known[part] = as_bytes(encode(part))
+                    known[c] = known[c[: len(c) - len(word) + len(stem)]] + known[word[len(stem) :]]
+                else:
+                    known[c] = as_bytes(encode(c)) if word and not word[0].isspace() else None
         parts = [known[c] for c in chunks]
         out.append(as_bytes(encode(text)) if None in parts else b"".join(parts))
     return out
