@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import hint_small, input_bytes, join_skewed, small_batches, written
@@ -267,15 +267,19 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = _linked(tested, sets, percent)
     named = rows.select("key", "cid").distinct().join(hint_small(components(links).withColumnRenamed("id", "cid")), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("first"), F.count("*").alias("n"))
-    mixed = written(mixed.where("lo < hi and n > 2").select("key", "first", "n", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")), "mixed")  # of two, the star is the pair
+    mixed = mixed.where("lo < hi and n > 2").select("key", "first", "n", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))  # of two, the star is the pair
+    # no more buckets than a set has bands share their smallest member
+    mixed = written(mixed.withColumn("load", F.sum(F.col("n") * F.col("blocks")).over(Window.partitionBy("first"))), "mixed")
     size = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
     if not size:
         return links
     rest = join_skewed(named, mixed, ["key"]).join(sets.select("cid", "n", "short"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "first", "cid", "comp", "n", "short")
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "first", "load", "cid", "comp", "n", "short")
     tasks = max(96, int(size) // TASK_ROWS)
-    # buckets of one group of texts have few smallest members: sent to the same few tasks, they name a pair only once or twice
-    fresh = dealt.withColumn("task", F.pmod(F.xxhash64("first", F.pmod("key", F.lit(2)), "i", "j"), F.lit(tasks))).drop("first").groupBy("task").applyInArrow(_across(percent), "a long, b long")
+    # buckets of one group of texts have few smallest members: sent to the same task, they name a pair only once; those of
+    # a large group go to as many tasks as its share of all bucket rows asks for
+    slot = F.pmod(F.xxhash64("key"), F.ceil(F.col("load") * tasks / int(size)))
+    fresh = dealt.withColumn("task", F.pmod(F.xxhash64("first", slot, "i", "j"), F.lit(tasks))).drop("first", "load").groupBy("task").applyInArrow(_across(percent), "a long, b long")
     fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     return written(links.union(_linked(fresh, sets, percent)), "links")
 
