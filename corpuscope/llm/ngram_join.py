@@ -31,6 +31,8 @@ from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 GROWTH, FLUSH_ROWS, BLOCK_ROWS, SHORT_BITS, FOLDS = 1.5, 1_500_000, 1_000_000, 2048, 4
 #: More equal keys than this in one shipment are linked to their smallest document on the spot.
 LOCAL_STAR = 8
+#: Rows of stars that are shipped as one piece, to any block: they need not meet again.
+STAR_ROWS = 65_536
 #: Members of one block of a bucket, and bucket rows that one task compares.
 BUCKET_BLOCK, TASK_ROWS = 2048, 20_000
 
@@ -134,7 +136,12 @@ def _ship(n: int, percent: int, blocks: int):
         for kind, mask in ((0, ~star | head), (1, star)):
             k, d, leader = key[mask], doc[mask], doc[first[run[mask]]]
             block = ((k >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            edges = np.append(np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1)), len(k))
+            if kind:  # by piece, as all rows of one hot key would be one block
+                piece = np.arange(len(k)) // STAR_ROWS * STAR_ROWS
+                block = mix(k[piece] ^ doc[mask][piece].view(np.uint64)) % np.uint64(blocks)
+                edges = np.append(np.arange(0, len(k), STAR_ROWS), len(k))
+            else:
+                edges = np.append(np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1)), len(k))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for column, value in zip(out, (kind, int(block[a]), k[a:b].tobytes(), d[a:b].tobytes(), leader[a:b].tobytes() if kind else None), strict=True):
                     column.append(value)
