@@ -3,14 +3,15 @@
 The normaliser is the compiled character map of the model file: a double-array trie of prefixes and the strings that
 replace them. At each place the longest prefix in the trie wins; what the trie doesn't know stays, one character at a time.
 Every byte of the normalised text remembers the source byte it came from, so that every piece of the encoding projects to
-a byte span of the original. Pieces and ids come from the sentencepiece library.
+a byte span of the original. All rows are made from such pieces: pieces must spell the normalised text byte by byte, and
+the ids of pieces that were met word by word must be those of the sentencepiece library for the whole text.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,11 +83,32 @@ class Codec:
         across = re.compile(f"[^{SPACE}]{SPACE}")
         # words may be encoded one by one if no piece reaches over the start of a word and spaces are kept as they are
         self.by_word = self.prefix and self.escape and not (self.trim or self.suffix or own or self.map.units or any(across.search(p.piece) for p in proto.pieces))
+        self.spelled = [self._spelling(i) for i in range(self.sp.vocab_size())]
+        self.widths = np.asarray([len(x) for x in self.spelled], np.int64)
         self.ends = np.asarray([self.sp.bos_id()], "<u4").tobytes(), np.asarray([self.sp.eos_id()], "<u4").tobytes()
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+    def _spelling(self, number: int) -> bytes:
+        """The normalised bytes that a piece stands for; the unknown piece has none of its own."""
+        if self.sp.is_byte(number):
+            return bytes([int(self.sp.id_to_piece(number)[3:-1], 16)])
+        if self.sp.is_control(number) or self.sp.is_unknown(number):
+            return b""
+        return self._written(self.sp.id_to_piece(number))
+
+    def _written(self, piece: str) -> bytes:
+        return (piece if self.escape else piece.replace(SPACE, " ")).encode()
+
+    def normalise(self, text: str) -> tuple[bytes, Sequence[int]]:
         """Normalised bytes, and for each of them and the end the source byte where it begins."""
         raw, parts = text.encode(), []  # (replacement, where it came from)
+        if raw and self.prefix and self.escape and not (self.user or self.map.units or self.trim or self.suffix):
+            # nothing is replaced but spaces: the same alignment, for all bytes at once
+            space, each = SPACE.encode(), np.frombuffer(raw, np.uint8)
+            starts = np.arange(len(raw))
+            if not text.isascii():
+                starts = np.maximum.accumulate(np.where(each & 0xC0 == 0x80, 0, starts))
+            source = np.repeat(starts, np.where(each == 0x20, len(space), 1))
+            return space + raw.replace(b" ", space), np.concatenate([np.zeros(len(space), np.int64), source, [len(raw)]])
         at = 0
         while at < len(raw):
             user = next((u for u in self.user if raw.startswith(u, at)), None)
@@ -130,14 +152,36 @@ class Codec:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(piece, id, begin, end) with byte offsets in the original text; begin and end ids are not among them."""
+        ids = np.frombuffer(self.encode([text])[0], "<u4")[1:-1]
+        at = self.align(text, ids).tolist()
+        return [(p, int(i), *at[k : k + 2]) for k, (p, i) in enumerate(zip(self.sp.encode(text, out_type=str), ids, strict=True))]
+
+    def align(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """The byte of ``text`` where each piece begins, and the end of the text; pieces must spell the normalised text."""
         normal, source = self.normalise(text)
-        out, at = [], 0
-        for piece, number in zip(self.sp.encode(text, out_type=str), self.sp.encode(text), strict=True):
-            width = 1 if self.sp.is_byte(number) else len((piece if self.escape else piece.replace(SPACE, " ")).encode())
-            out.append((piece, number, source[at], source[at + width]))
-            at += width
-        if at != len(normal):
-            raise ValueError(f"pieces cover {at} of {len(normal)} normalised bytes")
+        if self.sp.unk_id() in ids:  # an unknown piece is as long as what it stands for
+            surfaces = self.sp.encode(text, out_type=str)
+            parts = [self.spelled[i] or self._written(p) for p, i in zip(surfaces, ids.tolist(), strict=True)]
+            widths = np.asarray([len(p) for p in parts], np.int64)
+        else:
+            parts, widths = [self.spelled[i] for i in ids.tolist()], self.widths[ids]
+        if b"".join(parts) != normal:
+            raise ValueError(f"pieces do not spell the {len(normal)} normalised bytes")
+        at = np.asarray(source)[np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)]
+        at[-1] = len(text.encode()) if len(ids) == 0 else at[-1]
+        return at.astype("<u4")
+
+    def encode_aligned(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text the ids as in :meth:`encode`, and as little-endian uint32 where its pieces begin, then its length in bytes.
+
+        Ids joined from words met before are held against the library's encoding of the whole text.
+        """
+        out = []
+        for text, ids in zip(texts, self.encode(texts), strict=True):
+            inner = np.frombuffer(ids, "<u4")[1:-1]
+            if self.by_word and not np.array_equal(inner, self.sp.encode(text)):
+                raise ValueError("words encoded one by one differ from the whole text")
+            out.append((ids, self.align(text, inner).tobytes()))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -187,20 +231,22 @@ def encode_spans(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id``, ``ids`` (binary, little-endian uint32, begin and end ids included) and ``decoded``, the library's decoding of the ids.
+    """``doc_id``, ``ids`` (binary, little-endian uint32, begin and end ids included), ``offsets`` and ``decoded``, the library's decoding of the ids.
 
+    offsets (binary, little-endian uint32): the byte of the text where each piece begins, then the text's length.
     A null text is an empty one. Repeated rows and null ids are encoded like any other; other columns are not carried.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = codec(model).encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(codec(model).decode(ids), pa.string())], names=["doc_id", "ids", "decoded"])
+            pieces = codec(model).encode_aligned([t or "" for t in batch.column(1).to_pylist()])
+            ids = [i for i, _ in pieces]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([o for _, o in pieces], pa.binary()), pa.array(codec(model).decode(ids), pa.string())], names=["doc_id", "ids", "offsets", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
 def token_digests(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of :func:`encode_ids`."""
-    return encode_ids(docs, model).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of :func:`encode_ids`; n_tokens counts the aligned pieces, the begin and the end."""
+    return encode_ids(docs, model).select("doc_id", (F.octet_length("offsets") / 4 + 1).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

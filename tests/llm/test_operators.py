@@ -303,6 +303,36 @@ def test_sentencepiece_ids_and_spans(docs, none):
     assert sentencepiece_codec.token_digests(none, path).count() == 0
 
 
+def test_sentencepiece_query_path_aligns_every_document(docs, spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    c = sentencepiece_codec.Codec(path)
+    more = [" a  b ", "▁x ▁", "\U0001f600 <s> \x00 é", " ", "a▁ b"]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    texts = Counter(t or "" for _, t in ids(corpus())) + Counter(more)
+    seen = Counter()
+    for r in sentencepiece_codec.encode_ids(rows, path).collect():
+        at = np.frombuffer(r["offsets"], "<u4").tolist()
+        text = next(t for t in texts if c.encode([t])[0] == bytes(r["ids"]))
+        raw, want, byte = text.encode(), [], 0
+        # where pieces begin, by walking over characters
+        source = [0, 0, 0] * bool(text)
+        for ch in text:
+            source += [byte] * (3 if ch == " " else len(ch.encode()))
+            byte += len(ch.encode())
+        k = 0
+        for i in np.frombuffer(r["ids"], "<u4")[1:-1].tolist():
+            want.append(source[k])
+            k += 1 if c.sp.is_byte(i) else len(c.sp.id_to_piece(i).encode())
+        assert at == [*want, len(raw)]
+        seen[text] += 1
+    assert seen == texts
+    c.known["one"] = c.encode(["two"])[0][4:-4]
+    with pytest.raises(ValueError, match="differ"):
+        c.encode_aligned(["one"])
+    with pytest.raises(ValueError, match="spell"):
+        c.align("one", np.asarray(c.sp.encode("two")))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_compiled_character_map(rule):
     import sentencepiece
