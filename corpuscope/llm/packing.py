@@ -35,7 +35,8 @@ REMEMBERED = 400_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Punctuation that ends words and is split from them.
 ENDINGS = ".,;:!?"
-_ENCODERS: dict[str, tuple[Callable[[str], list[int]], dict[str, bytes | None]]] = {}
+_ENCODERS: dict[str, tuple[Callable[[str], list[int]], dict[str, bytes | None] | None, tuple[str, ...]]] = {}
+_LIBRARY: dict[str, Callable[[str], list[int]]] = {}
 
 
 def _byte_of() -> dict[str, int]:
@@ -58,26 +59,34 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
-def _encoder_of(path: str) -> tuple[Callable[[str], list[int]], dict[str, bytes | None]]:
-    """A function from text to ids, and the ids of chunks met, once per process.
+def _library_of(path: str) -> Callable[[str], list[int]]:
+    """The file's own library with its defaults, loaded once per process when it is first needed."""
+    if path not in _LIBRARY:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        _LIBRARY[path] = lambda text: tok.encode(text, add_special_tokens=False).ids
+    return _LIBRARY[path]
+
+
+def _encoder_of(path: str) -> tuple[Callable[[str], list[int]], dict[str, bytes | None] | None, tuple[str, ...]]:
+    """A function from text to ids, the ids of chunks met, and the strings of added tokens, once per process.
 
     Where the file allows it, the same tables run in tiktoken, which is several times as fast as tokenizers and gives the same
-    ids; otherwise the file's own library does. Strings of special tokens in a text are ordinary text.
+    ids for texts without an added token's string; otherwise the file's own library does.
     """
     if path not in _ENCODERS:
         with open(path, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
+            spec = json.load(f)
+        ranks = _ranks(spec)
         if ranks is not None:
             import tiktoken
 
             encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            encode = lambda text: tok.encode(text, add_special_tokens=False).ids
-        _ENCODERS[path] = encode, {} if ranks is not None else None
+            encode = _library_of(path)
+        added = tuple(t["content"] for t in spec.get("added_tokens", []))
+        _ENCODERS[path] = encode, {} if ranks is not None else None, added
     return _ENCODERS[path]
 
 
@@ -85,15 +94,19 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Little-endian uint32 ids of each text, as the tokenizer file at ``path`` gives them.
 
     Byte-level BPE never joins across a space that is followed by a non-space, so texts are split there and each distinct
-    chunk is encoded once per worker. A text with other runs of white space is encoded whole.
+    chunk is encoded once per worker. A text with other runs of white space is encoded whole. A text that holds the string of
+    an added token goes whole to the file's own library, which gives that string its one id.
     """
-    encode, known = _encoder_of(path)
+    encode, known, added = _encoder_of(path)
     as_bytes = lambda ids: np.asarray(ids, "<u4").tobytes()
     out = []
     for text in texts:
         if known is None:
             out.append(as_bytes(encode(text)))
             continue
+        if any(a in text for a in added):
+            out.append(as_bytes(_library_of(path)(text)))
+            continue
         if len(known) > REMEMBERED:
             known.clear()
         first, *rest = text.split(" ")

@@ -260,6 +260,21 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z <|endoftext", "one\n<|endoftext|> two", "no such token here"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in packing.encode_texts(texts, path)] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(rows, path, size=256).collect()
+    parts = {d: b"".join(bytes(r["ids"]) for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] == d) for d in range(len(texts))}
+    assert {d: np.frombuffer(i, "<u4").tolist()[:-1] for d, i in parts.items()} == dict(enumerate(want))
+    assert all(r["doc_tokens"] == len(want[r["doc_id"]]) + 1 for r in got)
+
+
 def test_packing_plan_covers_any_histogram():
     r = random.Random(2)
     for size in (8, 64, 100):
