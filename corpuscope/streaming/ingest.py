@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from corpuscope.operators.upsert import upsert_latest
 #: Requests an origin gets per window, and the windows' length.
 PER_WINDOW, WINDOW = 25, "1 second"
 MOST_FAILURES = 8
+#: Errors that are worth a retry.
+RAISES = ("connect", "request", "timeout", "429", "5xx")
 
 
 def settled(items: DataFrame, as_of: str, hours: int = 48, ts: str = "ts") -> DataFrame:
@@ -54,7 +58,7 @@ def admitted_stream(requests: DataFrame, origin: str = "origin", ts: str = "ts",
 
 def failure_level(level: int, outcome: str) -> int:
     """Next failure level of an origin: retriable errors raise it, other errors lower it, a success leaves it."""
-    if outcome in ("connect", "request", "timeout", "429", "5xx"):
+    if outcome in RAISES:
         return min(MOST_FAILURES, level + 1)
     return level if outcome == "ok" else max(0, level - 1)
 
@@ -65,11 +69,40 @@ def error_code(status: Column, error: Column) -> Column:
 
 
 def failure_levels(outcomes: DataFrame, origin: str = "origin", order: str = "id") -> DataFrame:
-    """``origin, level, blocked_s``: each origin's failure level after its outcomes in order; a level f blocks for 2^f seconds."""
-    history = outcomes.groupBy(origin).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "outcome"))), lambda r: r["outcome"]).alias("h"))
-    raises = ("connect", "request", "timeout", "429", "5xx")
-    after = F.aggregate("h", F.lit(0), lambda s, o: F.when(o.isin(*raises), F.least(s + 1, F.lit(MOST_FAILURES))).when(o == "ok", s).otherwise(F.greatest(s - 1, F.lit(0))))
-    return history.select(origin, after.alias("level")).withColumn("blocked_s", F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level"))).otherwise(F.lit(0.0)))
+    """``origin, level, blocked_s``: each origin's failure level after its outcomes in order; a level f blocks for 2^f seconds.
+
+    A run of outcomes maps a level s to min(high, max(low, s + shift)), and such maps compose. Rows are dealt by ranges of
+    (origin, order), so a hot origin spreads over many tasks; each task folds its sorted rows as they stream by into one map per
+    origin, and an origin's maps, at most one per task, are applied in order.
+    """
+    rows = outcomes.select(F.col(origin).alias("origin"), F.col(order).alias("at"), "outcome")
+    dealt = rows.repartitionByRange("origin", "at", "outcome").sortWithinPartitions("origin", "at", "outcome")
+    folded = dealt.mapInArrow(_folded, T.StructType([rows.schema["origin"], T.StructField("part", T.IntegerType()), *[T.StructField(n, T.IntegerType()) for n in ("shift", "low", "high")]]))
+    maps = folded.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("part", "shift", "low", "high"))).alias("maps"))
+    level = F.aggregate("maps", F.lit(0), lambda s, m: F.least(m["high"], F.greatest(m["low"], s + m["shift"])))
+    return maps.select(F.col("origin").alias(origin), level.alias("level")).withColumn("blocked_s", F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level"))).otherwise(F.lit(0.0)))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per origin of a partition sorted by origin and order; partitions are numbered in the order of their ranges."""
+    part, now, shift, low, high = TaskContext.get().partitionId(), None, 0, 0, MOST_FAILURES
+    for batch in batches:
+        kind, done = batch.schema.field(0).type, []
+        for origin, outcome in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if now is None or origin != now[0]:
+                if now is not None:
+                    done.append((now[0], part, shift, low, high))
+                now, shift, low, high = (origin,), 0, 0, MOST_FAILURES
+            shift += 1 if outcome in RAISES else 0 if outcome == "ok" else -1
+            low, high = failure_level(low, outcome), failure_level(high, outcome)
+        yield _maps(done, kind)
+    if now is not None:
+        yield _maps([(now[0], part, shift, low, high)], kind)
+
+
+def _maps(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.record_batch([pa.array(list(c), kind if i == 0 else pa.int32()) for i, c in enumerate(columns)], names=["origin", "part", "shift", "low", "high"])
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 1, glob: str = "events.parquet") -> DataFrame:

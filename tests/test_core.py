@@ -1,6 +1,7 @@
 """Functions, the declarative query, the map, upserts and streams on small frames."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -186,6 +187,24 @@ def test_failure_levels(spark):
     assert got == {"a": (level, math.pow(2, level)), "b": (0, 0.0)}
 
 
+def test_failure_levels_fold_a_hot_origin_in_many_tasks(spark):
+    r = random.Random(5)
+    rows = [(o, i, r.choice(["timeout", "timeout", "404", "ok", None, "5xx"])) for i in range(6000) for o in ([1] if i % 3 else [1, 2 + i % 7, None])]
+    want = {}
+    for o, i, outcome in rows:
+        want[o] = ingest.failure_level(want.get(o, 0), outcome)
+    data = spark.createDataFrame(r.sample(rows, len(rows)), "origin long, id long, outcome string")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = ingest.failure_levels(data)
+        assert {x["origin"]: x["level"] for x in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and plan.index("collect_list") < plan.index("MapInArrow")  # only folded maps are gathered
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
 def test_entry_lists_queries_and_oracles():
     import __spark_entry__
 
