@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.functions import html, scalar, vectors
-from corpuscope.operators import features, serve, spatial, upsert
+from corpuscope.operators import features, ml, serve, spatial, upsert
 from corpuscope.plans.query import Clip, Dataset, GroupByOutput, HeatmapOutput, ItemsOutput, QueryInput, compile_query
 from corpuscope.sources import tables
 from corpuscope.streaming import ingest
@@ -205,6 +206,18 @@ def test_failure_levels_fold_a_hot_origin_in_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", kept)
 
 
+def test_neighbour_lists_deal_blocks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 8, raising=False)
+    v = np.random.default_rng(3).normal(size=(100, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    found = ml.neighbour_lists(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), 3)
+    assert re.search(r"pmod\(xxhash64\([^)]*\), cast\(13 as bigint\)\)", found._jdf.queryExecution().analyzed().toString())
+    sims = v @ v.T
+    np.fill_diagonal(sims, -np.inf)
+    got = {r["vec_id"]: [n["id"] for n in r["neighbours"]] for r in found.collect()}
+    assert got == {i: np.argsort(-sims[i])[:3].tolist() for i in range(100)}
+
+
 def test_entry_lists_queries_and_oracles():
     import __spark_entry__
 
