@@ -7,27 +7,34 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Votes in the order of the default rules, and the rounds of EM.
+_ENOUGH = "n_words < 20 THEN 0 WHEN "
 _VOTES = {
-    "v0": "CASE WHEN n_words < 10 THEN -1 ELSE 0 END",
-    "v1": "CASE WHEN n_words >= 20 AND n_symbols / n_words >= 0.1 THEN -1 ELSE 0 END",
-    "v2": "CASE WHEN n_words >= 20 AND n_letters > 0 AND n_upper / n_letters >= 0.45 THEN -1 ELSE 0 END",
-    "v3": "CASE WHEN n_words >= 20 AND n_repeat_words / n_words >= 0.45 THEN -1 ELSE 0 END",
-    "v4": "CASE WHEN n_words >= 20 AND (word_chars / n_words < 2 OR word_chars / n_words > 15) THEN -1 ELSE 0 END",
-    "v5": "CASE WHEN n_words BETWEEN 20 AND 2000 AND n_distinct / n_words < 0.12 THEN -1 ELSE 0 END",
-    "v6": "CASE WHEN n_lines >= 4 AND n_dup_lines / n_lines >= 0.5 THEN -1 ELSE 0 END",
-    "v7": "CASE WHEN n_words >= 20 AND n_letters / word_chars <= 0.75 THEN -1 ELSE 0 END",
-    "v8": "CASE WHEN n_words >= 30 AND n_letters > 0 AND n_symbols / n_words < 0.02 AND n_upper / n_letters <= 0.2 AND n_repeat_words / n_words <= 0.1 AND n_letters / word_chars >= 0.85 AND word_chars / n_words BETWEEN 3 AND 10 THEN 1 ELSE 0 END",
+    "v0": "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 30 THEN 1 ELSE 0 END",
+    "v1": f"CASE WHEN {_ENOUGH} n_symbols / n_words >= 0.1 THEN -1 WHEN n_symbols / n_words < 0.02 THEN 1 ELSE 0 END",
+    "v2": f"CASE WHEN {_ENOUGH} n_letters = 0 THEN 0 WHEN n_upper / n_letters >= 0.45 THEN -1 WHEN n_upper / n_letters <= 0.2 THEN 1 ELSE 0 END",
+    "v3": f"CASE WHEN {_ENOUGH} n_repeat_words / n_words >= 0.45 THEN -1 WHEN n_repeat_words / n_words <= 0.1 THEN 1 ELSE 0 END",
+    "v4": f"CASE WHEN {_ENOUGH} (word_chars / n_words < 2 OR word_chars / n_words > 15) THEN -1 WHEN word_chars / n_words BETWEEN 3 AND 10 THEN 1 ELSE 0 END",
+    "v5": f"CASE WHEN {_ENOUGH} n_words <= 2000 AND n_distinct / n_words < 0.12 THEN -1 WHEN n_distinct / n_words >= 0.3 THEN 1 ELSE 0 END",
+    "v6": "CASE WHEN n_lines < 4 THEN 0 WHEN n_dup_lines / n_lines >= 0.5 THEN -1 WHEN n_dup_lines / n_lines <= 0.2 THEN 1 ELSE 0 END",
+    "v7": f"CASE WHEN {_ENOUGH} n_letters / word_chars <= 0.75 THEN -1 WHEN n_letters / word_chars >= 0.85 THEN 1 ELSE 0 END",
+    "v8": f"CASE WHEN {_ENOUGH} n_marks / n_words >= 0.1 THEN -1 WHEN n_marks / n_words < 0.03 THEN 1 ELSE 0 END",
 }
-_ROUNDS = 12
+_ROUNDS = 15
 
 
 def quality_rules() -> str:
-    odds = lambda m: f"ln({m}.prior / (1 - {m}.prior)) + " + " + ".join(f"{v} * ln({m}.a{i} / (1 - {m}.a{i}))" for i, v in enumerate(_VOTES))
-    rounds = ["m0 AS (SELECT 0.8::DOUBLE AS prior, " + ", ".join(f"0.95::DOUBLE AS a{i}" for i in range(len(_VOTES))) + ")"]
+    odds = lambda m: f"ln({m}.prior / (1 - {m}.prior)) + " + " + ".join(f"CASE {v} WHEN 1 THEN ln({m}.g{i} / (1 - {m}.b{i})) WHEN -1 THEN ln((1 - {m}.g{i}) / {m}.b{i}) ELSE 0 END" for i, v in enumerate(_VOTES))
+    rounds = ["m0 AS (SELECT 0.8::DOUBLE AS prior, " + ", ".join(f"0.97::DOUBLE AS g{i}, 0.4::DOUBLE AS b{i}" for i in range(len(_VOTES))) + ")"]
+    share = lambda right, votes, mean, every: f"CASE WHEN {every} > 0 THEN (coalesce({right}, 0) + 0.02 * {every} * {mean}) / ({votes} + 0.02 * {every}) ELSE {mean} END"
     for k in range(_ROUNDS):
-        e = f"e{k} AS (SELECT votes.*, 1 / (1 + exp(-({odds(f'm{k}')}))) AS p FROM votes, m{k})"
-        accuracy = ", ".join(f"least(0.995, greatest(0.9, (coalesce(sum(CASE {v} WHEN 1 THEN n * p WHEN -1 THEN n - n * p END), 0) + 0.95) / (coalesce(sum(CASE WHEN {v} <> 0 THEN n END), 0) + 1))) AS a{i}" for i, v in enumerate(_VOTES))
-        rounds += [e, f"m{k + 1} AS (SELECT least(0.85, greatest(0.5, sum(n * p) / sum(n))) AS prior, {accuracy} FROM e{k})"]
+        rounds.append(f"e{k} AS (SELECT votes.*, 1 / (1 + exp(-({odds(f'm{k}')}))) AS p FROM votes, m{k})")
+        said = lambda v: f"sum(CASE WHEN {v} <> 0 THEN n ELSE 0 END)"
+        rates = ", ".join(
+            share(f"sum(CASE {v} WHEN 1 THEN n * p END)", f"sum(CASE WHEN {v} <> 0 THEN n * p ELSE 0 END)", 0.97, said(v)) + f" AS g{i}, "
+            + share(f"sum(CASE {v} WHEN -1 THEN n - n * p END)", f"sum(CASE WHEN {v} <> 0 THEN n - n * p ELSE 0 END)", 0.4, said(v)) + f" AS b{i}"
+            for i, v in enumerate(_VOTES)
+        )
+        rounds.append(f"m{k + 1} AS (SELECT (sum(n * p) + 0.02 * sum(n) * 0.8) / (1.02 * sum(n)) AS prior, {rates} FROM e{k})")
     return rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x, {BLANKS}) <> '') AS lines FROM w),
@@ -37,7 +44,8 @@ rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p
 c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
-  length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters, len(list_distinct(words)) AS n_distinct FROM l LEFT JOIN rep USING (doc_id)),
+  length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS n_letters, len(list_distinct(words)) AS n_distinct,
+  len(regexp_extract_all(text, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]{{2,}}|(?:^|[\x20\x09-\x0D])[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D](?:[\x20\x09-\x0D]|\z)')) AS n_marks FROM l LEFT JOIN rep USING (doc_id)),
 v AS (SELECT *, {", ".join(f"{sql} AS {name}" for name, sql in _VOTES.items())} FROM c),
 votes AS (SELECT {", ".join(_VOTES)}, count(*) AS n FROM v GROUP BY ALL),
 {", ".join(rounds)}

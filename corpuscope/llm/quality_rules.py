@@ -3,7 +3,9 @@ r"""Quality rules with weak supervision: rules vote or abstain, expectation-maxi
 All in DataFrame functions. Per document, counts come from higher-order functions over its own words (no explode, no
 shuffle). Each rule turns counts into a vote: 1 good, -1 bad, 0 abstain. The vote patterns of all documents are counted
 (a table of at most 3^rules rows, however large the corpus) and each EM round is one aggregation over that table whose
-single row of sums carries the new parameters. The posterior probability of good quality replaces "must pass all rules".
+single row of sums carries the new parameters: how often a rule is right on good documents, and how often on bad ones. The
+posterior probability of good quality replaces "must pass all rules": a flag that often contradicts the other rules counts
+little against them, one that they confirm decides.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from corpuscope.llm.common import SPACES, written
 
 #: A letter-case or symbol rule has no opinion on fewer words than this.
 FEW_WORDS = 20
+#: Two or more marks in a row, or one that stands alone between blanks.
+MARKS = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]{2,}|(?:^|[\x20\x09-\x0D])[^\p{L}\p{M}\p{N}\x20\x09-\x0D](?:[\x20\x09-\x0D]|\z)"
 
 
 @dataclass(frozen=True)
@@ -83,85 +87,103 @@ def text_counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
         "n_lines": F.size("__lines").cast("long"),
         "n_upper": F.length(F.regexp_replace("__text", r"[^\p{Lu}]+", "")).cast("long"),
-        "n_letters": F.length(F.regexp_replace("__text", r"[^\p{L}]+", "")).cast("long"),
+        "n_letters": F.length(F.regexp_replace("__text", r"[^\p{L}\p{M}]+", "")).cast("long"),
+        "n_marks": F.regexp_count("__text", F.lit(MARKS)).cast("long"),
         "n_distinct": F.size(F.array_distinct("__words")).cast("long"),
     }
     return kept.withColumns(counts).drop("__text", "__words", "__lines")
 
 
 def default_rules() -> list[Rule]:
-    """Eight red flags, each for its own kind of junk, and one rule that vouches for ordinary prose; each abstains where its counts say nothing."""
+    """Nine rules, each with a view of good and of bad; a text between the two, or too short to tell, gets no vote.
+
+    Every kind of junk is seen by more than one of them, so that their agreement tells how far each can be trusted.
+    """
     per = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     enough = F.col("n_words") >= FEW_WORDS
-    symbols, upper, repeats = per("n_symbols", "n_words"), per("n_upper", "n_letters"), per("n_repeat_words", "n_words")
+    vote = lambda bad, good: F.when(enough & bad, -1).when(enough & good, 1).otherwise(0)
+    symbols, upper, repeats, marks = per("n_symbols", "n_words"), per("n_upper", "n_letters"), per("n_repeat_words", "n_words"), per("n_marks", "n_words")
     mean, distinct, dups, letters = per("word_chars", "n_words"), per("n_distinct", "n_words"), per("n_dup_lines", "n_lines"), per("n_letters", "word_chars")
-    flag = lambda bad: F.when(bad, -1).otherwise(0)
-    prose = (F.col("n_words") >= 30) & (symbols < 0.02) & (upper <= 0.2) & (repeats <= 0.1) & (letters >= 0.85) & mean.between(3, 10)
     return [
-        Rule("short", flag(F.col("n_words") < 10)),
-        Rule("symbols", flag(enough & (symbols >= 0.1))),
-        Rule("capitals", flag(enough & (upper >= 0.45))),
-        Rule("repeats", flag(enough & (repeats >= 0.45))),
-        Rule("word_length", flag(enough & ((mean < 2) | (mean > 15)))),
-        Rule("variety", flag(enough & (F.col("n_words") <= 2000) & (distinct < 0.12))),
-        Rule("line_repeats", flag((F.col("n_lines") >= 4) & (dups >= 0.5))),
-        Rule("letters", flag(enough & (letters <= 0.75))),
-        Rule("prose", F.when(prose, 1).otherwise(0)),
+        Rule("length", F.when(F.col("n_words") < 10, -1).when(F.col("n_words") >= 30, 1).otherwise(0)),
+        Rule("symbols", vote(symbols >= 0.1, symbols < 0.02)),
+        Rule("capitals", vote(upper >= 0.45, upper <= 0.2)),
+        Rule("repeats", vote(repeats >= 0.45, repeats <= 0.1)),
+        Rule("word_length", vote((mean < 2) | (mean > 15), mean.between(3, 10))),
+        Rule("variety", vote((F.col("n_words") <= 2000) & (distinct < 0.12), distinct >= 0.3)),
+        Rule("line_repeats", F.when(F.col("n_lines") < 4, 0).when(dups >= 0.5, -1).when(dups <= 0.2, 1).otherwise(0)),
+        Rule("letters", vote(letters <= 0.75, letters >= 0.85)),
+        Rule("marks", vote(marks >= 0.1, marks < 0.03)),
     ]
 
 
-def _log_odds(names: list[str], prior: float, accuracy: list[float]) -> Column:
-    """Of good against bad: a vote counts with the log odds of its rule's accuracy, an abstention not at all."""
-    score = F.lit(math.log(prior / (1 - prior)))
-    for name, a in zip(names, accuracy, strict=True):
-        score = score + F.col(name) * F.lit(math.log(a / (1 - a)))
+@dataclass(frozen=True)
+class Belief:
+    """Share of good documents, and of each rule's votes: right ones among good documents, right ones among bad ones."""
+
+    prior: float
+    on_good: list[float]
+    on_bad: list[float]
+
+
+#: What is believed before any vote is seen, and what that weighs: a share of the votes, so that it counts alike at every size.
+PRIOR, ON_GOOD, ON_BAD, WEIGHT, ROUNDS = 0.8, 0.97, 0.4, 0.02, 15
+
+
+def _log_odds(names: list[str], belief: Belief) -> Column:
+    """Of good against bad: each vote counts with how much likelier it is from one than from the other, an abstention not at all."""
+    score = F.lit(math.log(belief.prior / (1 - belief.prior)))
+    for name, g, b in zip(names, belief.on_good, belief.on_bad, strict=True):
+        score = score + F.when(F.col(name) == 1, math.log(g / (1 - b))).when(F.col(name) == -1, math.log((1 - g) / b)).otherwise(0.0)
     return score
 
 
-def fit_accuracies(patterns: DataFrame, names: list[str], rounds: int = 12, least: float = 0.9, most: float = 0.995) -> tuple[float, list[float]]:
-    """EM over ``patterns(*names, n)``, the counts of vote patterns: the share of good documents and an accuracy per rule.
+def fit_accuracies(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Belief:
+    """EM over ``patterns(*names, n)``, the counts of vote patterns: how often each rule is right on good and on bad documents.
 
-    Each round is one aggregation (the E-step weights each pattern by its posterior, the M-step takes each rule's share of
-    right votes) whose single row gives the next parameters. Accuracies stay within [least, most], the prior within
-    [0.5, 0.85]: a vote that no other rule confirms or denies would otherwise only follow the prior, and a rare kind of
-    junk that one flag alone sees would pass. An empty table gives the start values.
+    Each round is one aggregation (the E-step weights each pattern by its posterior, the M-step takes each rule's shares of
+    right votes) whose single row gives the next parameters. Nothing is clamped: the belief before any vote weighs WEIGHT of
+    a rule's votes, which keeps every share between 0 and 1. An empty table gives the start values.
     """
-    prior, accuracy = 0.8, [0.95] * len(names)
+    belief = Belief(PRIOR, [ON_GOOD] * len(names), [ON_BAD] * len(names))
     for _ in range(rounds):
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(names, prior, accuracy)))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(names, belief)))
         good = F.col("n") * F.col("__p")
         sums = [F.sum("n"), F.sum(good)]
         for x in names:
-            sums += [F.sum(F.when(F.col(x) != 0, F.col("n"))), F.sum(F.when(F.col(x) == 1, good).when(F.col(x) == -1, F.col("n") - good))]
+            said = F.col(x) != 0
+            sums += [F.sum(F.when(said, F.col("n"))), F.sum(F.when(said, good)), F.sum(F.when(F.col(x) == 1, good)), F.sum(F.when(F.col(x) == -1, F.col("n") - good))]
         row = patterns.withColumn("__p", p).agg(*[F.coalesce(s.cast("double"), F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)]).first()
         if not row[0]:
             break
-        new = [min(most, max(least, (row[3 + 2 * i] + 0.95) / (row[2 + 2 * i] + 1))) for i in range(len(names))]
-        moved = max(abs(x - y) for x, y in zip(new, accuracy, strict=True))
-        prior, accuracy = min(0.85, max(0.5, row[1] / row[0])), new
-        if moved < 1e-6:
+        blend = lambda right, votes, mean, every: (right + WEIGHT * every * mean) / (votes + WEIGHT * every) if every else mean
+        each = [row[2 + 4 * i : 6 + 4 * i] for i in range(len(names))]
+        new = Belief(blend(row[1], row[0], PRIOR, row[0]), [blend(up, of_good, ON_GOOD, every) for every, of_good, up, _ in each], [blend(down, every - of_good, ON_BAD, every) for every, of_good, _, down in each])
+        moved = max(abs(x - y) for x, y in zip([new.prior, *new.on_good, *new.on_bad], [belief.prior, *belief.on_good, *belief.on_bad], strict=True))
+        belief = new
+        if moved < 1e-9:
             break
-    return prior, accuracy
+    return belief
 
 
 def score_quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (doc_id if unset) with the counts, ``posterior`` (double), ``base_failed`` and ``kept`` (boolean).
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. kept: false if base_failed, else posterior
-    >= threshold. Null and empty texts count no words, fail the base and are not kept. A document for which every rule
-    abstains gets the prior. Repeated rows vote once each. Columns of the input whose names clash with the counts are
+    >= threshold. Null and empty texts count no words, fail the base and are not kept. Very long texts are counted whole,
+    one row at a time. A document for which every rule abstains gets the prior. Repeated rows vote once each. Columns of the input whose names clash with the counts are
     replaced. An empty table gives an empty table.
     """
     rules = default_rules() if rules is None else rules
     names = [f"__vote_{i}" for i in range(len(rules))]
     carried = ["doc_id"] if columns is None else columns
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct"]
     base = docs.select(*[c for c in carried if c not in made and c != "text"], "text")
     counted = text_counts(base)
     if "text" not in carried:
         counted = counted.drop("text")
     voted = written(counted.withColumns({n: r.vote.cast("int") for n, r in zip(names, rules, strict=True)}), "quality")
     patterns = written(voted.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(names, *fit_accuracies(patterns, names))))
+    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(names, fit_accuracies(patterns, names))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.withColumns({"posterior": posterior, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*names)
