@@ -1,8 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled good outside the held-out fold; unlabelled ones are a sample of the web text. The
-non-negative risk estimator keeps the estimated risk on unlabelled negatives from going below zero, which would reward
-overfitting. The class prior is estimated from the scores of a first positive-against-unlabelled classifier.
+Trusted positives are documents labelled good outside the held-out fold; unlabelled ones are a sample of the web text. No
+label of a bad document is read. The non-negative risk estimator keeps the estimated risk on unlabelled negatives from going
+below zero, which would reward overfitting. The class prior is estimated from the scores of a first
+positive-against-unlabelled classifier, and the score EVEN stands for the logit above which that share of the unlabelled
+documents lies.
 """
 
 from __future__ import annotations
@@ -97,25 +99,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(model: QualityModel, p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, decay: float = 1e-3, rate: float = 0.05) -> None:
-    """Adam on the logistic non-negative PU risk; without a prior, on plain positive-against-unlabelled."""
-    w = np.append(model.weights, model.bias)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, float, np.ndarray]:
+    """The logistic PU risk at weights ``w`` (bias last): its positive part, its negative part and the direction to descend in.
+
+    ``p`` and ``u`` hold the numbers of the weights that apply to each positive and each unlabelled row. The negative part is
+    the risk of unlabelled rows as negatives, less that of the positives among them; where it is below zero, the direction
+    leads back out of overfitting. Without a prior: positives against unlabelled, plainly.
+    """
 
     def gradient(rows: np.ndarray, d: np.ndarray) -> np.ndarray:
         g = np.bincount(rows.ravel(), np.repeat(d, rows.shape[1]), len(w))
         g[-1] = d.sum()
         return g / len(rows)
 
+    zp, zu = w[p].sum(1) + w[-1], w[u].sum(1) + w[-1]
+    positive, unlabelled = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean()
+    up, uu = gradient(p, -_sigmoid(-zp)), gradient(u, _sigmoid(zu))
+    if prior is None:
+        return positive, unlabelled, up + uu
+    negative = unlabelled - prior * np.logaddexp(0, zp).mean()
+    minus = uu - prior * gradient(p, _sigmoid(zp))
+    return prior * positive, negative, prior * up + minus if negative >= 0 else -minus
+
+
+def _descend(model: QualityModel, p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, decay: float = 1e-3, rate: float = 0.05) -> None:
+    """Adam on the logistic non-negative PU risk; without a prior, on plain positive-against-unlabelled."""
+    w = np.append(model.weights, model.bias)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        zp, zu = w[p].sum(1) + w[-1], w[u].sum(1) + w[-1]
-        up, uu = gradient(p, -_sigmoid(-zp)), gradient(u, _sigmoid(zu))
-        if prior is None:
-            g = up + uu
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            minus = uu - prior * gradient(p, _sigmoid(zp))
-            g = prior * up + minus if negative >= 0 else -minus  # below zero: step back from overfitting
+        g = pu_risk(w, p, u, prior)[2]
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -131,37 +143,31 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
-def even_point(good: np.ndarray, bad: np.ndarray) -> float:
-    """The logit that best parts labelled good from bad (both kinds weigh the same): the middle of the best stretch, 0 without bad ones."""
-    if not len(bad) or not len(good):
-        return 0.0
-    at = np.sort(np.concatenate([good, bad]))
-    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2])
-    right = np.searchsorted(np.sort(bad), cuts) / len(bad) + 1 - np.searchsorted(np.sort(good), cuts) / len(good)
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    return float((cuts[best[0]] + cuts[best[-1]]) / 2)
+def even_point(unlabelled: np.ndarray, prior: float) -> float:
+    """The logit above which as many of the unlabelled documents lie as the prior says are good."""
+    return float(np.quantile(unlabelled, 1 - prior))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, bins: int = 10) -> QualityModel | None:
     """Fit on whole texts of about so many documents at most, none of the held-out fold; None without a positive.
 
-    Documents labelled bad take no part in learning; a sample of them only tells which logit a score of EVEN stands for.
+    A document is trusted if any of its labels is 1; other labels are not read. Null ids take no part.
     """
     known = docs.where("doc_id is not null").where(fold(F.col("doc_id")) != 0).select("doc_id", "text")
     good = labels.where("quality = 1").select("doc_id").distinct()
 
-    def measured(df: DataFrame) -> np.ndarray:
+    def measured(df: DataFrame, most: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.record_batch([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
 
-        rows = df.select("text").mapInArrow(run, "x array<double>").toArrow()["x"]  # bounded by the sample
+        rows = df.select("text").mapInArrow(run, "x array<double>").limit(2 * most).toArrow()["x"]  # bounded, should one id have very many rows
         x = rows.combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
         return x[np.lexsort(x.T)]  # the same order whatever the partitioning
 
     chosen = bounded_sample(good.where(fold(F.col("doc_id")) != 0), "doc_id", positives, "positive")
-    p = measured(known.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    u = measured(bounded_sample(known, "doc_id", unlabelled, "unlabelled"))
+    p = measured(known.join(F.broadcast(chosen), "doc_id", "left_semi"), positives)
+    u = measured(bounded_sample(known, "doc_id", unlabelled, "unlabelled"), unlabelled)
     if not len(p) or not len(u):
         return None
     cuts = [np.unique(np.quantile(np.concatenate([p[:, j], u[:, j]]), [0.005, 0.02, *np.linspace(0, 1, bins + 1)[1:-1], 0.95, 0.98, 0.995])) for j in range(N_FEATURES)]
@@ -172,8 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIV
     model.prior = estimate_prior(model.logits(p[~half[0]]), model.logits(u[~half[1]])) if min(len(p), len(u)) > 1 else 0.5
     model.weights, model.bias = np.zeros_like(model.weights), 0.0
     _descend(model, *rows, model.prior, 400, decay=max(1e-3, 3 / len(p)))
-    bad = bounded_sample(labels.where("quality = 0").select("doc_id").distinct().where(fold(F.col("doc_id")) != 0), "doc_id", positives // 5, "negative")
-    model.even = even_point(model.logits(p), model.logits(measured(known.join(F.broadcast(bad), "doc_id", "left_semi"))))
+    model.even = even_point(model.logits(u), model.prior)
     return model
 
 
@@ -181,7 +186,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """``doc_id, held_out, score, predicted``: one row per row of ``docs`` (doc_id, text).
 
     The score sees the text alone. A null text is an empty one; both get the score of a text without words. Without a model
-    (nothing was labelled good) every score is EVEN. Repeated rows and null ids are scored like any other (held_out is null
+    (nothing was labelled good) every score is EVEN. Long texts are measured whole, in batches bounded in bytes. Repeated rows and null ids are scored like any other (held_out is null
     for the latter). Other columns are not carried.
     """
     small_batches(docs.sparkSession)
