@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to classes: insult, threat, target, negation, reported speech, clause end, other. Five small transducers read the
-classes, each with a few states that remember what came shortly before: the insult transducer pays a word's weight, the
-target transducer adds to it when a person is meant, the threat transducer pays for a threat aimed at a target, the negation
-and reported-speech transducers take most of it back. Composed, they are one deterministic table of states by classes; a
-text is scored by the clauses that it matches, not by the words it contains.
+Words are mapped to classes: insult, threat, target, predicate, intent, negation, reported speech, other. Five transducers
+read the classes of a clause. The insult transducer marks what is read as name-calling, the target transducer lifts it when
+a person is meant or a predicate says it of somebody, the threat transducer accepts an intended or commanded deed and its
+target, the negation and reported-speech transducers take most of either back. Composed, they are one deterministic table of
+states by classes. A clause pays what its best match pays, and a text the sum of its BEST_CLAUSES best clauses: an insult word
+that aims at nobody pays little, and a longer text doesn't pay more for being long.
 
 Which words insult, and how much, is learned from labelled documents outside the held-out fold: whole words and word
 beginnings (which stand for their inflected forms) that tell toxic documents from others beyond chance.
@@ -12,9 +13,8 @@ beginnings (which stand for their inflected forms) that tell toxic documents fro
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,60 +31,105 @@ FIT_DOCS, MOST_FEATURES, LEAST_EVIDENCE, LEAST_ODDS = 30_000, 20_000, 16.0, 3.5
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 500_000
 
-OTHER, END, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
+OTHER, END, INSULT, THREAT, TARGET, PREDICATE, INTENT, NEGATION, REPORT = range(9)
+CLASS_COUNT = 9
 #: Function words of the grammar, in English, German, French and Spanish.
 CLASSES = {
     TARGET: "you your yours yourself he she they them him her his their du dich dir ihr euch sie er dein deine tu toi te vous ton ta il elle ils elles tú ti usted ustedes él ella ellos ellas".split(),
-    NEGATION: "not never no isn't aren't wasn't don't doesn't nobody nicht nie kein keine keinen pas jamais aucun aucune ni nunca jamás ningún ninguna".split(),
+    PREDICATE: "is are am was were be being you're he's she's they're bist ist sind seid war waren es est sont êtes était étaient eres son era eran".split(),
+    INTENT: "will would should must shall can gonna going want deserve deserves let's i'll we'll werde werden soll sollen wollen muss vais allons veux dois faut devrait voy vamos quiero debe deben".split(),
+    NEGATION: "not never no isn't aren't wasn't don't doesn't won't nobody nicht nie kein keine keinen pas jamais aucun aucune ni nunca jamás ningún ninguna".split(),
     REPORT: "said says say wrote writes called calls quoted reported claims claimed according sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según".split(),
-    THREAT: "kill hurt destroy beat stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir".split(),
 }
-#: What a matched clause pays or loses.
-TARGET_PAYS, THREAT_PAYS, NEGATED, REPORTED = 1.0, 3.0, 0.5, 0.6
+#: Beginnings of verbs of violence; a word of at most four letters more is a form of one.
+THREAT_STEMS = "kill murder strangle stab shoot shot beat hurt destroy töte umbring erwürg erschieß verprügel tuer tuera étrangl frapp détrui matar mata golpea destru estrangul".split()
+#: What a match pays: an insult that is aimed pays its weight, one that is not this share of it; a threat pays so much; either loses by negation or report.
+BARE, THREAT_PAYS, NEGATED, REPORTED = 0.35, 6.0, 0.2, 0.4
+#: Words that a clause without punctuation may have, and clauses that a text is scored by.
+CLAUSE_WORDS, BEST_CLAUSES = 20, 3
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """``step(state, class) -> (state, pay)``; state 0 is the start. ``pay`` is (factor, addition) applied to the weight read."""
-
-    states: int
-    step: dict[tuple[int, int], tuple[int, tuple[float, float]]]
-
-
-def memory(trigger: int, reach: int, pays: dict[int, tuple[float, float]]) -> Transducer:
-    """Remembers ``trigger`` for ``reach`` words of its clause and pays on the classes in ``pays`` meanwhile."""
-    step = {}
-    for state, cls in itertools.product(range(reach + 1), range(7)):
-        pay = pays.get(cls, (1.0, 0.0)) if state else (1.0, 0.0)
-        step[state, cls] = (0 if cls == END else reach if cls == trigger else max(0, state - 1)), pay
-    return Transducer(reach + 1, step)
-
-
-def compose(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One table for all: next state, factor and addition by state and class; factors multiply, additions add."""
-    sizes = [m.states for m in machines]
-    total = math.prod(sizes)
-    after, factor, extra = np.zeros((total, 7), np.int64), np.ones((total, 7)), np.zeros((total, 7))
-    for number, states in enumerate(itertools.product(*map(range, sizes))):
-        for cls in range(7):
-            to = 0
-            for m, s in zip(machines, states, strict=True):
-                n, (f, a) = m.step[s, cls]
-                to = to * m.states + n
-                factor[number, cls] *= f
-                extra[number, cls] += a
-            after[number, cls] = to
-    return after, factor, extra
-
-
-def grammar() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Target before insult or threat, threat before target, negation and reported speech before either."""
-    return compose([
-        memory(TARGET, 4, {INSULT: (1.0, TARGET_PAYS)}),
-        memory(THREAT, 2, {TARGET: (1.0, THREAT_PAYS)}),
-        memory(NEGATION, 2, {INSULT: (NEGATED, 0.0)}),
-        memory(REPORT, 4, {INSULT: (REPORTED, 0.0)}),
-    ])
+    """``step(state, class) -> (state, (factor, lift, extra))``: what a match at this word is multiplied by, whether it lifts
+    the insult read now or last, and what it pays by itself. A clause end leads back to ``start``."""
+
+    start: Hashable
+    step: Callable[[Hashable, int], tuple[Hashable, tuple[float, bool, float]]]
+
+
+def insults() -> Transducer:
+    """Accepts a name that is called; without it no insult pays at all."""
+    return Transducer(0, lambda state, cls: (0, (1.0, False, 0.0)))
+
+
+def targets(reach: int = 4, after: int = 2) -> Transducer:
+    """A target or predicate up to ``reach`` words before an insult, or a target up to ``after`` words behind it, lifts it."""
+
+    def step(state, cls):
+        aimed, insulted = state
+        if cls == TARGET:
+            return (reach, 0), (1.0, insulted > 0, 0.0)
+        if cls == PREDICATE:
+            return (reach, max(0, insulted - 1)), (1.0, False, 0.0)
+        if cls == INSULT:
+            return (max(0, aimed - 1), after), (1.0, aimed > 0, 0.0)
+        return (max(0, aimed - 1), max(0, insulted - 1)), (1.0, False, 0.0)
+
+    return Transducer((0, 0), step)
+
+
+def threats(reach: int = 4, after: int = 2) -> Transducer:
+    """Accepts a deed with its target: commanded (first in its clause) or intended, target behind ("will kill you"), or suffered, target first ("you will be killed")."""
+
+    def step(state, cls):
+        first, meant, intended, armed = state
+        gone = (False, max(0, meant - 1), max(0, intended - 1), max(0, armed - 1))
+        if cls == TARGET:
+            return (False, reach, intended, 0), (1.0, False, THREAT_PAYS if armed else 0.0)
+        if cls == INTENT:
+            return (False, meant, reach, 0), (1.0, False, 0.0)
+        if cls == THREAT:
+            return (False, gone[1], gone[2], after + 1 if first or intended else 0), (1.0, False, THREAT_PAYS if meant and intended else 0.0)
+        if cls in (PREDICATE, NEGATION):
+            return (False, meant, intended, gone[3]), (1.0, False, 0.0)
+        return gone, (1.0, False, 0.0)
+
+    return Transducer((True, 0, 0, 0), step)
+
+
+def takes_back(trigger: int, reach: int, factor: float) -> Transducer:
+    """Scales what matches within ``reach`` words behind ``trigger``."""
+    return Transducer(0, lambda state, cls: (reach if cls == trigger else max(0, state - 1), (factor if state else 1.0, False, 0.0)))
+
+
+MACHINES: dict[str, Callable[[], Transducer]] = {
+    "insult": insults,
+    "target": targets,
+    "threat": threats,
+    "negation": lambda: takes_back(NEGATION, 3, NEGATED),
+    "report": lambda: takes_back(REPORT, 5, REPORTED),
+}
+
+
+def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[list[tuple[float, bool, float]]]]:
+    """One table for all, over the states that can be reached: next state and output by state and class; factors multiply, lifts join, extras add."""
+    start = tuple(m.start for m in machines)
+    number, after, output = {start: 0}, [], []
+    for state in (queue := [start]):
+        after.append([0] * CLASS_COUNT)
+        output.append([(1.0, False, 0.0)] * CLASS_COUNT)
+        for cls in range(CLASS_COUNT):
+            if cls == END:
+                continue
+            steps = [m.step(s, cls) for m, s in zip(machines, state, strict=True)]
+            to = tuple(s for s, _ in steps)
+            if to not in number:
+                number[to] = len(queue)
+                queue.append(to)
+            after[-1][cls] = number[to]
+            output[-1][cls] = (math.prod(o[0] for _, o in steps), any(o[1] for _, o in steps), sum(o[2] for _, o in steps))
+    return after, output
 
 
 def plain(word: str) -> str:
@@ -98,19 +143,20 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Weights of insult features, and the logistic curve from a text's clause weight to its score."""
+    """Weights of insult features, the logistic curve from a text's clause weight to its score, and the machines of the grammar."""
 
     weights: dict[str, float]
     middle: float = 4.0
     steep: float = 1.0
+    machines: tuple[str, ...] = tuple(MACHINES)
     known: dict[str, tuple[int, float, bool]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.after, self.factor, self.extra = (x.tolist() for x in grammar())
+        self.after, self.output = compose([MACHINES[m]() for m in self.machines])
         self.classes = {w: c for c, words in CLASSES.items() for w in words}
 
     def __reduce__(self):
-        return ToxicityModel, (self.weights, self.middle, self.steep)
+        return ToxicityModel, (self.weights, self.middle, self.steep, self.machines)
 
     def look(self, raw: str) -> tuple[int, float, bool]:
         """Class and weight of a word, and whether it ends its clause."""
@@ -118,25 +164,48 @@ class ToxicityModel:
         ends = raw[-1] in ".,;:!?"
         if word in self.classes:
             return self.classes[word], 0.0, ends
-        weight = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0) if word else 0.0
-        return (INSULT if weight else OTHER), weight, ends
+        if "insult" in self.machines and word and (weight := max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)):
+            return INSULT, weight, ends
+        return (THREAT if any(word.startswith(x) and len(word) <= len(x) + 4 for x in THREAT_STEMS) else OTHER), 0.0, ends
 
-    def weigh(self, text: str | None) -> float:
-        """What the text's clauses pay in all."""
-        known, total, state = self.known, 0.0, 0
+    def clauses(self, text: str | None) -> Iterator[list[tuple[int, float]]]:
+        """Classes and weights of each clause that holds an insult or threat word."""
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        words = (text or "").split()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.look(w)
-        seen = [known[w] for w in words]
-        if not any(c == INSULT or c == THREAT for c, _, _ in seen):
-            return 0.0
-        for cls, weight, ends in seen:
-            total += weight * self.factor[state][cls] + self.extra[state][cls]
-            state = 0 if ends else self.after[state][cls]
-        return total
+        for line in (text or "").split("\n"):
+            clause: list[tuple[int, float]] = []
+            worth = False
+            for w in line.split():
+                if (seen := known.get(w)) is None:
+                    seen = known[w] = self.look(w)
+                cls, weight, ends = seen
+                clause.append((cls, weight))
+                worth = worth or cls == INSULT or cls == THREAT
+                if ends or len(clause) == CLAUSE_WORDS:
+                    if worth:
+                        yield clause
+                    clause, worth = [], False
+            if worth:
+                yield clause
+
+    def pays(self, clause: list[tuple[int, float]]) -> float:
+        """What the best match of a clause pays."""
+        state, held, best = 0, 0.0, 0.0
+        for cls, weight in clause:
+            factor, lift, extra = self.output[state][cls]
+            if cls == INSULT:
+                held = weight * factor
+                best = max(best, held if lift else BARE * held)
+            elif lift:
+                best = max(best, held)
+            best = max(best, extra * factor)
+            state = self.after[state][cls]
+        return best
+
+    def weigh(self, text: str | None) -> float:
+        """What the best clauses of a text pay together."""
+        return sum(sorted((self.pays(c) for c in self.clauses(text)), reverse=True)[:BEST_CLAUSES])
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.steep * (self.weigh(text) - self.middle)))))
@@ -155,18 +224,22 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _middle(toxic: np.ndarray, clean: np.ndarray, start: float) -> float:
-    """The weight that best parts toxic from clean texts (both kinds weigh the same); the middle of the best stretch."""
+    """The weight that best parts toxic from clean texts (each error counts the same); the middle of the best stretch."""
     if not len(toxic) or not len(clean):
         return start
     at = np.unique(np.concatenate([toxic, clean, [0.0]]))
     cuts = np.append((at[1:] + at[:-1]) / 2, at[-1] + 1)
-    right = np.searchsorted(np.sort(clean), cuts) / len(clean) + 1 - np.searchsorted(np.sort(toxic), cuts) / len(toxic)
-    best = np.flatnonzero(right >= right.max() - 1e-12)
+    right = np.searchsorted(np.sort(clean), cuts) - np.searchsorted(np.sort(toxic), cuts)
+    best = np.flatnonzero(right == right.max())
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> ToxicityModel:
-    """Fit on whole texts of about ``fit_docs`` labelled documents at most, none of the held-out fold."""
+    """Fit on whole texts of about ``fit_docs`` labelled documents at most, none of the held-out fold.
+
+    A document with several labels is toxic if any of them says so. Features are kept by evidence; MOST_FEATURES bounds the
+    model as FIT_DOCS bounds the rows that it is learned from.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     chosen = bounded_sample(known, "doc_id", fit_docs, "toxicity")
     sample = written(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
@@ -194,7 +267,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, held_out, score, predicted``: one row per row of ``docs`` (doc_id, text).
 
-    The score sees the text alone. A null or empty text matches no clause and gets the lowest score. Repeated rows and null
+    The score sees the text alone. A null or empty text matches no clause and gets the lowest score. Long texts are read
+    whole, in batches bounded in bytes, and score by their best clauses like short ones. Repeated rows and null
     ids are scored like any other (held_out is null for the latter). Other columns are not carried.
     """
     small_batches(docs.sparkSession)

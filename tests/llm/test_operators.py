@@ -1,6 +1,7 @@
 """The operators against brute force, on small frames with nulls, ties, repeats, clashing columns and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpuscope.llm import embedding_dedup, language_id, line_dedup, ngram_join, packing, pu_quality, quality_rules, sentencepiece_codec, substring_dedup, toxicity
@@ -87,6 +89,26 @@ def test_quality_counts_and_verdicts(docs, none):
     assert quality_rules.score_quality(none).count() == 0
 
 
+def test_quality_accuracies_decide_over_lone_flags(spark):
+    """Capitals that other rules contradict are forgiven, flags that agree are not: the verdict is not "no flag"."""
+    r = random.Random(11)
+    prose = lambda k: " ".join(passage(5000 + k, 90).split()[i] for i in range(90))
+    rows = [(k, prose(k)) for k in range(300)]
+    rows += [(1000 + k, prose(k + 400).upper()) for k in range(40)]
+    rows += [(2000 + k, " ".join(w + r.choice(["###", "%%%"]) for w in prose(k + 500).split())) for k in range(40)]
+    got = quality_rules.score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["kept"] for r in got if r["doc_id"] < 2000} == {True} and not any(r["kept"] for r in got if r["doc_id"] >= 2000)
+
+    names = ["a", "b", "c"]
+    patterns = spark.createDataFrame([(1, 1, 1, 800), (-1, -1, 1, 120), (-1, 1, 1, 10), (1, 1, -1, 150), (0, 0, 0, 5)], "a int, b int, c int, n long")
+    belief = quality_rules.fit_accuracies(patterns, names)
+    post = {tuple(x[n] for n in names): x["p"] for x in patterns.withColumn("p", 1 / (1 + F.exp(-quality_rules._log_odds(names, belief)))).collect()}
+    assert post[1, 1, -1] > 0.5 > post[-1, -1, 1] and belief.on_good[2] < min(belief.on_good[:2]) and abs(post[0, 0, 0] - belief.prior) < 1e-9
+    assert all(0 < x < 1 for x in [belief.prior, *belief.on_good, *belief.on_bad])
+    many = quality_rules.fit_accuracies(patterns.withColumn("n", F.col("n") * 1000), names)
+    assert max(abs(x - y) for x, y in zip(many.on_good + many.on_bad, belief.on_good + belief.on_bad, strict=True)) < 1e-6  # alike at every size
+
+
 def test_line_dedup(docs, none):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     holders = {}
@@ -185,6 +207,49 @@ def test_ngram_join_chains_and_crowded_buckets(spark, monkeypatch):
     assert got == jaccard_groups(rows, 4, 85)
 
 
+def test_ngram_join_large_group_is_dealt_evenly(spark, monkeypatch):
+    """Thousands of near copies beside outsiders: bounded tasks, a forest of links, and no link lost."""
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", 1000)
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 256)
+    r, rows, base = random.Random(8), [], passage(61, 60).split()
+    for i in range(1200):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"w{r.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    dealt = ngram_join._dealt
+
+    def spy(named, sets):
+        units, tasks = dealt(named, sets)
+        seen.append([x["count"] for x in units.groupBy("task").count().collect()])
+        return units, tasks
+
+    monkeypatch.setattr(ngram_join, "_dealt", spy)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.near_duplicates(frame, 4, 85).collect()}
+    assert got == jaccard_groups(rows, 4, 85)
+    loads = seen[0]
+    assert sum(loads) > 4000 and max(loads) < 3 * 1000 + 2 * 256 and max(loads) < 5 * sum(loads) / len(loads)
+
+
+def test_ngram_join_units_give_a_forest():
+    """Members of one component that a task finds come out as a tree, not as pairs; what sketches can't tell apart is verified."""
+    import pyarrow as pa
+
+    spread = [np.sort(np.random.default_rng(0).choice(2**62, 400, replace=False).astype(np.uint64))]
+    for k in range(1, 60):
+        spread.append(np.sort(np.append(spread[0][k % 3 :], np.arange(k, dtype=np.uint64) % np.uint64(5) + np.uint64(7 * k))))
+    spread = [np.unique(x) for x in spread]
+    sketch = [np.packbits(np.bincount((x >> np.uint64(7)).astype(np.int64) % ngram_join.SHORT_BITS, minlength=ngram_join.SHORT_BITS) & 1).tobytes() for x in spread]
+    m = len(spread)
+    units = pa.table({"task": [0] * (2 * m), "key": [9] * (2 * m), "i": pa.array([0] * 2 * m, pa.int32()), "j": pa.array([0] * 2 * m, pa.int32()), "side": pa.array([0] * m + [1] * m, pa.int32()), "cid": list(range(m)) * 2, "comp": list(range(m)) * 2})
+    texts = pa.table({"task": [0] * m, "cid": list(range(m)), "n": [len(x) for x in spread], "sketch": pa.array(sketch, pa.binary()), "tokens": pa.array([x.tobytes() for x in spread], pa.binary())})
+    table = pa.concat_tables([units, texts], promote_options="default")
+    links = ngram_join._joined(85)(table)
+    assert links.num_rows == m - 1 and set(links["a"].to_pylist()) | set(links["b"].to_pylist()) == set(range(m))
+
+
 def test_band_keys_share_a_band_whenever_sets_are_near():
     r = random.Random(3)
     for _ in range(60):
@@ -422,6 +487,35 @@ def test_pu_quality(spark):
     assert pu_quality.score_documents(docs.limit(0), None).count() == 0
 
 
+def test_pu_risk_and_gradient_against_brute_force():
+    r = np.random.default_rng(5)
+    p, u, prior = r.integers(0, 3, (7, 2)) + [0, 3], r.integers(0, 3, (11, 2)) + [0, 3], 0.9
+    logistic = lambda z: math.log1p(math.exp(-z))
+
+    def brute(w):
+        z = lambda row: sum(w[k] for k in row) + w[-1]
+        plus = prior * sum(logistic(z(x)) for x in p) / len(p)
+        return plus, sum(logistic(-z(x)) for x in u) / len(u) - prior * sum(logistic(-z(x)) for x in p) / len(p)
+
+    clipped = 0
+    for _ in range(40):
+        w = r.normal(size=7) * 3
+        plus, minus, g = pu_quality.pu_risk(w, p, u, prior)
+        assert np.allclose((plus, minus), brute(w))
+        clipped += minus < 0
+        for k in range(7):
+            step = np.eye(7)[k] * 1e-6
+            total = lambda v: sum(brute(v)) if minus >= 0 else -brute(v)[1]
+            assert abs((total(w + step) - total(w - step)) / 2e-6 - g[k]) < 1e-4
+    assert 0 < clipped < 40
+
+
+def test_pu_quality_reads_no_label_of_bad_documents(spark):
+    docs, labels = fitted_docs(spark)
+    one, two = (pu_quality.fit_quality(docs, x) for x in (labels, labels.where("quality = 1")))
+    assert np.array_equal(one.weights, two.weights) and one.even == two.even and 0.7 < one.prior < 0.9
+
+
 def test_pu_prior():
     r = np.random.default_rng(0)
     p = r.normal(2, 1, 4000)
@@ -441,9 +535,63 @@ def test_toxicity(spark):
 
 def test_toxicity_grammar():
     model = toxicity.ToxicityModel({"lump": 4.0})
-    plain_, aimed, negated, reported = (model.weigh(t) for t in ("a lump here", "you are a lump", "not a lump", "she said lump"))
-    assert aimed > plain_ > negated > 0 and reported < aimed
-    assert model.weigh("you. lump") == plain_ and model.weigh("kill you") == toxicity.THREAT_PAYS and model.weigh("kind words") == 0
+    bare, aimed, behind, said, negated, reported = (model.weigh(t) for t in ("a lump here", "you are a lump", "lump that you are", "this is such a lump", "you are not a lump", "she said you are a lump"))
+    assert bare == toxicity.BARE * 4 and aimed == behind == said == 4
+    assert abs(negated - toxicity.NEGATED * 4) < 1e-9 and abs(reported - toxicity.REPORTED * 4) < 1e-9
+    assert model.weigh("you. lump") == bare and model.weigh("kind words") == 0 and model.weigh("lumps lumped") == 0
+    threats = ["I will kill you", "kill them all", "you will be killed", "they should never be forgotten, they should be shot"]
+    assert {model.weigh(t) for t in threats} == {toxicity.THREAT_PAYS}
+    assert {model.weigh(t) for t in ("he killed them in the play", "the shooting of the film", "killing time")} == {0}
+    assert model.weigh("I will not kill you") < 2 and model.weigh("he said he will kill you") < 3
+    # best clauses, not a sum over length; an endless clause is cut
+    assert model.weigh("a lump. " * 1000) == toxicity.BEST_CLAUSES * bare and model.weigh("lump " * 5000) == toxicity.BEST_CLAUSES * bare
+
+
+def test_toxicity_composition_against_machines_run_one_by_one():
+    r = random.Random(6)
+    model = toxicity.ToxicityModel({})
+    machines = [m() for m in toxicity.MACHINES.values()]
+    for _ in range(3000):
+        clause = [(c := r.choice([x for x in range(toxicity.CLASS_COUNT) if x != toxicity.END]), r.uniform(1, 6) if c == toxicity.INSULT else 0.0) for _ in range(r.randint(1, 14))]
+        states, held, best = [m.start for m in machines], 0.0, 0.0
+        for cls, weight in clause:
+            outs = []
+            for k, m in enumerate(machines):
+                states[k], out = m.step(states[k], cls)
+                outs.append(out)
+            factor, lift, extra = math.prod(o[0] for o in outs), any(o[1] for o in outs), sum(o[2] for o in outs)
+            if cls == toxicity.INSULT:
+                held = weight * factor
+                best = max(best, held * (1 if lift else toxicity.BARE))
+            elif lift:
+                best = max(best, held)
+            best = max(best, extra * factor)
+        assert model.pays(clause) == best
+
+
+def test_toxicity_every_machine_decides(spark):
+    """On held-out documents of ordinary sentences, taking any machine away changes predictions, and all together are right."""
+    r, rows, labels = random.Random(9), [], []
+    filler = ["the trees are green", "we went to the house by the water", "it rained again", "there was music in the garden"]
+    kinds = [("you are a lump", 1), ("a lump of sugar lay there", 0), ("the teacher said he was a lump", 0), ("they are not a lump", 0), ("I will kill you", 1), ("somebody called her a lump", 0), ("what a day", 0)]
+    for i in range(700):
+        text, toxic = kinds[i % len(kinds)]
+        parts = [r.choice(filler) for _ in range(6)]
+        parts.insert(r.randrange(6), text)
+        rows.append((i, ". ".join(parts) + ".", "x", 0.0))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame([*rows, (None, "you are a lump", "x", 0.0), (9000, passage(3, 60_000) + " you are a lump", "x", 0.0)], "doc_id long, text string, held_out string, score double")
+    model = toxicity.ToxicityModel({"lump": 4.0}, 3.0)
+    want = {i: t for i, t in labels if held(i)}
+
+    def wrong(machines):
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, toxicity.ToxicityModel(model.weights, model.middle, model.steep, machines)).where("held_out").collect()}
+        return sum(got[i] != t for i, t in want.items())
+
+    every = tuple(toxicity.MACHINES)
+    assert wrong(every) == 0
+    assert all(wrong(tuple(m for m in every if m != gone)) > 0 for gone in every)
+    assert {r["predicted"] for r in toxicity.score_toxicity(docs, model).where("doc_id is null or doc_id = 9000").collect()} == {1}
 
 
 def test_pipeline_stages(docs, none, spark):
