@@ -2,8 +2,8 @@
 
 Unit vectors go to coarse inverted lists; what is left of them is coded per subspace. A vector is compared with the lists it
 could share a neighbour with (the bisector of two centroids bounds how near a vector of the other list can be), there by
-asymmetric table lookups on the codes (a code's own error bounds how wrong the estimate is), and what passes is ranked again
-by the exact cosine. Both bounds are safe, so quantisation costs time but no link.
+asymmetric table lookups on the codes that its members carry (a code's own error bounds how wrong the estimate is), and what
+passes is ranked again by the exact cosine. Both bounds are safe, so quantisation costs time but no link.
 
 Equal vectors are one class from the start. A list is worked on in pairs of blocks of bounded size, each of which returns
 link counts and a spanning forest of its links, not the links.
@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import bounded_sample, hint_small, join_skewed, small_batches, written
+from corpuscope.llm.common import bounded_sample, hint_small, join_skewed, slices, written
 from corpuscope.llm.components import components
 
 #: Vectors the index is fitted on, at most; vectors of one block.
@@ -82,7 +83,9 @@ def fit_quantiser(sample: np.ndarray, lists: int, subspaces: int = 8, codes: int
 
 
 def _unit(column: pa.Array) -> np.ndarray:
+    """Unit vectors in double precision; scaled by their largest component first, so that squares neither vanish nor overflow."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(1)[:, None]
     return flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 
@@ -92,7 +95,7 @@ def _route(quantiser, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = quantiser.value
         between = np.sqrt(q.assign(q.coarse)[0])
-        for batch in batches:
+        for batch in slices(batches, 2048):
             if not batch.num_rows:
                 continue
             x = _unit(batch.column(3))
@@ -103,7 +106,10 @@ def _route(quantiser, reach: float):
             could &= np.arange(len(q.coarse))[None] <= near[:, None]  # each pair of lists meets once, in the one of smaller number
             row, lists = np.nonzero(could)
             taken = [c.take(pa.array(row)) for c in batch.columns]
-            yield pa.record_batch([*taken, pa.array(lists, pa.int32()), pa.array(lists == near[row])], names=[*batch.schema.names, "list", "member"])
+            codes, lost = q.code(x, near)
+            member = pa.array(lists == near[row])
+            of_members = [pc.if_else(member, c.take(pa.array(row)), None) for c in (pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost))]
+            yield pa.record_batch([*taken, pa.array(lists, pa.int32()), member, *of_members], names=[*batch.schema.names, "list", "member", "codes", "lost"])
 
     return run
 
@@ -115,6 +121,10 @@ def _compare(quantiser, least: float, reach: float):
         q: Quantiser = quantiser.value
         side, cid, weight, member = (table[c].to_numpy() for c in ("side", "cid", "weight", "member"))
         x, coarse, same = _unit(table["embedding"].combine_chunks()), table["list"][0].as_py(), table["same"][0].as_py()
+        held = table["member"].combine_chunks()
+        codes, lost = np.zeros((len(cid), len(q.books)), np.uint8), np.zeros(len(cid))
+        codes[member] = np.frombuffer(b"".join(table["codes"].combine_chunks().filter(held).to_pylist()), np.uint8).reshape(-1, len(q.books))
+        lost[member] = table["lost"].combine_chunks().filter(held).to_numpy()
         links: dict[int, int] = {}
         parent: dict[int, int] = {}
         forest: list[tuple[int, int]] = []
@@ -125,10 +135,9 @@ def _compare(quantiser, least: float, reach: float):
             return v
 
         def scan(queries: np.ndarray, among: np.ndarray, ordered: bool) -> None:
-            codes, lost = q.code(x[among], np.full(len(among), coarse))
             for at in range(0, len(queries), 256):
                 part = queries[at : at + 256]
-                i, j = np.nonzero(q.estimate(x[part], codes, coarse) <= reach + lost[None] + 1e-9)
+                i, j = np.nonzero(q.estimate(x[part], codes[among], coarse) <= reach + lost[among][None] + 1e-9)
                 a, b = part[i], among[j]
                 ok = cid[a] < cid[b] if ordered else cid[a] != cid[b]
                 a, b = a[ok], b[ok]
@@ -165,7 +174,6 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.98, fit_rows: int
     gives an empty table; other columns are not carried.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
@@ -185,12 +193,12 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.98, fit_rows: int
         quantiser = spark.sparkContext.broadcast(fit_quantiser(_unit(sample.combine_chunks()), lists))
         base = part.select("label", "cid", "weight", "embedding")
         kinds = ", ".join(f"{n} {t}" for n, t in base.dtypes)
-        routed = written(base.mapInArrow(_route(quantiser, reach), f"{kinds}, list int, member boolean"), "routed")
+        routed = written(base.mapInArrow(_route(quantiser, reach), f"{kinds}, list int, member boolean, codes binary, lost double"), "routed")
         # members and visitors of a list are dealt to blocks of bounded size; every pair of blocks meets in a group of its own
         sizes = routed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = routed.join(hint_small(written(sizes, "list-sizes")), ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
         pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "label", "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"), "member", "cid", "weight", "embedding"
+            "label", "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"), "member", "codes", "lost", "cid", "weight", "embedding"
         )
         new = written(pairs.groupBy("label", "list", "i", "j").applyInArrow(_compare(quantiser, least, reach), "a long, b long, n long"), "vector-links")
         found = new if found is None else found.union(new)
