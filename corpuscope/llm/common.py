@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that part words, fixed by the operators' contracts: space, tab, newline, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
-#: At most so many rows go to a Python worker at once, so that a batch of long texts stays small.
+#: Rows that Python works on at once, so that what it makes of long texts stays small.
 BATCH_ROWS = 256
 
 
@@ -31,9 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches handed to Python by rows; a batch must hold whole texts, however long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows; Spark itself bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB, or one row)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fold(doc_id: Column) -> Column:
@@ -55,10 +59,10 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(span)) < F.lit(span * rows // total))
 
 
-#: A key with more than one in so many of all rows is heavy; so there are fewer heavy keys than this, whatever the input.
-HEAVY_SHARE = 2000
 #: A table of at most so many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: A key with more than one in so many of all rows is heavy; so there are fewer heavy keys than this, whatever the input.
+HEAVY_SHARE = BROADCAST_ROWS
 
 
 def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import bounded_sample, fold, small_batches, written
+from corpuscope.llm.common import bounded_sample, fold, slices, written
 
 #: Bounds of the fit: labelled documents, and words and n-grams of each length that the model keeps (the most frequent).
 FIT_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 60_000, 30_000, 5
@@ -35,7 +35,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = defaultdict(Counter)
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen[lang].update(text.split())
     rows: list[tuple[str, int, str, int]] = []
@@ -138,11 +138,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     scores go to the language that sorts first. Repeated rows and null ids are scored like any other (held_out is null for
     the latter). Other columns are not carried.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.predict(batch.column(2).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import join_skewed, small_batches, written
+from corpuscope.llm.common import join_skewed, slices, written
 
 
 def normalised(line: bytes) -> bytes:
@@ -27,7 +27,7 @@ def normalised(line: bytes) -> bytes:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 at: dict[bytes, list[int]] = {}
@@ -63,7 +63,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     through. Ties cannot arise: the smallest doc_id is unique.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     keys = written(
         docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
         .mapInArrow(_keys(min_chars), "h1 long, h2 long, doc long, row long, places array<int>"),
@@ -84,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     at = plain.columns.index("text")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(_rebuild(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist()))
             cols = [batch.column(i) for i in range(len(names) - 1)]
             cols[at] = pa.array([r[0] for r in rows], pa.string())

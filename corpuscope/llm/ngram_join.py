@@ -9,8 +9,9 @@ sketches (a lower bound again) and verified on the shingle sets.
 
 Sets that are equal are one class from the start. Candidates are not paired within a bucket: each bucket is a star around
 its leader, and verified stars are merged into components. Only buckets that still hold several components are looked at
-again, members against members of other components, on short sketches within bounded blocks; what comes out are the pairs
-that the sketches don't rule out, not the pairs of the bucket. No link between different components is missed.
+again: members outside the bucket's largest component against all members, in blocks bounded in bytes, where pairs that
+sketches don't rule out are verified and what comes out is a forest of links, not the pairs of the bucket. No link between
+different components is missed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import hint_small, input_bytes, join_skewed, small_batches, written
+from corpuscope.llm.common import hint_small, input_bytes, join_skewed, slices, written
 from corpuscope.llm.components import components
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
@@ -33,8 +34,10 @@ GROWTH, FLUSH_ROWS, BLOCK_ROWS, SHORT_BITS, FOLDS = 1.5, 1_500_000, 1_000_000, 2
 LOCAL_STAR = 8
 #: Rows of stars that are shipped as one piece, to any block: they need not meet again.
 STAR_ROWS = 65_536
-#: Members of one block of a bucket, and bucket rows that one task compares.
-BUCKET_BLOCK, TASK_ROWS = 2048, 20_000
+#: Members of one block of a bucket at most, and bytes; bytes of texts, pairs and rows that a group of texts gives one task.
+BUCKET_BLOCK, BLOCK_BYTES, TASK_BYTES, TASK_PAIRS, TASK_ROWS = 2048, 4_000_000, 24_000_000, 50_000_000, 20_000
+#: Pairs sifted at once, and failed pairs a task remembers.
+PAIRS, FAILED = 131_072, 1_000_000
 
 
 def size_bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +72,7 @@ def _split(h: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = _split(*shingles([t or "" for t in batch.column(2).to_pylist()], n), batch.num_rows)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             prints = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
@@ -149,7 +152,7 @@ def _ship(n: int, percent: int, blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             h, text = shingles(batch.column(1).to_pylist(), n)
             k, owner = band_keys(h, text, np.bincount(text, minlength=batch.num_rows), percent)
             keys.append(k)
@@ -182,11 +185,10 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = _split(*shingles(batch.column(1).to_pylist(), n), batch.num_rows)
             sketches = [np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) % SHORT_BITS, minlength=SHORT_BITS) & 1).tobytes() for s in sets]
-            short = [np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(FOLDS, -1), axis=0).tobytes() for s in sketches]  # parities add up
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(short, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "sketch", "short", "tokens"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "sketch", "tokens"])
 
     return run
 
@@ -195,7 +197,7 @@ def _sift(percent: int):
     """Drop pairs whose sizes or sketches rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
                 bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)]
@@ -208,7 +210,7 @@ def _sift(percent: int):
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -227,68 +229,124 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(sifted.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def _across(percent: int):
-    """Of some buckets (or pairs of blocks of large ones): pairs across components that sizes and sketches don't rule out."""
+def _joined(percent: int):
+    """Of the units of one task: links that join the components its members belong to, each verified on the whole sets.
+
+    A unit (key, i, j) compares block i of a bucket's members with block j of those outside its largest component. Pairs of
+    one component, the links found so far included, are not looked at again, so what comes out is a forest of links and
+    not the pairs. Pairs are sifted by size, by short and by whole sketches, then the nearest are verified first.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        key, i, j, side, cid, comp, n = (table[c].to_numpy() for c in ("key", "i", "j", "side", "cid", "comp", "n"))
-        bits = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint64).reshape(len(key), -1)
-        order = np.lexsort((side, j, i, key))
-        key, i, j, side, cid, comp, n, bits = (x[order] for x in (key, i, j, side, cid, comp, n, bits))
+        texts = table.filter(table["tokens"].is_valid())
+        ids, at = np.unique(texts["cid"].to_numpy(), return_index=True)
+        texts = texts.take(pa.array(at))
+        size, sets = texts["n"].to_numpy(), [np.frombuffer(t, np.uint64) for t in texts["tokens"].to_pylist()]
+        whole = np.frombuffer(b"".join(texts["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        short = np.bitwise_xor.reduce(whole.reshape(len(ids), FOLDS, -1), axis=1)  # parities add up
+
+        units = table.filter(table["tokens"].is_null())
+        key, i, j, side, cid, comp = (units[c].to_numpy() for c in ("key", "i", "j", "side", "cid", "comp"))
+        order = np.lexsort((cid, side, j, i, key))
+        key, i, j, side, cid, comp = (x[order] for x in (key, i, j, side, cid, comp))
+        doc = np.searchsorted(ids, cid)
+        _, group = np.unique(comp, return_inverse=True)
+        of = np.zeros(len(ids), np.int64)
+        of[doc] = group
+        parent = np.arange(int(group.max(initial=-1)) + 1)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        run_of = np.cumsum(new) - 1
-        starts, lengths = np.flatnonzero(new), np.bincount(run_of)
-        found: list[np.ndarray] = []
-
-        def keep(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent))
-            a, b = cid[a[ok]], cid[b[ok]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-
-        small = (lengths <= 64) & (i[starts] == j[starts])
-        for step in range(1, int(lengths[small].max(initial=1))):
-            a = np.flatnonzero(small[run_of[:-step]] & (run_of[step:] == run_of[:-step]))
-            keep(a, a + step, np.bitwise_count(bits[a] ^ bits[a + step]).sum(1).astype(np.int64))
-        for r in np.flatnonzero(~small).tolist():
-            rows = np.arange(starts[r], starts[r] + lengths[r])
-            same = i[starts[r]] == j[starts[r]]
-            left, right = (rows, rows) if same else (rows[side[rows] == 0], rows[side[rows] == 1])
-            for at in range(0, len(left), 128):
-                part = left[at : at + 128]
-                apart = np.zeros((len(part), len(right)), np.int64)
-                for w in range(bits.shape[1]):
-                    apart += np.bitwise_count(bits[part, w][:, None] ^ bits[right, w][None])
-                near = apart * (100 + percent) <= (n[part][:, None] + n[right][None]) * (100 - percent)
-                x, y = np.nonzero(near & ((part[:, None] < right[None]) | (not same)))
-                keep(part[x], right[y], apart[x, y])
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        first = np.flatnonzero(new)
+        outside = np.add.reduceat(side, first) if len(first) else first
+        inside = np.diff(np.append(first, len(key))) - outside
+        ends = np.concatenate([[0], np.cumsum(inside * outside)])
+        failed = np.zeros(0, np.int64)
+        found: list[tuple[int, int]] = []
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for start in range(0, int(ends[-1]), PAIRS):
+            pair = np.arange(start, min(start + PAIRS, int(ends[-1])))
+            unit = np.searchsorted(ends, pair, side="right") - 1
+            pair -= ends[unit]
+            a, b = doc[first[unit] + pair % inside[unit]], doc[first[unit] + inside[unit] + pair // inside[unit]]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            n = size[a] + size[b]
+            ok = (parent[of[a]] != parent[of[b]]) & (np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent)
+            a, b, n = a[ok], b[ok], n[ok]
+            for bits in (short, whole):
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(np.int64)
+                ok = apart * (100 + percent) <= n * (100 - percent)
+                a, b, n, apart = a[ok], b[ok], n[ok], apart[ok]
+            code = np.minimum(a, b) * len(ids) + np.maximum(a, b)
+            code, once = np.unique(code, return_index=True)
+            once = once[~np.isin(code, failed)]
+            again = []
+            for k in once[np.argsort(apart[once], kind="stable")].tolist():
+                x, y = int(a[k]), int(b[k])
+                rx, ry = root(of[x]), root(of[y])
+                if rx == ry:
+                    continue
+                less, more = sorted((sets[x], sets[y]), key=len)
+                both = int((more[np.minimum(np.searchsorted(more, less), len(more) - 1)] == less).sum())
+                if 100 * both >= percent * (len(less) + len(more) - both):
+                    parent[max(rx, ry)] = min(rx, ry)
+                    found.append((int(ids[x]), int(ids[y])))
+                else:
+                    again.append(min(x, y) * len(ids) + max(x, y))
+            failed = np.union1d(failed[-FAILED:], again).astype(np.int64)  # forgetting some costs time only
+        links = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": links.min(1), "b": links.max(1)}) if len(links) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     return run
 
 
+def _dealt(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """``named(key, cid, comp)`` -> rows ``task, key, i, j, side, cid, comp`` of all units that buckets of several components need, and the number of tasks.
+
+    Members (side 0) meet those outside their bucket's largest component (side 1), block by block. Blocks and tasks are
+    bounded in bytes: the sets of one bucket are of similar size, so its smallest member tells the size of all.
+    """
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("cid").alias("first"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.min("first").alias("first"))
+    mixed = mixed.where("comps > 1 and n > 2").select("key", "n", "first", F.col("most.comp").alias("giant"), (F.col("n") - F.col("most.n")).alias("outside"))  # of two, the star is the pair
+    width = mixed.join(sets.select(F.col("cid").alias("first"), (8 * F.col("n") + SHORT_BITS // 8 + 64).alias("width")), "first")
+    fit = F.greatest(F.lit(1), F.least(F.lit(BUCKET_BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("width"))))
+    width = written(width.withColumns({"blocks": F.ceil(F.col("n") / fit).cast("int"), "turns": F.ceil(F.col("outside") / fit).cast("int")}), "mixed")
+    each = written(join_skewed(named, width, ["key"]), "mixed-members")
+    # buckets of one group of texts have few smallest members: sent to the same task, their texts are shipped and compared
+    # only once; a large group goes to as many tasks as its texts, pairs or rows ask for
+    work = width.groupBy("first").agg(F.max("width").alias("width"), F.sum(F.col("n") * F.col("outside")).alias("pairs"), F.sum(F.col("n") * F.col("turns") + F.col("outside") * F.col("blocks")).alias("rows"))
+    work = work.join(each.groupBy("first").agg(F.count_distinct("cid").alias("docs")), "first")
+    share = F.greatest(F.col("docs") * F.col("width") / TASK_BYTES, F.col("pairs") / TASK_PAIRS, F.col("rows") / TASK_ROWS)
+    work = written(work.select("first", share.alias("share")), "groups")
+    tasks = max(96, int(work.agg(F.sum("share")).first()[0] or 0))
+    place = lambda of, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(of)).cast("int")
+    upto = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    each = each.join(hint_small(work), "first")
+    members = each.select("*", place("blocks", "i").alias("i"), F.explode(upto("turns")).alias("j"), F.lit(0).alias("side"))
+    outsiders = each.where("comp <> giant").select("*", F.explode(upto("blocks")).alias("i"), place("turns", "j").alias("j"), F.lit(1).alias("side"))
+    task = F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("key"), F.ceil("share")), "i", "j"), F.lit(tasks))
+    return written(members.unionByName(outsiders).select(task.alias("task"), "key", "i", "j", "side", "cid", "comp"), "units"), tasks
+
+
 def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Enough links between different sets to join every component: all components of links, not all links."""
     tested = written(rows.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     links = _linked(tested, sets, percent)
-    named = rows.select("key", "cid").distinct().join(hint_small(components(links).withColumnRenamed("id", "cid")), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("first"), F.count("*").alias("n"))
-    mixed = mixed.where("lo < hi and n > 2").select("key", "first", "n", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))  # of two, the star is the pair
-    # no more buckets than a set has bands share their smallest member
-    mixed = written(mixed.withColumn("load", F.sum(F.col("n") * F.col("blocks")).over(Window.partitionBy("first"))), "mixed")
-    size = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
-    if not size:
-        return links
-    rest = join_skewed(named, mixed, ["key"]).join(sets.select("cid", "n", "short"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "first", "load", "cid", "comp", "n", "short")
-    tasks = max(96, int(size) // TASK_ROWS)
-    # buckets of one group of texts have few smallest members: sent to the same task, they name a pair only once; those of
-    # a large group go to as many tasks as its share of all bucket rows asks for
-    slot = F.pmod(F.xxhash64("key"), F.ceil(F.col("load") * tasks / int(size)))
-    fresh = dealt.withColumn("task", F.pmod(F.xxhash64("first", slot, "i", "j"), F.lit(tasks))).drop("first", "load").groupBy("task").applyInArrow(_across(percent), "a long, b long")
-    fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    return written(links.union(_linked(fresh, sets, percent)), "links")
+    # two hops to a smaller linked document name most of a component; what they leave apart, the units join
+    least = written(links.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("near")), "near")
+    known = written(least.join(hint_small(least).select(F.col("cid").alias("near"), F.col("near").alias("far")), "near", "left").select("cid", F.coalesce("far", "near").alias("comp")), "hops")
+    named = written(rows.select("key", "cid").distinct().join(hint_small(known), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp")), "bucket-members")
+    dealt, tasks = _dealt(named, sets)
+    texts = dealt.select("task", "cid").distinct().join(sets.select("cid", "n", "sketch", "tokens"), "cid")
+    met = dealt.unionByName(texts, allowMissingColumns=True).repartition(tasks, "task")
+    return written(links.union(met.groupBy("task").applyInArrow(_joined(percent), "a long, b long")), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +360,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     columns of ``docs`` don't matter. Sets are held as 64-bit shingle hashes.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     n_bytes = input_bytes(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
     prints = written(keyed.mapInArrow(_fingerprints(shingle), "doc long, row long, n long, f1 long, f2 long"), "prints")
@@ -317,9 +374,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     firsts = keyed.where("doc is not null and octet_length(text) > 0").join(hint_small(silent), ["doc", "row"], "left_anti").select("doc", "text")
     blocks = max(24, int(n_bytes / 6 * 0.4) // BLOCK_ROWS)
     shipped = firsts.mapInArrow(_ship(shingle, percent, blocks), "kind int, block long, keys binary, docs binary, leaders binary")
+    shipped = shipped.repartition(blocks, "kind", "block")  # a task's share doesn't grow with the input
     rows = written(shipped.groupBy("kind", "block").applyInArrow(_meet, "key long, cid long, leader long"), "buckets")
     wanted = written(rows.select(F.col("cid").alias("doc")).distinct(), "wanted")
-    sets = written(firsts.join(hint_small(wanted), "doc", "left_semi").mapInArrow(_sets(shingle), "cid long, n long, sketch binary, short binary, tokens binary"), "sets")
+    sets = written(firsts.join(hint_small(wanted), "doc", "left_semi").mapInArrow(_sets(shingle), "cid long, n long, sketch binary, tokens binary"), "sets")
     found = components(_links(rows, sets, percent)).withColumnRenamed("id", "cid")
 
     grouped = member.select("doc", "cid").join(found, "cid", "left").select("doc", F.coalesce("component", "cid").alias("component_id"))

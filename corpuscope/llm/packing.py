@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import hint_small, small_batches, written
+from corpuscope.llm.common import hint_small, slices, written
 
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 400_000
@@ -133,7 +133,7 @@ def _encoder(path: str, size: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([separator], "<u4").tobytes()
         part, places, own = TaskContext.get().partitionId(), [0] * size, 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [i + end for i in encode_texts([t or "" for t in batch.column(1).to_pylist()], path)]
             out: list[list[int]] = [[], [], [], []]
             for n in (len(i) // 4 for i in ids):
@@ -286,7 +286,7 @@ class Places:
 def _pieces(places, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = places.value.find
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], [], [], []]
             for doc, packed, tokens, rest, rank, whole in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 ids, start = _grown(packed), 0
@@ -311,7 +311,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0)
     packed each for itself, in no given order. Other columns of ``docs`` are not carried. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema["doc_id"].dataType
     coded_as = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("doc_tokens", "rest", "place", "own", "part")]])
     coded = written(docs.select("doc_id", "text").mapInArrow(_encoder(tokenizer, size, separator), coded_as), "coded")

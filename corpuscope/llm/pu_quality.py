@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import bounded_sample, fold, small_batches
+from corpuscope.llm.common import bounded_sample, fold, slices
 
 #: Bounds of the fit: positives and unlabelled documents.
 FIT_POSITIVES, FIT_UNLABELLED = 15_000, 15_000
@@ -158,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIV
 
     def measured(df: DataFrame, most: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.record_batch([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
 
         rows = df.select("text").mapInArrow(run, "x array<double>").limit(2 * most).toArrow()["x"]  # bounded, should one id have very many rows
@@ -189,11 +189,10 @@ def score_documents(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     (nothing was labelled good) every score is EVEN. Long texts are measured whole, in batches bounded in bytes. Repeated rows and null ids are scored like any other (held_out is null
     for the latter). Other columns are not carried.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t) for t in batch.column(2).to_pylist()], float).reshape(-1, N_FEATURES)
             score = shared.value.scores(x) if shared.value else np.full(len(x), EVEN)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= EVEN).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

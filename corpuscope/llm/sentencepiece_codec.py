@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import small_batches
+from corpuscope.llm.common import slices
 
 SPACE = "▁"
 #: Words whose ids a worker remembers.
@@ -218,12 +218,11 @@ def encode_spans(docs: DataFrame, model: str) -> DataFrame:
     A null or empty text has no pieces. Bytes that the normaliser drops lie in the span of the piece before them. Repeated rows
     and null ids are encoded like any other; other columns are not carried.
     """
-    small_batches(docs.sparkSession)
     item = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
     as_arrow = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[dict(zip(("piece", "id", "begin", "end"), s, strict=True)) for s in codec(model).spans(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, as_arrow)], names=["doc_id", "pieces"])
 
@@ -236,10 +235,9 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     offsets (binary, little-endian uint32): the byte of the text where each piece begins, then the text's length.
     A null text is an empty one. Repeated rows and null ids are encoded like any other; other columns are not carried.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pieces = codec(model).encode_aligned([t or "" for t in batch.column(1).to_pylist()])
             ids = [i for i, _ in pieces]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([o for _, o in pieces], pa.binary()), pa.array(codec(model).decode(ids), pa.string())], names=["doc_id", "ids", "offsets", "decoded"])

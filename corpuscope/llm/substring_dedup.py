@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import hint_small, input_bytes, join_skewed, small_batches, written
+from corpuscope.llm.common import hint_small, input_bytes, join_skewed, slices, written
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
 #: Cells of one block of one row of the sketch (2^23), windows a task counts before it ships them, and input bytes of a chunk.
@@ -91,7 +91,7 @@ def _sketch(window: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, chunks, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             words, ends = word_hashes([t.encode() for t in batch.column(1).to_pylist()])
             h, text, _ = window_hashes(words, ends, window)
             keep = _first_of_text(h, text)
@@ -178,7 +178,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     other. An empty table gives an empty table. Columns named n_words or n_removed are replaced; others pass through.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n_bytes = input_bytes(docs)
     bits = max(BLOCK_BITS + 3, int(np.ceil(np.log2(max(1, n_bytes / 6 * CELLS_PER_WINDOW)))))
     n_chunks = max(24, -(-n_bytes // CHUNK_BYTES))
@@ -203,7 +202,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [_cut(*x, window) for x in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array([r[0] for r in rows], pa.string())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import bounded_sample, fold, small_batches, written
+from corpuscope.llm.common import bounded_sample, fold, slices, written
 
 #: Bounds of the fit: labelled documents, and features kept; evidence that a feature needs (log-likelihood ratio) and its log odds.
 FIT_DOCS, MOST_FEATURES, LEAST_EVIDENCE, LEAST_ODDS = 30_000, 20_000, 16.0, 3.5
@@ -214,7 +214,7 @@ class ToxicityModel:
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of either label hold each feature."""
     seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for batch in batches:
+    for batch in slices(batches):
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             mine = seen[toxic]
             for f in {f for w in {plain(w) for w in text.split()} if w for f in features_of(w)}:
@@ -256,7 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array([shared.value.weigh(x) for x in batch.column(1).to_pylist()], pa.float64())], names=["toxic", "weight"])
 
     found = sample.mapInArrow(weigh, "toxic int, weight double").toArrow()  # bounded by the sample
@@ -271,11 +271,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     whole, in batches bounded in bytes, and score by their best clauses like short ones. Repeated rows and null
     ids are scored like any other (held_out is null for the latter). Other columns are not carried.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = np.array([shared.value.score(x) for x in batch.column(2).to_pylist()], float)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
