@@ -302,6 +302,15 @@ def test_embedding_duplicates(spark):
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", [1e-200, 1e200, 5e-324])
+def test_embedding_links_beside_extreme_vectors(spark, odd):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 0.01).tolist(), 1) for i in range(60)] + [(60, [odd] * 8, 1), (61, (np.full(8, odd) * [1, 1, 1, 1, 1, 1, 1, 2]).tolist(), 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == (59, 0) for i in range(60)) and got[60] == (0, 60) and got[61] == (0, 61)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
