@@ -105,6 +105,29 @@ def strip_protocol(url: Column) -> Column:
     return F.regexp_replace(url, "^https?://", "")
 
 
+#: Bytes that an url without its protocol may have at most.
+MOST_URL_BYTES = 3000
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Protocol and the rest of an url, normalised; both null if it is no http url or the rest is longer than MOST_URL_BYTES.
+
+    The host is lower-cased, a default port and the fragment go, an empty path is a slash, percent escapes are upper case, the
+    parts of the query are sorted.
+    """
+    whole = F.trim(url)
+    part = lambda i: F.regexp_extract(whole, r"^(?i:(https?)://)(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?(?:#.*)?$", i)
+    proto, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), F.substring(part(5), 2, 1 << 30)
+    port = F.when((port == "") | (proto == "http") & (port == "80") | (proto == "https") & (port == "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    asked = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x != "")), "&")
+    rest = F.concat(host, port, F.when(path == "", F.lit("/")).otherwise(path), F.when(asked == "", F.lit("")).otherwise(F.concat(F.lit("?"), asked)))
+    # split at escapes: what follows each % begins with its two digits
+    pieces = F.split(rest, "%")
+    rest = F.array_join(F.transform(pieces, lambda x, i: F.when((i > 0) & x.rlike("^[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30))).otherwise(x)), "%")
+    sound = (host != "") & (F.octet_length(rest) <= MOST_URL_BYTES)
+    return F.when(sound, proto), F.when(sound, rest)
+
+
 def site_of(url: Column) -> Column:
     """What stands before the first slash of an url without its protocol."""
     return F.substring_index(url, "/", 1)

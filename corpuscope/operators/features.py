@@ -43,17 +43,33 @@ def interactions(posts: DataFrame, comments: DataFrame, sentinel: int | None = 0
 
 
 def running_average(rows: DataFrame, dims: int, user: str = "user_id", order: str = "id") -> DataFrame:
-    """At each post of a user: the mean vector of the user's earlier comments (``kind`` comment), null if none.
+    """At each post of a user: the mean vectors of the user's earlier comments (``kind`` comment) and earlier posts, null if none.
+
+    ``n_before`` and ``average`` are of comments, ``n_history`` and ``history`` of posts.
 
     Posts and comments share one id space. Sums run per user and dimension as window aggregates over the rows before the
     current one, so no user's rows are collected; memory is bounded by the dimensions.
     """
     before = Window.partitionBy(user).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     is_comment = F.col("kind") == "comment"
-    count = F.sum(F.when(is_comment, 1).otherwise(0)).over(before)
-    sums = [F.sum(F.when(is_comment, F.get("embedding", F.lit(i)).cast("double")).otherwise(0.0)).over(before) for i in range(dims)]
-    averaged = rows.select(user, order, "kind", F.coalesce(count, F.lit(0)).alias("n_before"), F.array(*[F.try_divide(s, count) for s in sums]).alias("average"))
-    return averaged.where(F.col("kind") == "post").drop("kind").withColumn("average", F.when(F.col("n_before") > 0, F.col("average")))
+    made = []
+    for kind, n, mean in ((is_comment, "n_before", "average"), (~is_comment, "n_history", "history")):
+        count = F.coalesce(F.sum(F.when(kind, 1).otherwise(0)).over(before), F.lit(0))
+        sums = [F.sum(F.when(kind, F.get("embedding", F.lit(i)).cast("double")).otherwise(0.0)).over(before) for i in range(dims)]
+        made += [count.alias(n), F.when(count > 0, F.array(*[F.try_divide(s, count) for s in sums])).alias(mean)]
+    return rows.select(user, order, "kind", *made).where(F.col("kind") == "post").drop("kind")
+
+
+def interaction_training(interactions: DataFrame, posts: DataFrame, comments: DataFrame, dims: int) -> DataFrame:
+    """``user, post, n_before, average, n_history, history``: one row per interaction with an embedded post.
+
+    At each post, for each user that interacts with it: the mean vectors of the user's comments with smaller ids and of the
+    posts with smaller ids that the user interacted with. ``interactions(user, post)``, ``posts(id, embedding)``,
+    ``comments(id, user, embedding)``; posts and comments share one id space. Interactions with other posts are left out.
+    """
+    met = interactions.select("user", F.col("post").alias("id")).distinct().join(posts.select("id", "embedding"), "id")
+    rows = met.select("user", "id", F.lit("post").alias("kind"), "embedding").unionByName(comments.select("user", "id", F.lit("comment").alias("kind"), "embedding"))
+    return running_average(rows, dims, user="user").withColumnRenamed("id", "post")
 
 
 def time_features(posts: DataFrame) -> DataFrame:

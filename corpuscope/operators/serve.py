@@ -62,6 +62,30 @@ def thread_roots(items: DataFrame, max_depth: int = 4096) -> DataFrame:
     return jump
 
 
+def reply_contexts(items: DataFrame, max_depth: int = 4096, separator: str = "\n\n") -> DataFrame:
+    """``id, context`` of each comment (id, parent, text, ``url`` of posts): the texts of its chain from the post down to itself, under headings.
+
+    Chains are made by pointer doubling: each round puts the text gathered at the next known ancestor in front and moves the
+    pointer to that one's, so a chain of n items takes log2(n) joins. Comments of blank text get no context; a chain that
+    ends at a missing parent keeps what is known. ``items`` without a parent are posts.
+    """
+    post = F.concat_ws(separator, F.lit("# Post"), F.coalesce("text", F.lit("")), F.nullif(F.coalesce("url", F.lit("")), F.lit("")))
+    here = F.when(F.col("parent").isNull(), post).otherwise(F.concat_ws(separator, F.lit("# Comment"), F.coalesce("text", F.lit(""))))
+    own = F.concat_ws(separator, F.lit("# Reply"), F.col("text"))
+    known = items.select("id", F.col("parent").alias("next"), here.alias("chain"))
+    chains = cut_lineage(known.select("id", "next", F.col("chain").alias("above")))
+    reach = 1
+    while reach < max_depth:
+        up = chains.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("above").alias("front"))
+        joined = chains.join(up, "next", "left").select("id", F.col("after").alias("next"), F.concat_ws(separator, "front", "above").alias("above"))
+        chains, reach = cut_lineage(joined), reach * 2
+        if not chains.where("next is not null").limit(1).count():
+            break
+    replies = items.where("parent is not null").where(F.length(F.trim("text")) > 0).select("id", "parent", own.alias("own"))
+    named = replies.join(chains.select(F.col("id").alias("parent"), "above"), "parent", "left")
+    return named.select("id", F.trim(F.concat_ws(separator, "above", "own")).alias("context"))
+
+
 def post_context(posts: DataFrame, replies: DataFrame, separator: str = "\n\n", most_chars: int = 65536) -> DataFrame:
     """``id, context``: a post's text, then its replies by rank under a heading; empty parts are left out."""
     parts = replies.where(F.length(F.trim("text")) > 0).groupBy("post").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("texts"))

@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.scalar import key_hash
@@ -60,14 +60,53 @@ def lod_sample(points: DataFrame, meta: DataFrame) -> DataFrame:
         else:
             marked = marked.withColumn("second", F.lit(None).cast("int"))
         ranked = marked.select("id", F.coalesce("first", "second", F.lit(2)).alias("turn"))
-        now = ranked.orderBy("turn", key_hash(F.col("id")), "id").limit((BASE << lod) ** 2).select("id")
-        before = cut_lineage(now)
+        before = cut_lineage(first_rows(ranked.withColumn("at", key_hash(F.col("id"))), (BASE << lod) ** 2))
         level = before.select(F.lit(lod).alias("lod"), "id")
         out = level if out is None else out.unionByName(level)
     last = points.select(F.lit(levels - 1).alias("lod"), "id")
     return last if out is None else out.unionByName(last)
 
 
+def first_rows(ranked: DataFrame, n: int, ranges: int = 4096) -> DataFrame:
+    """The ``id`` of the first ``n`` rows of ``ranked(id, turn, at)`` by turn, at (a hash below 2^32) and id.
+
+    Rows are counted by turn and range of hashes, a table of a few thousand numbers, which tells in which range the n-th row
+    lies: ranges before it are taken whole, and only that one is sorted.
+    """
+    cut = F.floor(F.col("at") / ((1 << 32) // ranges)).cast("int")
+    placed = ranked.withColumn("range", cut)
+    left = n
+    for row in sorted(placed.groupBy("turn", "range").count().collect()):
+        if row["count"] > left:
+            here = (F.col("turn") == row["turn"]) & (F.col("range") == row["range"])
+            whole = (F.col("turn") < row["turn"]) | (F.col("turn") == row["turn"]) & (F.col("range") < row["range"])
+            return placed.where(whole).select("id").union(placed.where(here).orderBy("at", "id").limit(left).select("id"))
+        left -= row["count"]
+    return placed.select("id")
+
+
+def tile_range(meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """One row ``tile_x_min, tile_x_max, tile_y_min, tile_y_max``: the tiles of a level that a viewport touches."""
+    n = 1 << lod
+
+    def at(c: str, v: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide((F.lit(v) - F.col(f"{c}_min")) * n, F.col(f"{c}_max") - F.col(f"{c}_min"))), F.lit(0)))).cast("int")
+
+    return meta.select(at("x", x0).alias("tile_x_min"), at("x", x1).alias("tile_x_max"), at("y", y0).alias("tile_y_min"), at("y", y1).alias("tile_y_max"))
+
+
+def write_tiles(tiles: DataFrame, folder: str) -> None:
+    """The map's tiles as Parquet, a folder per level and row of tiles, so that a lookup reads only those that it asks for."""
+    tiles.repartition("lod", "tile_y").sortWithinPartitions("lod", "tile_y", "tile_x").write.partitionBy("lod", "tile_y").mode("overwrite").parquet(folder)
+
+
+def viewport_tiles(spark: SparkSession, folder: str, meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """The written tiles of a level that a viewport touches."""
+    r = tile_range(meta, lod, x0, y0, x1, y1).first()
+    tiles = spark.read.parquet(folder).where((F.col("lod") == lod) & F.col("tile_y").between(r["tile_y_min"], r["tile_y_max"]))
+    return tiles.where(F.col("tile_x").between(r["tile_x_min"], r["tile_x_max"]))
+
+
 def lod_tiles(points: DataFrame, sample: DataFrame, meta: DataFrame) -> DataFrame:
     """``lod, tile_x, tile_y, points``: each level's points by tile, 2^lod tiles an axis, sorted by id."""
     placed = sample.join(points, "id").crossJoin(F.broadcast(meta.select("x_min", "x_max", "y_min", "y_max")))
@@ -126,25 +165,29 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def dense(cells: pd.DataFrame, value: str, upscale: int) -> np.ndarray:
-    """Cells on a full grid, repeated ``upscale`` times along each axis."""
-    if not len(cells):
-        return np.zeros((upscale, upscale))
-    grid = np.zeros((int(cells["cell_y"].max()) + 1, int(cells["cell_x"].max()) + 1))
-    grid[cells["cell_y"], cells["cell_x"]] = cells[value]
+def dense(cells: pd.DataFrame, value: str, upscale: int, size: tuple[int, int]) -> np.ndarray:
+    """Cells on a full grid of ``size`` (width, height), repeated ``upscale`` times along each axis."""
+    grid = np.zeros(size[::-1])
+    filled = cells[cells["cell_x"].notna()]
+    grid[filled["cell_y"].astype(int), filled["cell_x"].astype(int)] = filled[value]
     return grid.repeat(upscale, axis=0).repeat(upscale, axis=1)
 
 
-def heat_image(cells: DataFrame, color: tuple[int, int, int], alpha_scale: float = 2.0, sigma: int = 4, upscale: int = 2) -> DataFrame:
-    """One row ``width, height, png``: the cells (a grid whose size the map's extent bounds) blurred, as alpha of one colour."""
+def heat_image(cells: DataFrame, size: DataFrame, color: tuple[int, int, int], alpha_scale: float = 2.0, sigma: int = 4, upscale: int = 2) -> DataFrame:
+    """One row ``width, height, png``: the cells blurred, as alpha of one colour.
+
+    ``size`` is one row (width, height) of cells: that of the whole map, so that the picture of a narrow query lies on it where
+    it belongs. Without a cell the picture is clear.
+    """
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        alpha = np.clip(blurred(dense(pdf, "weight", upscale), sigma) * alpha_scale, 0, 1)
+        grid = dense(pdf, "weight", upscale, (int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])))
+        alpha = np.clip(blurred(grid, sigma) * alpha_scale, 0, 1)
         rgba = np.zeros((*alpha.shape, 4), np.uint8)
         rgba[..., :3], rgba[..., 3] = color, (alpha * 255).astype(np.uint8)
         return pd.DataFrame({"width": [alpha.shape[1]], "height": [alpha.shape[0]], "png": [png(rgba)]})
 
-    return cells.groupBy().applyInPandas(draw, "width int, height int, png binary")
+    return size.join(cells, F.lit(True), "left").groupBy().applyInPandas(draw, "width int, height int, png binary")
 
 
 def _outline(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
@@ -168,6 +211,12 @@ def _outline(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
         path.append(at)
 
 
+def _corners(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A closed path without the points at which it goes straight on."""
+    step = lambda a, b: (b[0] - a[0], b[1] - a[1])
+    return [p for i, p in enumerate(path) if step(path[i - 1], p) != step(p, path[(i + 1) % len(path)])]
+
+
 def _shapes(mask: np.ndarray) -> list[tuple[int, int]]:
     """First cell in reading order of each 8-connected shape."""
     seen = np.zeros(mask.shape, bool)
@@ -189,22 +238,30 @@ def _shapes(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def terrain_paths(cells: DataFrame, meta: DataFrame, dpi: float = 32, upscale: int = 1, sigma: int = 1, contours: int = 4) -> DataFrame:
-    """``level, path_id, path``: outlines of equal-density shapes of the blurred grid, as map coordinates."""
+    """``level, path_id, path``: outlines of equal-density shapes of the blurred grid, as map coordinates.
+
+    Outlines of fewer than four points are no polygons and left out; so are those of level 0 with a point in the first row or
+    column: only holes in higher ground are of interest there. The grid's size is bounded by the map's extent.
+    """
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = blurred(dense(pdf, "density", upscale), sigma * upscale)
-        size = (grid.max() - grid.min()) / contours
-        levels = np.clip((grid - grid.min()) // size, 0, contours - 1) if size > 0 else np.zeros(grid.shape)
+        size = tuple(max(1, int((pdf[f"{c}_max"].iloc[0] - pdf[f"{c}_min"].iloc[0]) * dpi)) for c in ("x", "y"))
+        grid = blurred(dense(pdf, "density", upscale, size), sigma * upscale)
+        step = (grid.max() - grid.min()) / contours
+        levels = np.clip((grid - grid.min()) // step, 0, contours - 1) if step > 0 else np.zeros(grid.shape)
         x0, y0 = pdf["x_min"].iloc[0], pdf["y_min"].iloc[0]
         rows = []
         for level in range(contours):
             mask = levels == level
             for start in _shapes(mask):
-                path = [{"x": float(x0 + x / upscale / dpi), "y": float(y0 + y / upscale / dpi)} for y, x in _outline(mask, start)]
+                cells = _corners(_outline(mask, start))
+                if len(cells) < 4 or level == 0 and any(0 in cell for cell in cells):
+                    continue
+                path = [{"x": float(x0 + x / upscale / dpi), "y": float(y0 + y / upscale / dpi)} for y, x in cells]
                 rows.append((level, len(rows), path))
         return pd.DataFrame(rows, columns=["level", "path_id", "path"])
 
-    return cells.crossJoin(F.broadcast(meta.select("x_min", "y_min"))).groupBy().applyInPandas(trace, "level int, path_id int, path array<struct<x:double,y:double>>")
+    return cells.crossJoin(F.broadcast(meta.select("x_min", "y_min", "x_max", "y_max"))).groupBy().applyInPandas(trace, "level int, path_id int, path array<struct<x:double,y:double>>")
 
 
 def pick_labels(points: DataFrame, zooms: list[int], tile: float, width: float = 0.1, height: float = 0.02) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuscope.functions.scalar import bucket_date
 from corpuscope.plans.query import Clip, Dataset, GroupByOutput, HeatmapOutput, ItemsOutput, QueryInput, compile_query
@@ -62,10 +61,7 @@ def analyze_sentiment(dataset: Dataset, query: Vector, *, sim_min_hundredths: in
     return compile_query(dataset, q)[0].select("group", bucket_date(F.col("group")).alias("week"), F.col("sent_pos_thresh").alias("positive"), F.col("sent_neg_thresh").alias("negative"))
 
 
-def heatmap(dataset: Dataset, query: Vector, *, sim_floor: float | None = None, density: float = 25.0) -> DataFrame:
-    """Cells of the map by summed scaled similarity."""
-    q = QueryInput((HeatmapOutput(density),), (tuple(query),), scales={"sim": Clip(SIM_FLOOR.get(dataset.name, 0.7) if sim_floor is None else sim_floor, 1.0)}, weights={"sim_scaled": 1.0}, post_filter_clip={"sim_scaled": Clip(0.01, 1.0)})
+def heatmap(dataset: Dataset, query: Vector, *, sim_floor: float | None = None, density: float = 25.0, color: tuple[int, int, int] | None = None, alpha_scale: float = 2.0, sigma: int = 4, upscale: int = 2) -> DataFrame:
+    """Cells of the map by summed scaled similarity; with a colour, the picture of the whole map."""
+    q = QueryInput((HeatmapOutput(density, color, alpha_scale, sigma, upscale),), (tuple(query),), scales={"sim": Clip(SIM_FLOOR.get(dataset.name, 0.7) if sim_floor is None else sim_floor, 1.0)}, weights={"sim_scaled": 1.0}, post_filter_clip={"sim_scaled": Clip(0.01, 1.0)})
     return compile_query(dataset, q)[0]
-
-
-HEATMAP_IMAGE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("png", T.BinaryType())])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scalar, vectors
+from corpuscope.operators.spatial import heat_image
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
@@ -50,10 +51,10 @@ class GroupByOutput:
 
 @dataclass(frozen=True)
 class HeatmapOutput:
-    """Sum of scores per cell of a grid over the whole dataset's extent, ``density`` cells a unit."""
+    """Sum of scores per cell of a grid over the whole dataset's extent, ``density`` cells a unit; drawn as an image if a colour is given."""
 
     density: float
-    color: tuple[int, int, int] = (0, 0, 0)
+    color: tuple[int, int, int] | None = None
     alpha_scale: float = 1.0
     sigma: int = 1
     upscale: int = 1
@@ -121,10 +122,10 @@ def scored(dataset: Dataset, q: QueryInput) -> DataFrame:
     rows = dataset.rows
     validate(q, rows.columns)
     floats = {f.name for f in rows.schema if f.dataType.simpleString() in ("double", "float")}
-    rows = rows.withColumns({c: scalar.no_nan(F.col(c)) for c in floats})
     base = [_range(c, r) for c, r in q.post_filter_clip.items() if c in rows.columns]
-    if base:
+    if base:  # on the stored columns, so that ranges reach the scan; NaN is above any bound and falls out
         rows = rows.where(reduce(and_, base))
+    rows = rows.withColumns({c: scalar.no_nan(F.col(c)) for c in floats})
     if q.queries:
         queries = [list(v) for v in q.queries]
         if q.pre_filter_ann is not None:
@@ -162,6 +163,12 @@ def extent(rows: DataFrame) -> DataFrame:
     return rows.agg(*[f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
 
 
+def grid_size(whole: DataFrame, density: float) -> DataFrame:
+    """One row ``width, height``: the cells of a grid over the extent of ``whole``, one an axis at least."""
+    cells = lambda c: F.greatest(F.lit(1), F.floor((F.col(f"{c}_max") - F.col(f"{c}_min")) * density)).cast("int")
+    return extent(whole).select(cells("x").alias("width"), cells("y").alias("height"))
+
+
 def heat_cells(points: DataFrame, whole: DataFrame, density: float, weight: str = "final_score", agg: str = "sum") -> DataFrame:
     """``cell_x, cell_y, weight``: the aggregate of a weight per cell, the grid laid over the extent of ``whole``."""
     placed = points.crossJoin(F.broadcast(extent(whole)))
@@ -188,5 +195,6 @@ def compile_query(dataset: Dataset, q: QueryInput) -> list[DataFrame]:
             aggs = [AGGREGATES[how](c).alias(c) for c, how in dict(o.cols).items()]
             out.append(_ordered(named.groupBy("group").agg(*aggs), o.order_by, o.order_asc, "group", o.limit))
         else:
-            out.append(heat_cells(rows, dataset.rows, o.density))
+            cells = heat_cells(rows, dataset.rows, o.density)
+            out.append(cells if o.color is None else heat_image(cells, grid_size(dataset.rows, o.density), o.color, o.alpha_scale, o.sigma, o.upscale))
     return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions import html, scalar, vectors
+from corpuscope.functions import encoders, html, scalar, vectors
 from corpuscope.operators import features, ml, serve, spatial, upsert
 from corpuscope.plans import endpoints
 from corpuscope.plans.query import Clip, GroupByOutput, ItemsOutput, QueryInput, compile_query
@@ -61,6 +62,11 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where the session names none (one machine)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpuscope-')}").rstrip("/")
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return t.dataset(spark, d, "toppost").rows.select("id", "x", "y", F.col("votes").alias("score"))
 
@@ -123,8 +129,7 @@ def heatmap_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def heatmap_png(spark: SparkSession, d: str) -> DataFrame:
-    cells = endpoints.heatmap(t.dataset(spark, d, "toppost"), t.query_vector(spark, d), sim_floor=0.1)
-    return spatial.heat_image(cells, (30, 90, 200))
+    return endpoints.heatmap(t.dataset(spark, d, "toppost"), t.query_vector(spark, d), sim_floor=0.1, color=(30, 90, 200))
 
 
 # --- parts of the declarative query -------------------------------------------------------------------------------------------
@@ -206,7 +211,8 @@ def ann_exact_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def ann_lsh(spark: SparkSession, d: str) -> DataFrame:
-    return ml.lsh_nearest(t.vector_table(spark, d), t.query_vector(spark, d), 10)
+    v = t.vector_table(spark, d)
+    return ml.lsh_nearest_many(v, v.where("vec_id % 50 = 0"), 10)
 
 
 # --- feature builds ----------------------------------------------------------------------------------------------------------
@@ -237,14 +243,32 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     return features.interactions(t.posts(spark, d), t.comments(spark, d), sentinel=None)
 
 
-@register("WITH r AS (SELECT event_id AS id, user_id, event_type = 'purchase' AS is_post, embedding::DOUBLE[] AS e FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE event_type IN ('purchase', 'view', 'click')), u AS (SELECT id, user_id, is_post, unnest(e[1:8]) AS v, unnest(range(8))::INTEGER AS dim FROM r), w AS (SELECT *, avg(CASE WHEN NOT is_post THEN v END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(CASE WHEN NOT is_post THEN 1 END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM u) SELECT user_id, id, n AS n_before, dim, round(a, 6) AS value FROM w WHERE is_post", plain=True)
+@register("WITH r AS (SELECT event_id AS id, user_id, event_type = 'purchase' AS is_post, embedding::DOUBLE[] AS e FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE event_type IN ('purchase', 'view', 'click')), u AS (SELECT id, user_id, is_post, unnest(e) AS v, unnest(range(len(e)))::INTEGER AS dim FROM r), w AS (SELECT *, avg(CASE WHEN NOT is_post THEN v END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(CASE WHEN NOT is_post THEN 1 END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM u) SELECT user_id, id, n AS n_before, dim, round(a, 6) AS value FROM w WHERE is_post", plain=True)
 def asof_user_average(spark: SparkSession, d: str) -> DataFrame:
     v = t.vector_table(spark, d)
     n = v.count()
     e = t.read_table(spark, d, "events", ["event_id", "user_id", "event_type"]).where(F.col("event_type").isin("purchase", "view", "click"))
     rows = e.select("user_id", F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "post").otherwise("comment").alias("kind"), (F.col("event_id") % n).alias("vec_id")).join(v, "vec_id")
-    found = features.running_average(rows, 8)
-    return found.withColumn("average", F.coalesce("average", F.array_repeat(F.lit(None).cast("double"), 8))).select("user_id", "id", "n_before", F.posexplode("average").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    dims = len(t.query_vector(spark, d))
+    found = features.running_average(rows, dims)
+    return found.withColumn("average", F.coalesce("average", F.array_repeat(F.lit(None).cast("double"), dims))).select("user_id", "id", "n_before", F.posexplode("average").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+EVENTS = "e AS (SELECT event_id AS id, user_id, event_type = 'purchase' AS is_post, (event_id * 7919) % (SELECT count(*) FROM events) AS target, embedding::DOUBLE[] AS v FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE event_type IN ('purchase', 'view', 'click'))"
+
+
+@register(f"WITH {EVENTS}, met AS (SELECT user_id, id AS post FROM e WHERE is_post UNION SELECT c.user_id, p.id FROM e c JOIN e p ON p.id = c.target AND p.is_post WHERE NOT c.is_post), r AS (SELECT met.user_id, post AS id, true AS is_post, v FROM met JOIN e ON e.id = post UNION ALL SELECT user_id, id, false, v FROM e WHERE NOT is_post), u AS (SELECT user_id, id, is_post, unnest(v) AS v, unnest(range(len(v)))::INTEGER AS dim FROM r), w AS (SELECT *, avg(CASE WHEN NOT is_post THEN v END) OVER b AS a, avg(CASE WHEN is_post THEN v END) OVER b AS h, count(CASE WHEN NOT is_post THEN 1 END) OVER b AS n, count(CASE WHEN is_post THEN 1 END) OVER b AS m FROM u WINDOW b AS (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT user_id AS \"user\", id AS post, n AS n_before, m AS n_history, dim, CASE WHEN round(a, 6) = 0 THEN 0 ELSE round(a, 6) END AS average, CASE WHEN round(h, 6) = 0 THEN 0 ELSE round(h, 6) END AS history FROM w WHERE is_post", plain=True)
+def interaction_training(spark: SparkSession, d: str) -> DataFrame:
+    v = t.vector_table(spark, d)
+    events = t.read_table(spark, d, "events", ["event_id", "user_id", "event_type"])
+    n, all_events, dims = v.count(), events.count(), len(t.query_vector(spark, d))
+    e = events.where(F.col("event_type").isin("purchase", "view", "click")).select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("is_post"), (F.col("event_id") * 7919 % all_events).alias("post"), (F.col("event_id") % n).alias("vec_id"))
+    e = e.join(v, "vec_id").drop("vec_id")
+    met = e.where("is_post").select("user", F.col("id").alias("post")).union(e.where("not is_post").select("user", "post"))
+    found = features.interaction_training(met, e.where("is_post").select("id", "embedding"), e.where("not is_post").select("id", "user", "embedding"), dims)
+    empty = F.array_repeat(F.lit(None).cast("double"), dims)
+    each = F.posexplode(F.arrays_zip(F.coalesce("average", empty).alias("average"), F.coalesce("history", empty).alias("history")))
+    return found.select("user", "post", "n_before", "n_history", each.alias("dim", "x")).select("user", "post", "n_before", "n_history", "dim", *[F.when(F.round(f"x.{c}", 6) == 0, 0.0).otherwise(F.round(f"x.{c}", 6)).alias(c) for c in ("average", "history")])
 
 
 @register("SELECT o_orderkey AS id, round(ln(greatest(round(o_totalprice, 0), 1)), 6) AS log_score, round((epoch(o_orderdate) - epoch(TIMESTAMP '2005-01-01')) / (epoch(TIMESTAMP '2035-01-01') - epoch(TIMESTAMP '2005-01-01')), 6) AS ts_rel, " + ", ".join(f"round({f}(2 * pi() * ({v}) / ({top} + 1)), 6) AS {n}_{f}" for n, v, top in (("year", "(epoch(o_orderdate) - epoch(date_trunc('year', o_orderdate)::TIMESTAMP)) / 86400.0", "365"), ("month", "(epoch(o_orderdate) - epoch(date_trunc('month', o_orderdate)::TIMESTAMP)) / 86400.0", "day(last_day(o_orderdate))"), ("week", "(epoch(o_orderdate) - epoch(date_trunc('day', o_orderdate)::TIMESTAMP)) / 86400.0 + dayofweek(o_orderdate)", "6"), ("day", "hour(o_orderdate)", "23")) for f in ("sin", "cos")) + " FROM orders", plain=True)
@@ -259,9 +283,9 @@ def cumulative_popularity(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(features.cumulative(found.select("group", "score"), "score"), "score", "cumulative", digits=4)
 
 
-@register("SELECT coalesce(max(id), -1) AS committed FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events WHERE event_id % 977 <> 976) WHERE id = rn", plain=True)
+@register("SELECT coalesce(max(id), -1) AS committed FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events) WHERE id = rn", plain=True)
 def contiguous_commit(spark: SparkSession, d: str) -> DataFrame:
-    done = t.read_table(spark, d, "events", ["event_id"]).select(F.col("event_id").alias("id")).where("id % 977 <> 976")
+    done = t.read_table(spark, d, "events", ["event_id"]).select(F.col("event_id").alias("id"))
     return features.contiguous_prefix(done, 0)
 
 
@@ -275,7 +299,7 @@ def dedup_vectors(spark: SparkSession, d: str) -> DataFrame:
 URLS = "SELECT page_id AS id, regexp_replace(url, '^https?://', '') AS url, regexp_extract(url, '^(https?):', 1) AS proto FROM pages"
 
 
-@register(f"SELECT o_orderkey AS id, round(o_totalprice, 0) AS score, c_name AS author_name, coalesce(url, '') AS url, coalesce(proto, '') AS proto, substring(text, 1, 80) AS title FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN ({URLS}) u ON u.id = o_orderkey % (2 * (SELECT count(*) FROM pages)) JOIN documents ON doc_id = o_orderkey", plain=True)
+@register(f"SELECT o_orderkey AS id, round(o_totalprice, 0) AS score, c_name AS author_name, coalesce(url, '') AS url, coalesce(proto, '') AS proto, text AS title FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN ({URLS}) u ON u.id = o_orderkey % (2 * (SELECT count(*) FROM pages)) JOIN documents ON doc_id = o_orderkey", plain=True)
 def edge_posts(spark: SparkSession, d: str) -> DataFrame:
     urls = t.urls(spark, d)
     posts = t.posts(spark, d).withColumn("url_id", F.col("id") % (2 * urls.count())).drop("ts")
@@ -300,12 +324,12 @@ KEYS = [7, 3, 999999999, 12, 3, 0]
 ASKED = f"(SELECT unnest(range({len(KEYS)}))::INTEGER AS pos, unnest({KEYS})::BIGINT AS id) a"
 
 
-@register(f"SELECT pos, a.id, coalesce(substring(text, 1, 80), '') AS text FROM {ASKED} LEFT JOIN documents ON doc_id = a.id", plain=True)
+@register(f"SELECT pos, a.id, coalesce(text, '') AS text FROM {ASKED} LEFT JOIN documents ON doc_id = a.id", plain=True)
 def lookup_titles(spark: SparkSession, d: str) -> DataFrame:
     return serve.lookup(t.titles(spark, d), KEYS, text=F.lit("")).select("pos", "id", "text")
 
 
-@register(f"SELECT pos, a.id, coalesce(octet_length(encode(substring(text, 1, 80))), 0)::INTEGER AS title_bytes FROM {ASKED} LEFT JOIN documents ON doc_id = a.id", plain=True)
+@register(f"SELECT pos, a.id, coalesce(octet_length(encode(text)), 0)::INTEGER AS title_bytes FROM {ASKED} LEFT JOIN documents ON doc_id = a.id", plain=True)
 def lookup_title_lengths(spark: SparkSession, d: str) -> DataFrame:
     return serve.lookup(t.titles(spark, d), KEYS).select("pos", "id", scalar.title_bytes(F.col("text")).alias("title_bytes"))
 
@@ -332,9 +356,14 @@ def thread_root(spark: SparkSession, d: str) -> DataFrame:
     return serve.thread_roots(t.thread(spark, d), max_depth=8)
 
 
-@register("SELECT conv_id * 8 + turn AS id FROM conversations WHERE turn % 3 = 0", plain=True)
+@register("SELECT c.conv_id * 8 + c.turn AS id FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE p.conv_id IS NULL", plain=True)
 def thread_roots_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    return serve.thread_heads(t.thread(spark, d).where("turn % 3 = 0").select("id", "parent")).select("id")
+    return serve.thread_heads(t.thread(spark, d).select("id", "parent")).select("id")
+
+
+@register("WITH RECURSIVE c AS (SELECT conv_id * 8 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 8 + turn - 1 END AS parent, text FROM conversations), up AS (SELECT id, CASE WHEN parent IS NULL THEN '# Post' ELSE '# Comment' END || chr(10) || chr(10) || text AS above FROM c WHERE parent IS NULL UNION ALL SELECT c.id, above || chr(10) || chr(10) || '# Comment' || chr(10) || chr(10) || text FROM c JOIN up ON up.id = c.parent) SELECT c.id, trim(above || chr(10) || chr(10) || '# Reply' || chr(10) || chr(10) || text) AS context FROM c JOIN up ON up.id = c.parent WHERE length(trim(text)) > 0", plain=True)
+def reply_context_text(spark: SparkSession, d: str) -> DataFrame:
+    return serve.reply_contexts(t.thread(spark, d).select("id", "parent", "text", F.lit(None).cast("string").alias("url")))
 
 
 @register("SELECT conv_id AS id, trim(substring(string_agg(CASE WHEN turn = 0 THEN text END, '') || coalesce(chr(10) || chr(10) || '# Comments:' || chr(10) || '==========' || chr(10) || string_agg(CASE WHEN turn > 0 THEN text END, chr(10) || '----------' || chr(10) ORDER BY turn), ''), 1, 65536)) AS context FROM conversations GROUP BY 1 HAVING min(turn) = 0", plain=True)
@@ -344,7 +373,7 @@ def post_context_text(spark: SparkSession, d: str) -> DataFrame:
     return serve.post_context(heads, c.where("turn > 0").select(F.col("conv_id").alias("post"), F.col("turn").alias("rank"), "text"))
 
 
-@register("SELECT doc_id AS id, trim(regexp_replace(trim('Show HN: ' || substring(text, 1, 80)), '^(Ask|Show) HN:?', '', 'i')) AS title FROM documents", plain=True)
+@register("SELECT doc_id AS id, trim(regexp_replace(trim('Show HN: ' || text), '^(Ask|Show) HN:?', '', 'i')) AS title FROM documents", plain=True)
 def clean_title(spark: SparkSession, d: str) -> DataFrame:
     return t.titles(spark, d).select("id", scalar.clean_title(F.concat(F.lit("Show HN: "), F.col("text"))).alias("title"))
 
@@ -354,6 +383,28 @@ def site_of_url(spark: SparkSession, d: str) -> DataFrame:
     return t.urls(spark, d).select("id", scalar.site_of(F.col("url")).alias("site"))
 
 
+@register("SELECT page_id AS id, 'https' AS proto, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) || '/a%2Fb?a=2&z=1' AS url FROM pages", plain=True)
+def normal_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's host in an url that needs all rules."""
+    odd = F.concat(F.lit("  HTTPS://u@"), F.upper(scalar.site_of(F.col("url"))), F.lit(":443/a%2fb?z=1&&a=2#top"))
+    proto, rest = scalar.url_parts(odd)
+    return t.urls(spark, d).select("id", proto.alias("proto"), rest.alias("url"))
+
+
+@register()
+def encode_titles(spark: SparkSession, d: str) -> DataFrame:
+    return encoders.encode_texts(t.titles(spark, d), encoders.HashingEncoder(64))
+
+
+@register()
+def search_by_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the similarity of their texts to a query text, both encoded."""
+    encoder = encoders.HashingEncoder(256)
+    found = encoders.encode_texts(t.titles(spark, d), encoder).withColumnRenamed("id", "vec_id")
+    query = encoders.encode_query(encoder, "all rights reserved under the license")
+    return found.select("vec_id", vectors.similarity(F.col("embedding"), [query], "mean").alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(20)
+
+
 @register(f"SELECT * FROM ({URLS})", plain=True)
 def strip_protocol(spark: SparkSession, d: str) -> DataFrame:
     return t.urls(spark, d)
@@ -414,6 +465,17 @@ def lod_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tiles.select("lod", "tile_x", "tile_y", F.size("points").cast("long").alias("n"), F.get("points", F.lit(0))["id"].alias("first_id"), F.array_max(F.transform("points", lambda p: p["score"])).alias("best"))
 
 
+@register(_with_sample(f"SELECT tile_x, tile_y, count(*) AS n, min(id) AS first_id FROM (SELECT {TILE.format(c='x')} AS tile_x, {TILE.format(c='y')} AS tile_y, id FROM sample JOIN pts USING (id), (SELECT x0, x1, y0, y1 FROM mm) WHERE lod = 0), (SELECT x0, x1, y0, y1 FROM mm) WHERE tile_x BETWEEN greatest(0, floor((0.0 - x0) / (x1 - x0))) AND least(0, floor((0.1 - x0) / (x1 - x0))) AND tile_y BETWEEN greatest(0, floor((-0.05 - y0) / (y1 - y0))) AND least(0, floor((0.05 - y0) / (y1 - y0))) GROUP BY 1, 2"), plain=True)
+def tile_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Write the map and read back the tiles of level 0 that a viewport touches."""
+    points = _points(spark, d)
+    meta = spatial.map_meta(points)
+    folder = f"{_shared(spark)}/map-{uuid.uuid4().hex}"
+    spatial.write_tiles(spatial.lod_tiles(points, spatial.lod_sample(points, meta), meta), folder)
+    found = spatial.viewport_tiles(spark, folder, meta, 0, 0.0, -0.05, 0.1, 0.05)
+    return found.select("tile_x", "tile_y", F.size("points").cast("long").alias("n"), F.get("points", F.lit(0))["id"].alias("first_id"))
+
+
 @register("SELECT id, score FROM pts WHERE x BETWEEN 0.0 AND 0.1 AND y BETWEEN -0.05 AND 0.05")
 def viewport_points(spark: SparkSession, d: str) -> DataFrame:
     return spatial.viewport(_points(spark, d), 0.0, -0.05, 0.1, 0.05).select("id", "score")
@@ -461,7 +523,7 @@ def neighbour_lists(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", F.explode("neighbours").alias("n")).select("vec_id", F.col("n.id").alias("other"), F.round("n.sim", 6).alias("sim"))
 
 
-@register("SELECT label AS cluster, count(*) AS n, string_agg(substring(text, 1, 80), '|' ORDER BY substring(text, 1, 80)) AS titles FROM (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) AS rn FROM embeddings JOIN documents ON doc_id = vec_id) WHERE rn <= 5 GROUP BY 1", plain=True)
+@register("SELECT label AS cluster, count(*) AS n, string_agg(text, '|' ORDER BY text) AS titles FROM (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) AS rn FROM embeddings JOIN documents ON doc_id = vec_id) WHERE rn <= 5 GROUP BY 1", plain=True)
 def cluster_exemplars(spark: SparkSession, d: str) -> DataFrame:
     members = t.read_table(spark, d, "embeddings", ["vec_id", "label"]).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
     found = ml.cluster_exemplars(members, t.titles(spark, d), 5)
@@ -517,6 +579,5 @@ def failure_levels(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1", plain=True)
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     schema = t.read_table(spark, d, "events", ["user_id", "event_id", "value"]).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpuscope-stream-')}"
-    folder = f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     return ingest.ingest(ingest.read_events(spark, d, schema), f"{folder}/table", f"{folder}/checkpoint", "user_id", "event_id")

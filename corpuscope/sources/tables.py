@@ -110,7 +110,7 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("text"))
+    return read_table(spark, folder, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text")
 
 
 def layout(spark: SparkSession, folder: str) -> DataFrame:
