@@ -2,8 +2,9 @@ r"""Line de-duplication: lines that many documents share stay in one of them.
 
 Every line gets a normalised key; keys are hashed (128 bits) and the distinct documents of each hash counted; lines whose
 key reaches the threshold are dropped everywhere but in the smallest doc_id that holds it, and the rest is put together
-again by position. Line text is never shuffled: one row per distinct (document, hash) is, and after that one array of
-dropped positions per document.
+again by position. To find them, no line text is shuffled: one row per distinct (document, hash) is. To rebuild the texts, one
+array of dropped positions per document is joined to them, by broadcast where the checked size of all arrays allows it;
+beyond that the join shuffles every text once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import join_skewed, slices, written
+from corpuscope.llm.common import hint_small, join_skewed, slices, written
 
 
 def normalised(line: bytes) -> bytes:
@@ -74,10 +75,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         shared = keys.groupBy("h1", "h2", "doc").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.min("doc").alias("keep"), F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs).drop("docs")
     shared = written(shared, "line-shared")
     lost = join_skewed(keys, shared, ["h1", "h2"]).where("doc > keep").select("doc", "row", "places").distinct()
-    drops = lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("__drop"))
+    drops = hint_small(written(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("__drop")), "line-drops").withColumnsRenamed({"doc": "__doc", "row": "__row"}), weight="10 + size(__drop)")
     plain = docs.drop("n_lines", "n_dropped", "__drop", "__doc", "__row")
     keyed = plain.withColumns({"__doc": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})
-    joined = keyed.join(drops.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left")
+    joined = keyed.join(drops, ["__doc", "__row"], "left")
     names = [*plain.columns, "__drop"]
     schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in plain.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = plain.columns.index("text")

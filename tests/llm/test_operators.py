@@ -615,3 +615,59 @@ def test_pipeline_stages(docs, none, spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "") if "text" in empty.columns else empty
     assert empty.count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage on all that its predecessor kept, held against plain Python."""
+    from tokenizers import Tokenizer
+
+    rows = [(d, t) for d, t in dict(ids(corpus())).items() if d is not None]
+    rows += [(100 + i, passage(200 + i, 30) + "\nThe same closing line of everybody\n" + passage(300, 60) + " " + passage(400 + i, 20)) for i in range(4)]
+    near = passage(500, 200).split()
+    rows += [(200 + i, " ".join(w if k != 17 * i else f"new{i}" for k, w in enumerate(near))) for i in range(6)]
+    frame = spark.createDataFrame([(d, t, None, "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    kept = stages["quality_rules"](spark, frame, "").persist()
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.score_quality(frame).collect()}
+    assert texts(kept) == {d: t for d, t in rows if verdict[d]} and all(len(words(t)) >= 50 for t in texts(kept).values())
+
+    before, lined = texts(kept), stages["line_dedup"](spark, kept, "").persist()
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in before.items():
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(d)
+    stays = lambda d, x: len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)]) == d
+    assert texts(lined) == {d: "\n".join(x for x in t.split("\n") if stays(d, x)) for d, t in before.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in lined.collect())
+
+    before, alone = texts(lined), stages["ngram_join"](spark, lined, "").persist()
+    groups = jaccard_groups(list(before.items()), 5, 80)
+    assert texts(alone) == {d: t for d, t in before.items() if groups[d][1] == d} and len(texts(alone)) < len(before)
+
+    before, cut = texts(alone), stages["substring_dedup"](spark, alone, "").persist()
+    first = {}
+    for d, t in before.items():
+        w = words(t)
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), d), d)
+    want = {}
+    for d, t in before.items():
+        w, gone = words(t), set()
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < d:
+                gone |= set(range(i, i + 50))
+        want[d] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t
+    assert texts(cut) == want != before
+
+    tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    whole, filled = {}, Counter()
+    for r in sorted(stages["packing"](spark, cut, "").collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == whole.get(r["doc_id"], 0)
+        ids_ = [*tok.encode(want[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert r["doc_tokens"] == len(ids_) and r["ids_crc32"] == zlib.crc32(np.asarray(ids_[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        whole[r["doc_id"]] = r["start"] + r["length"]
+        filled[r["sequence_id"]] += r["length"]
+    assert set(whole) == set(want) and all(n == 1024 or n & (n - 1) == 0 for n in filled.values())
