@@ -25,6 +25,7 @@ from corpuscope.llm.common import slices
 SPACE = "▁"
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
+DIFFER = "words encoded one by one differ from the whole text"
 _CODECS: dict[str, Codec] = {}
 
 
@@ -174,18 +175,25 @@ class Codec:
     def encode_aligned(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text the ids as in :meth:`encode`, and as little-endian uint32 where its pieces begin, then its length in bytes.
 
-        Ids joined from words met before are held against the library's encoding of the whole text.
+        Every text's pieces must spell it. Words are held against the library's encoding of a whole text when they are first
+        met (see :meth:`encode`).
         """
         out = []
         for text, ids in zip(texts, self.encode(texts), strict=True):
             inner = np.frombuffer(ids, "<u4")[1:-1]
-            if self.by_word and not np.array_equal(inner, self.sp.encode(text)):
-                raise ValueError("words encoded one by one differ from the whole text")
-            out.append((ids, self.align(text, inner).tobytes()))
+            try:
+                out.append((ids, self.align(text, inner).tobytes()))
+            except ValueError as error:
+                if np.array_equal(inner, self.sp.encode(text)):
+                    raise
+                raise ValueError(DIFFER) from error
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text between the begin and end ids."""
+        """Little-endian uint32 ids of each text between the begin and end ids.
+
+        Each new word is encoded once by itself and once among the others in one text, with the same pieces.
+        """
         split = [t.split(" ") if self.by_word and SPACE not in t else [] for t in texts]
         unseen = list({w for words in split for w in words if w not in self.known})
         if len(self.known) + len(unseen) > REMEMBERED:
@@ -193,7 +201,10 @@ class Codec:
             unseen = list({w for words in split for w in words})
         self.known[""] = None  # next to another space, or at an end: spaces may join
         unseen = [w for w in unseen if w]
-        self.known.update(zip(unseen, (np.asarray(i, "<u4").tobytes() for i in self.sp.encode(unseen, num_threads=1)), strict=True))
+        alone = self.sp.encode(unseen, num_threads=1)
+        if self.sp.encode(" ".join(unseen)) != [i for word in alone for i in word]:
+            raise ValueError(DIFFER)
+        self.known.update(zip(unseen, (np.asarray(i, "<u4").tobytes() for i in alone), strict=True))
         out = []
         for text, words in zip(texts, split, strict=True):
             parts = [self.known[w] for w in words]
