@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -56,48 +57,69 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class LanguageModel:
-    """``tables[0]`` maps words, ``tables[n]`` n-grams, to centred log frequencies per language."""
+    """``tables[0]`` maps words, ``tables[n]`` n-grams, to centred log frequencies per language; held as rows of one matrix."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: InitVar[list[dict[str, np.ndarray]]]
 
-    def __post_init__(self) -> None:
+    def __post_init__(self, tables: list[dict[str, np.ndarray]]) -> None:
+        place = count(1)
+        self.index = [{token: next(place) for token in table} for table in tables]
+        self.matrix = np.stack([np.zeros(len(self.languages), np.float32), *(v for table in tables for v in table.values())])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory of words met anew; its row 0 stands for words without a letter."""
         self.rows: dict[str, int] = {}
-        self.scores = [np.zeros(len(self.languages), np.float32)]
+        self.scores = self.matrix[:1]
+
+    def parts(self, word: str) -> list[int]:
+        """Rows of the matrix whose mean scores a word of letters: its own, or those of its longest n-grams that are known."""
+        if known := self.index[0].get(word):
+            return [known]
+        padded = f"<{word}>"
+        for n in range(LONGEST, 0, -1):
+            at = self.index[n].get
+            if found := [row for i in range(len(padded) - n + 1) if (row := at(padded[i : i + n]))]:
+                return found
+        return [0]
 
     def word(self, word: str) -> np.ndarray | None:
         """Scores of one word, None if it has no letter."""
         word = letters_of(word)
-        if not word:
-            return None
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            if found := [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0, dtype=np.float32)
-        return np.zeros(len(self.languages), np.float32)
+        return self.matrix[self.parts(word)].mean(0) if word else None
+
+    def meet(self, words: list[str]) -> None:
+        """Remember the scores of words, worked out together."""
+        parts: list[int] = []
+        starts: list[int] = []
+        for w in words:
+            if letters := letters_of(w):
+                self.rows[w] = len(self.scores) + len(starts)
+                starts.append(len(parts))
+                parts += self.parts(letters)
+            else:
+                self.rows[w] = 0
+        if starts:
+            sums = np.add.reduceat(self.matrix[parts], starts)
+            self.scores = np.concatenate([self.scores, sums / np.diff([*starts, len(parts)])[:, None].astype(np.float32)])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if len(self.rows) > REMEMBERED:
+            self.forget()
+        counts = [Counter((text or "").split()) for text in texts]
+        rows = self.rows
+        self.meet(list({w for words in counts for w in words if w not in rows}))
         out = []
-        for text in texts:
-            words = (text or "").split()
-            if len(self.rows) > REMEMBERED:
-                self.rows, self.scores = {}, self.scores[:1]
-            rows = self.rows
-            for w in words:
-                if w not in rows:
-                    scores = self.word(w)
-                    rows[w] = 0 if scores is None else len(self.scores)
-                    if scores is not None:
-                        self.scores.append(scores)
-            at = np.fromiter((rows[w] for w in words), np.int64, len(words))
-            at = at[at > 0]
-            if not len(at) or not self.languages:
+        for words in counts:
+            at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+            n = np.fromiter(words.values(), np.int64, len(words))
+            size = int(n[at > 0].sum())
+            if not size or not self.languages:
                 out.append(("und", 0.0))
                 continue
-            unique, count = np.unique(at, return_counts=True)
-            total = count @ np.stack([self.scores[i] for i in unique.tolist()])
-            total = total / max(1.0, len(at) / 50)  # repeats and dependence make long texts no surer than this
+            total = n @ self.scores[at]
+            total = total / max(1.0, size / 50)  # repeats and dependence make long texts no surer than this
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
             out.append((self.languages[best], float(odds[best] / odds.sum())))
