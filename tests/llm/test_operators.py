@@ -485,6 +485,82 @@ def test_language_backoff_is_word_first():
     assert model.word("zzz").tolist() == [0.0, 0.0] and model.word("42") is None
 
 
+def test_language_id_against_brute_force(spark):
+    docs, _ = fitted_docs(spark)
+    seen = {}
+    for r in docs.where("doc_id is not null and text is not null and lang is not null").collect():
+        if held(r["doc_id"]):
+            continue
+        for w in r["text"].split():
+            w = "".join(c for c in w if c.isalpha()).lower()
+            if w:
+                seen.setdefault(0, {}).setdefault(w, []).append(r["lang"])
+                for n in range(1, language_id.LONGEST + 1):
+                    for i in range(len(w) + 3 - n):
+                        seen.setdefault(n, {}).setdefault(f"<{w}>"[i : i + n], []).append(r["lang"])
+
+    def frequency(kind, token):
+        table = seen[kind]
+        if len(table.get(token, ())) < 2:
+            return None
+        logs = []
+        for lang in ("de", "en"):
+            size, kinds = sum(x.count(lang) for x in table.values()), sum(lang in x for x in table.values())
+            logs.append(math.log((table[token].count(lang) + 0.5) / (size + 0.5 * kinds + 1)))
+        return [x - sum(logs) / 2 for x in logs]
+
+    def brute(text):
+        total, size = [0.0, 0.0], 0
+        for w in text.split():
+            w = "".join(c for c in w if c.isalpha()).lower()
+            if not w:
+                continue
+            size += 1
+            found = [frequency(0, w)]
+            for n in range(language_id.LONGEST, 0, -1):
+                if found[0] is None:
+                    found = [f for i in range(len(w) + 3 - n) if (f := frequency(n, f"<{w}>"[i : i + n]))] or [None]
+            if found[0] is not None:
+                total = [t + sum(f[k] for f in found) / len(found) for k, t in enumerate(total)]
+        odds = [math.exp((t - max(total)) / max(1.0, size / 50)) for t in total]
+        return ("de", "en")[odds.index(max(odds))], max(odds) / sum(odds)
+
+    model = language_id.fit_language_model(docs)
+    texts = ["treely baumung 42 qqq", "houses", "Wasserung, the!", "ein green " * 70, "wit mi no\u00e9 fo\nder", docs.where("doc_id = 5").first()["text"]]
+    for got in (model.predict(texts), [model.predict([x])[0] for x in texts]):
+        for (lang, score), text in zip(got, texts, strict=True):
+            want = brute(text)
+            assert lang == want[0] and abs(score - want[1]) < 1e-5
+
+
+def test_language_memory_changes_nothing(monkeypatch):
+    model = language_id.LanguageModel(["a", "b"], [{"known": np.array([1.0, -1.0], np.float32)}, {"k": np.array([0.5, -0.5], np.float32)}, {}, {}, {}, {}])
+    texts = [f"known word{i} kin{i % 5} {i}" for i in range(40)] * 2
+    want = model.predict(texts)
+    monkeypatch.setattr(language_id, "REMEMBERED", 3)
+    model.forget()
+    assert [model.predict([x])[0] for x in texts] == want
+
+
+def test_scores_of_long_texts_beside_clashing_columns(spark):
+    docs, labels = fitted_docs(spark)
+    sentence = docs.where("doc_id = 6").first()["text"] + " "
+    long = [(2000, sentence * 8000), (2001, "x" * 2_000_000), (2002, "du grobian lump. " * 50_000), (2002, "du grobian lump. " * 50_000)]
+    rows = spark.createDataFrame(long, "doc_id long, text string").selectExpr("doc_id", "text", "'x' as score", "1 as predicted", "'q' as lang_pred", "true as held_out", "'l' as quality", "2 as toxic", "'en' as lang")
+    clashing = docs.selectExpr("doc_id", "text", "lang", "'x' as score", "'q' as lang_pred", "9 as quality", "9 as toxic", "'n' as n", "'t' as token", "'f' as feature")
+    marks = labels.selectExpr("*", "'t' as text", "'l' as lang", "0 as n")
+    found = {
+        "language": language_id.identify_languages(rows, language_id.fit_language_model(clashing)),
+        "quality": pu_quality.score_documents(rows, pu_quality.fit_quality(clashing, marks)),
+        "toxicity": toxicity.score_toxicity(rows, toxicity.fit_toxicity(clashing, marks)),
+    }
+    got = {name: {r["doc_id"]: r for r in df.collect()} for name, df in found.items()}
+    assert all(df.count() == 4 and len(df.columns) == 4 for df in found.values())
+    assert got["language"][2000]["lang_pred"] == "en" and got["language"][2001]["lang_pred"] in ("de", "en")
+    assert [got["toxicity"][i]["predicted"] for i in (2000, 2001, 2002)] == [0, 0, 1]
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == held(i) for rows in got.values() for i, r in rows.items())
+
+
 def test_pu_quality(spark):
     docs, labels = fitted_docs(spark)
     got = pu_quality.score_documents(docs, pu_quality.fit_quality(docs, labels)).collect()
