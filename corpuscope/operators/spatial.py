@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -265,24 +266,34 @@ def terrain_paths(cells: DataFrame, meta: DataFrame, dpi: float = 32, upscale: i
 
 
 def pick_labels(points: DataFrame, zooms: list[int], tile: float, width: float = 0.1, height: float = 0.02) -> DataFrame:
-    """``zoom, id``: labels picked greedily by score so that none overlap, per zoom and tile; a zoom doubles the room."""
-    at_zoom = points.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(z,) for z in zooms], "zoom int")))
-    tiled = at_zoom.withColumns({"tile_x": F.floor(F.col("x") / tile).cast("long"), "tile_y": F.floor(F.col("y") / tile).cast("long")})
+    """``zoom, id``: labels picked greedily by score so that none overlap, per zoom and tile; a zoom doubles the room.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        zoom = int(pdf["zoom"].iloc[0])
-        w, h = width / 2**zoom, height / 2**zoom
+    Spark sorts the points of a tile, best first, and may spill; Python reads them as they come and holds the labels kept of one
+    tile alone, of which no more than a bounded number have room. Points without a place get no label; those without a score come last.
+    """
+    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    at_zoom = placed.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(z,) for z in zooms], "zoom int")))
+    tile_of = {f"tile_{c}": F.floor(F.col(c) / tile).cast("long") for c in ("x", "y")}
+    tiled = at_zoom.select("zoom", "id", "x", "y", F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")).alias("score")).withColumns(tile_of)
+    keys = ["zoom", "tile_x", "tile_y"]
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: tuple[int, ...] = ()
         cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        kept = []
-        for row in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            cx, cy = int(row.x // w), int(row.y // h)
-            near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((cx + i, cy + j), ()))
-            if not any(abs(px - row.x) < w and abs(py - row.y) < h for px, py in near):
-                cells.setdefault((cx, cy), []).append((row.x, row.y))
-                kept.append(row.id)
-        return pd.DataFrame({"zoom": zoom, "id": kept})
-
-    return tiled.groupBy("zoom", "tile_x", "tile_y").applyInPandas(pick, "zoom int, id long")
+        for pdf in frames:
+            kept = []
+            for row in pdf.itertuples():
+                if group != (row.zoom, row.tile_x, row.tile_y):
+                    group, cells = (row.zoom, row.tile_x, row.tile_y), {}
+                w, h = width / 2**row.zoom, height / 2**row.zoom
+                cx, cy = int(row.x // w), int(row.y // h)
+                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((cx + i, cy + j), ()))
+                if not any(abs(px - row.x) < w and abs(py - row.y) < h for px, py in near):
+                    cells.setdefault((cx, cy), []).append((row.x, row.y))
+                    kept.append((row.zoom, row.id))
+            yield pd.DataFrame(kept, columns=["zoom", "id"])
+
+    return tiled.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "id").mapInPandas(pick, "zoom int, id long")
 
 
 def per_group_sample(rows: DataFrame, group: str, n: int) -> DataFrame:
