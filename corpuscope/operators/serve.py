@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.operators.stages import cut_lineage
@@ -87,9 +87,17 @@ def reply_contexts(items: DataFrame, max_depth: int = 4096, separator: str = "\n
 
 
 def post_context(posts: DataFrame, replies: DataFrame, separator: str = "\n\n", most_chars: int = 65536) -> DataFrame:
-    """``id, context``: a post's text, then its replies by rank under a heading; empty parts are left out."""
-    parts = replies.where(F.length(F.trim("text")) > 0).groupBy("post").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("texts"))
+    """``id, context``: a post's text, then its replies by rank under a heading; empty parts are left out.
+
+    A context ends at ``most_chars``, so a reply that starts behind as many characters of earlier replies can't be seen in it:
+    a running sum finds these, and only the others are gathered, however many a post has.
+    """
+    between = "\n----------\n"
+    said = replies.where(F.length(F.trim("text")) > 0).select("post", "rank", F.substring("text", 1, most_chars).alias("text"))
+    earlier = Window.partitionBy("post").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1)
+    seen = said.withColumn("at", F.coalesce(F.sum(F.length("text") + len(between)).over(earlier), F.lit(0))).where(F.col("at") < most_chars)
+    parts = seen.groupBy("post").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("texts"))
     joined = posts.join(parts, posts["id"] == parts["post"], "left").drop("post")
-    body = F.concat(F.lit("# Comments:\n==========\n"), F.array_join("texts", "\n----------\n"))
+    body = F.concat(F.lit("# Comments:\n==========\n"), F.array_join("texts", between))
     pieces = F.filter(F.array(F.coalesce("text", F.lit("")), F.coalesce(body, F.lit(""))), lambda x: x != "")
     return joined.select("id", F.trim(F.substring(F.array_join(pieces, separator), 1, most_chars)).alias("context"))
