@@ -97,3 +97,44 @@ k AS (SELECT *, {LOWER.format(x=f"trim(line, {BLANKS})")} AS key FROM l),
 d AS (SELECT key, min(doc_id) AS keep FROM k WHERE length(key) >= {min_chars} GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT k.*, d.keep < doc_id AS gone FROM k LEFT JOIN d USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (gone IS NOT TRUE), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    nearest = "SELECT vec_id, part, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {n} + entry) AS best FROM parts p JOIN c{k} c USING (part) GROUP BY ALL"
+    steps = [f"c0 AS MATERIALIZED (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::BIGINT AS entry, x FROM parts QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(n=entries, k=k)})")
+        if k < rounds:
+            flat = f"SELECT part, best % {entries} AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k} JOIN parts USING (vec_id, part)"
+            means = f"SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, entry, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS m FROM ({flat}) GROUP BY ALL) GROUP BY ALL"
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN ({means}) m USING (part, entry))")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS part)),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY 1),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+def phrases(least: int = 10, cover: int = 50, first: int = 2000) -> str:
+    cut = lambda size, k: f"SELECT c.lang, c.phrase, c.a, {k} AS k, x.f AS l, y.f AS r FROM kept c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:{k}], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[{k + 1}:{size}], ' ') WHERE c.m = {size}"
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format(x="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS m, unnest(ws) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a FROM f WHERE m > 1 AND f >= {least}),
+longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase, max(a) AS a FROM c, (SELECT unnest([1, 2]) AS i) WHERE m = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer o USING (lang, phrase) WHERE coalesce(o.a, 0) * 100 < {cover} * c.a OR m = 3),
+cuts AS ({cut(2, 1)} UNION ALL {cut(3, 1)} UNION ALL {cut(3, 2)}),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {first}
+"""

@@ -11,16 +11,19 @@ import corpus_pipeline
 from corpuscope.llm import oracles
 from corpuscope.llm.common import SPACES
 from corpuscope.llm.embedding_dedup import embedding_duplicates
+from corpuscope.llm.fuzzy_hash import fingerprint_documents
 from corpuscope.llm.language_id import fit_language_model, identify_languages
 from corpuscope.llm.line_dedup import dedup_lines
 from corpuscope.llm.ngram_join import near_duplicates
 from corpuscope.llm.packing import pack
+from corpuscope.llm.phrases import collocations
 from corpuscope.llm.pu_quality import fit_quality, score_documents
 from corpuscope.llm.quality_rules import score_quality
 from corpuscope.llm.sentencepiece_codec import token_digests
 from corpuscope.llm.substring_dedup import remove_repeated_passages
 from corpuscope.llm.toxicity import fit_toxicity, score_toxicity
 from corpuscope.llm.tokenizer_files import tokenizer_file
+from corpuscope.llm.vector_codes import compress_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,17 +77,31 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece)}
+    named = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece, op11_vector_codes, op12_phrases, op13_fingerprints)}
     return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Operators 6 to 10 and the pipeline need tokenizers or fitted models, which SQL lacks: tests hold them against brute force."""
+    """Operators 6 to 10, 13 and the pipeline need tokenizers, fitted models or byte hashes, which SQL lacks: tests hold them against brute force."""
     return {
         "op1_quality_rules": oracles.quality_rules(),
         "op2_ngram_join": oracles.ngram_join(),
         "op3_substring_dedup": oracles.substring_dedup(),
         "op4_embedding_dedup": oracles.embedding_dedup(),
         "op5_line_dedup": oracles.line_dedup(),
+        "op11_vector_codes": oracles.vector_codes(),
+        "op12_phrases": oracles.phrases(),
     }
