@@ -68,3 +68,40 @@ def encode_texts(rows: DataFrame, encoder: Encoder, key: str = "id", text: str =
 def encode_query(encoder: Encoder, text: str) -> list[float]:
     """The vector of one query text."""
     return [float(x) for x in np.asarray(encoder.encode([text]))[0]]
+
+
+class LexicalEncoder(Protocol):
+    """What weighs the words of texts: ``weigh`` gets a list of texts and returns, for each, the words that matter and their weights."""
+
+    name: str
+
+    def weigh(self, texts: list[str]) -> list[dict[str, float]]: ...
+
+
+@dataclass(frozen=True)
+class CountingEncoder:
+    """Words between white space, A-Z lower-cased, weigh 1 + ln(count)."""
+
+    name: str = "counting"
+
+    def weigh(self, texts: list[str]) -> list[dict[str, float]]:
+        out = []
+        for text in texts:
+            counts: dict[bytes, int] = {}
+            for w in text.encode().lower().split():
+                counts[w] = counts.get(w, 0) + 1
+            out.append({w.decode(): 1 + math.log(n) for w, n in counts.items()})
+        return out
+
+
+def encode_sparse(rows: DataFrame, encoder: LexicalEncoder, key: str = "id", text: str = "text") -> DataFrame:
+    """``key, weights``: the weighted words of every text as a map, in Arrow batches; a null text has none. Weights that are not above 0 are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(at, BATCH_TEXTS)
+                made = [[(w, x) for w, x in found.items() if x > 0] for found in encoder.weigh([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.record_batch([part.column(0), pa.array(made, pa.map_(pa.string(), pa.float32()))], names=[key, "weights"])
+
+    return rows.select(key, text).mapInArrow(run, T.StructType([rows.schema[key], T.StructField("weights", T.MapType(T.StringType(), T.FloatType()))]))

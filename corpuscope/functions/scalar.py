@@ -133,8 +133,14 @@ def site_of(url: Column) -> Column:
     return F.substring_index(url, "/", 1)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind (line ends, no-break spaces and the byte order mark included) at both ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
+
+
 def clean_title(title: Column, prefix: str = r"(?i)^(Ask|Show) HN:?") -> Column:
-    return F.trim(F.regexp_replace(F.trim(title), prefix, ""))
+    """A title without the prefix that tells its kind; character references are for :func:`corpuscope.functions.html.unescape`."""
+    return trimmed(F.regexp_replace(trimmed(title), prefix, ""))
 
 
 def anchor_links(text: Column) -> Column:
@@ -162,10 +168,3 @@ def snippet_of(description: Column, snippet: Column) -> Column:
 
 def title_bytes(title: Column) -> Column:
     return F.coalesce(F.octet_length(title), F.lit(0)).cast("int")
-
-
-def fill_placeholders(text: Column, **values: Column) -> Column:
-    """Replace ``{{name}}`` by each value, null as empty."""
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
-    return text

@@ -1,10 +1,15 @@
-"""Cutting the lineage of tables that an iteration uses again."""
+"""Tables between the steps of an operator: cut lineages, written tables, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one in so many of all rows is hot; there are fewer hot keys than this, whatever the table.
+HOT_SHARE = 200_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -13,3 +18,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscope-checkpoints-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset (one machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpuscope-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def join_on_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which has at most one row per ``key``, where some keys may hold a large part of ``rows``.
+
+    Hot keys, fewer than HOT_SHARE by arithmetic, meet their rows by broadcast and never gather in one task; the others, where
+    no key is hot, by shuffle. Both tables should be cut or written, as they are read twice.
+    """
+    counts = rows.groupBy(key).count()
+    hot = cut_lineage(counts.where(F.col("count") > max(1000, rows.count() // HOT_SHARE)).select(key))
+    some = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))

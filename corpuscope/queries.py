@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions import encoders, html, scalar, vectors
-from corpuscope.operators import features, ml, serve, spatial, upsert
+from corpuscope.operators import contexts, features, ml, serve, spatial, upsert
 from corpuscope.plans import endpoints
 from corpuscope.plans.query import Clip, GroupByOutput, ItemsOutput, QueryInput, compile_query
 from corpuscope.sources import tables as t
@@ -353,7 +353,7 @@ def kv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT conv_id * 8 + turn AS id, conv_id * 8 + min(turn) OVER (PARTITION BY conv_id) AS root FROM conversations", plain=True)
 def thread_root(spark: SparkSession, d: str) -> DataFrame:
-    return serve.thread_roots(t.thread(spark, d), max_depth=8)
+    return contexts.thread_roots(t.thread(spark, d))
 
 
 @register("SELECT c.conv_id * 8 + c.turn AS id FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE p.conv_id IS NULL", plain=True)
@@ -361,19 +361,50 @@ def thread_roots_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return serve.thread_heads(t.thread(spark, d).select("id", "parent")).select("id")
 
 
-@register("WITH RECURSIVE c AS (SELECT conv_id * 8 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 8 + turn - 1 END AS parent, text FROM conversations), up AS (SELECT id, CASE WHEN parent IS NULL THEN '# Post' ELSE '# Comment' END || chr(10) || chr(10) || text AS above FROM c WHERE parent IS NULL UNION ALL SELECT c.id, above || chr(10) || chr(10) || '# Comment' || chr(10) || chr(10) || text FROM c JOIN up ON up.id = c.parent) SELECT c.id, trim(above || chr(10) || chr(10) || '# Reply' || chr(10) || chr(10) || text) AS context FROM c JOIN up ON up.id = c.parent WHERE length(trim(text)) > 0", plain=True)
+#: What trimming takes from both ends, and conversations as posts with titles and urls and as comments on them.
+ENDS = r"'^[\s\v\p{Z}\x{FEFF}]+|[\s\v\p{Z}\x{FEFF}]+$', '', 'g'"
+TALK = f"k AS (SELECT conv_id, turn, conv_id * 8 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 8 + turn - 1 END AS parent, text, (conv_id * 7 + turn * 3) % 11 - 2 AS score, (conv_id + turn) % 9 = 8 AS dead, (conv_id + turn) % 13 = 12 AS deleted FROM conversations), talk AS (SELECT k.id, conv_id, '<' || conv_id || '> ' || regexp_replace(text, {ENDS}) AS title, u.url, text, dead, deleted, conv_id % (2 * (SELECT count(*) FROM pages)) AS url_id FROM k LEFT JOIN ({URLS}) u ON u.id = conv_id % (2 * (SELECT count(*) FROM pages)) WHERE turn = 0)"
+NL = "chr(10) || chr(10)"
+
+
+def _talk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as posts (their first turns, half of them with a page) and comments."""
+    urls = t.urls(spark, d)
+    c = t.thread(spark, d).withColumns({"score": (F.col("conv_id") * 7 + F.col("turn") * 3) % 11 - 2, "dead": (F.col("conv_id") + F.col("turn")) % 9 == 8, "deleted": (F.col("conv_id") + F.col("turn")) % 13 == 12})
+    heads = c.where("turn = 0").withColumns({"url_id": F.col("conv_id") % (2 * urls.count()), "title": F.concat(F.lit(" Ask HN: &lt;"), F.col("conv_id").cast("string"), F.lit("&gt; "), "text")})
+    return heads.join(urls.select(F.col("id").alias("url_id"), "url"), "url_id", "left"), c.where("turn > 0")
+
+
+@register(f"WITH RECURSIVE {TALK}, up AS (SELECT id, id AS root, '# Post' || {NL} || title || {NL} || coalesce(url, '') AS above FROM talk UNION ALL SELECT k.id, root, above || {NL} || '# Comment' || {NL} || k.text FROM k JOIN up ON up.id = k.parent) SELECT k.id, root, regexp_replace(above || {NL} || '# Reply' || {NL} || regexp_replace(k.text, {ENDS}), {ENDS}) AS text FROM k JOIN up ON up.id = k.parent WHERE regexp_replace(k.text, {ENDS}) <> ''", plain=True)
 def reply_context_text(spark: SparkSession, d: str) -> DataFrame:
-    return serve.reply_contexts(t.thread(spark, d).select("id", "parent", "text", F.lit(None).cast("string").alias("url")))
+    posts, comments = _talk(spark, d)
+    return contexts.reply_inputs(comments, posts)
+
 
+CONTEXT = f"said AS (SELECT conv_id, chr(10) || chr(10) || '# Comments:' || chr(10) || '==========' || {NL} || string_agg(text, {NL} || '----------' || {NL} ORDER BY turn) AS body FROM k WHERE turn > 0 AND NOT dead AND NOT deleted AND score >= 0 GROUP BY 1), context AS (SELECT id, url, url_id, regexp_replace(substring(array_to_string(list_filter(CASE WHEN coalesce(url, '') <> '' THEN [title, url, '{contexts.PAGE_TITLE}', '{contexts.PAGE_DESCRIPTION}', '{contexts.PAGE_TEXT}'] ELSE [title, text] END, lambda x: x <> ''), {NL}) || coalesce(body, ''), 1, 65536), {ENDS}) AS text FROM talk LEFT JOIN said USING (conv_id) WHERE NOT dead AND NOT deleted)"
 
-@register("SELECT conv_id AS id, trim(substring(string_agg(CASE WHEN turn = 0 THEN text END, '') || coalesce(chr(10) || chr(10) || '# Comments:' || chr(10) || '==========' || chr(10) || string_agg(CASE WHEN turn > 0 THEN text END, chr(10) || '----------' || chr(10) ORDER BY turn), ''), 1, 65536)) AS context FROM conversations GROUP BY 1 HAVING min(turn) = 0", plain=True)
+
+@register(f"WITH {TALK}, {CONTEXT} SELECT id, text FROM context", plain=True)
 def post_context_text(spark: SparkSession, d: str) -> DataFrame:
-    c = t.read_table(spark, d, "conversations")
-    heads = c.where("turn = 0").select(F.col("conv_id").alias("id"), "text")
-    return serve.post_context(heads, c.where("turn > 0").select(F.col("conv_id").alias("post"), F.col("turn").alias("rank"), "text"))
+    posts, comments = _talk(spark, d)
+    return contexts.post_inputs(posts, comments.withColumns({"post": F.col("conv_id") * 8, "rank": F.col("turn")}))
+
+
+PAGE_STATE = "state AS (SELECT page_id, page_id % 7 <> 3 AS fetched, page_id % 5 = 0 AS failed, regexp_extract(html, '<title>([^<]*)</title>', 1) AS page_title, CASE WHEN page_id % 2 = 0 THEN 'About ' || url ELSE NULL END AS page_description, CASE WHEN page_id % 4 = 1 THEN '' ELSE regexp_replace(html, '<[^>]*>', ' ', 'g') END AS page_text FROM pages)"
+
+
+@register(f"WITH {TALK}, {CONTEXT}, {PAGE_STATE} SELECT id, CASE WHEN page_id IS NULL THEN text ELSE replace(replace(replace(text, '{contexts.PAGE_TITLE}', page_title), '{contexts.PAGE_DESCRIPTION}', coalesce(page_description, '')), '{contexts.PAGE_TEXT}', page_text) END AS text, CASE WHEN page_id IS NOT NULL THEN failed OR page_text = '' END AS missing_page FROM context LEFT JOIN state ON page_id = url_id WHERE url IS NULL OR fetched", plain=True)
+def filled_post_text(spark: SparkSession, d: str) -> DataFrame:
+    """Post texts with what is known of their pages; posts whose page is not fetched yet wait."""
+    posts, comments = _talk(spark, d)
+    inputs = contexts.post_inputs(posts, comments.withColumns({"post": F.col("conv_id") * 8, "rank": F.col("turn")}))
+    p, n = t.read_table(spark, d, "pages"), F.col("page_id")
+    text = F.when(n % 4 == 1, "").otherwise(F.regexp_replace("html", "<[^>]*>", " "))
+    pages = p.select(n.alias("url_id"), F.when(n % 7 != 3, F.lit("2024-01-01").cast("timestamp")).alias("fetched"), F.when(n % 5 == 0, "timeout").alias("error"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.when(n % 2 == 0, F.concat(F.lit("About "), "url")).alias("description"), text.alias("text"))
+    return contexts.fill_pages(inputs, posts.select("id", "url_id"), pages)
 
 
-@register("SELECT doc_id AS id, trim(regexp_replace(trim('Show HN: ' || text), '^(Ask|Show) HN:?', '', 'i')) AS title FROM documents", plain=True)
+@register(f"SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace('Show HN: ' || text, {ENDS}), '^(Ask|Show) HN:?', '', 'i'), {ENDS}) AS title FROM documents", plain=True)
 def clean_title(spark: SparkSession, d: str) -> DataFrame:
     return t.titles(spark, d).select("id", scalar.clean_title(F.concat(F.lit("Show HN: "), F.col("text"))).alias("title"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuscope.operators.upsert import upsert_latest
+from corpuscope.operators.versioned import VersionedTable
 
 #: Requests an origin gets per window, and the windows' length.
 PER_WINDOW, WINDOW = 25, "1 second"
 MOST_FAILURES = 8
+#: Micro-batches between compactions of an ingested table.
+COMPACT_EVERY = 8
 #: Errors that are worth a retry.
 RAISES = ("connect", "request", "timeout", "429", "5xx")
 
@@ -111,38 +112,22 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).parquet(folder)
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
-    """Numbers of the complete versions of a table that :func:`ingest` writes, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    marks = [f.getPath() for f in files.listStatus(path) if re.fullmatch(r"v\d+", f.getPath().getName())]
-    return sorted(int(p.getName()[1:]) for p in marks if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def ingest(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> DataFrame:
+    """Run the stream to its present end and return the table it upserts into, a :class:`VersionedTable` under ``target``.
 
-
-def ingest(stream: DataFrame, target: str, checkpoint: str, key: str, order: str) -> DataFrame:
-    """Run the stream to its present end and return the table it upserts into.
-
-    Each micro-batch writes a new version of the table under ``target``, named by its batch id; a batch that is replayed
-    writes the same version again, so delivery is exactly once. The version before is the greatest complete one below it;
-    older ones go. A restart with nothing new returns the last version.
+    A micro-batch rewrites nothing: it adds files to the buckets of its own keys, and one that is replayed is known by its number,
+    so delivery is exactly once. Every COMPACT_EVERY batches, buckets with many files are merged and old versions go. A
+    restart with nothing new returns the last version.
     """
     spark = stream.sparkSession
+    table = VersionedTable(spark, target, stream.schema, key, order, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        changes = upsert_latest(batch, batch.limit(0), key, order)
-        older = [v for v in versions(spark, target) if v < number]
-        if older:
-            changes = upsert_latest(spark.read.schema(batch.schema).parquet(f"{target}/v{older[-1]}"), changes, key, order)
-        changes.write.mode("overwrite").parquet(f"{target}/v{number}")
-        for v in older[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{v}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        table.upsert(batch, number)
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            table.compact()
+            table.vacuum()
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = versions(spark, target)
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{target}/v{done[-1]}")
+    return table.read()

@@ -97,14 +97,6 @@ def test_contiguous_prefix(spark):
         assert features.contiguous_prefix(spark.createDataFrame([(i,) for i in ids], "id long"), 0).first()[0] == want
 
 
-def test_threads_and_context(spark):
-    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, None)], "id long, parent long")
-    assert {r["id"]: r["root"] for r in serve.thread_roots(tree).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
-    replies = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, " ")], "post long, rank int, text string")
-    got = {r["id"]: r["context"] for r in serve.post_context(spark.createDataFrame([(1, "T"), (2, "")], "id long, text string"), replies).collect()}
-    assert got == {1: "T\n\n# Comments:\n==========\na\n----------\nb", 2: ""}
-
-
 def test_lod_levels_nest_and_keep_the_best(spark):
     rng = np.random.default_rng(3)
     n = 6000

@@ -129,27 +129,6 @@ def test_url_parts(spark):
     assert {r["u"]: (r["p"], r["r"]) for r in df.select("u", proto.alias("p"), rest.alias("r")).collect()} == {**cases, None: (None, None)}
 
 
-def test_post_context_of_many_replies_against_brute_force(spark):
-    r = np.random.default_rng(2)
-    replies = [(int(r.integers(0, 4)), int(k) if (k := r.integers(0, 30)) else None, "x" * int(r.integers(0, 40)) + f" {i}" if i % 9 else " ") for i in range(400)]
-    posts = [(0, "T"), (1, None), (2, ""), (3, "y" * 90), (4, "alone"), (5, None)]
-    got = {x["id"]: x["context"] for x in serve.post_context(spark.createDataFrame(posts, "id long, text string"), spark.createDataFrame(replies, "post long, rank int, text string"), most_chars=100).collect()}
-    for i, text in posts:
-        mine = [t for _, _, t in sorted(((k is not None, k or 0, t) for p, k, t in replies if p == i and t.strip()))]
-        body = "# Comments:\n==========\n" + "\n----------\n".join(mine) if mine else ""
-        assert got[i] == "\n\n".join(p for p in (text or "", body) if p)[:100].strip(" ")
-
-
-def test_reply_contexts(spark):
-    items = [(1, None, "Title", "a.b/c"), (2, 1, "first", None), (3, 2, "second", None), (4, 3, "third", None), (5, 3, " ", None), (6, 77, "lost", None), (7, 6, "below lost", None), (8, 4, "fourth", None)]
-    got = {r["id"]: r["context"] for r in serve.reply_contexts(spark.createDataFrame(items, "id long, parent long, text string, url string")).collect()}
-    top = "# Post\n\nTitle\n\na.b/c"
-    assert got == {
-        2: f"{top}\n\n# Reply\n\nfirst", 3: f"{top}\n\n# Comment\n\nfirst\n\n# Reply\n\nsecond", 4: f"{top}\n\n# Comment\n\nfirst\n\n# Comment\n\nsecond\n\n# Reply\n\nthird",
-        6: "# Reply\n\nlost", 7: "# Comment\n\nlost\n\n# Reply\n\nbelow lost", 8: f"{top}\n\n# Comment\n\nfirst\n\n# Comment\n\nsecond\n\n# Comment\n\nthird\n\n# Reply\n\nfourth",
-    }
-
-
 def test_interaction_training_against_brute_force(spark):
     r = np.random.default_rng(4)
     ids = r.permutation(300)
@@ -176,4 +155,3 @@ def test_stream_restart_with_nothing_new_and_with_more(spark, tmp_path):
     assert run() == {1: 1, 2: 5} and run() == {1: 1, 2: 5}
     spark.createDataFrame([(1, 7), (2, 2), (3, 3)], schema).write.mode("append").parquet(source)
     assert run() == {1: 7, 2: 5, 3: 3} and run() == {1: 7, 2: 5, 3: 3}
-    assert len(ingest.versions(spark, table)) <= 2
