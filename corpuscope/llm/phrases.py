@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from corpuscope.llm.common import join_skewed, slices, written
 from corpuscope.llm.hashing import mix
 
-#: Words of a shard: what NumPy sorts at once, about 100 MB.
+#: Words of a shard: what NumPy sorts at once, in about 150 MB.
 SHARD_WORDS = 2_000_000
+#: Bytes of a text that are split at once; a longer piece is not cut.
+CHUNK = 1 << 20
 #: Bits of the table of n-grams that may be frequent: 16 for each, up to 2^27 (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Rows of an Arrow batch that a shard returns.
@@ -33,6 +35,8 @@ ROWS_OUT = 200_000
 RANK_PARTS = 64
 #: What parts the pieces of a text becomes a newline, a tab becomes a space, and A-Z lower case.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
+#: Numbers of what is no word: nothing between two spaces, and the end of a piece.
+_NOTHING, _END = -1, -2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,28 +47,28 @@ def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     Prefix doubling: places ranked by k words give the ranks by 2 k words, until ``depth`` is reached.
     """
     n = len(ids)
-    ranks, k = [ids.astype(np.int64)], 1
-    order = np.argsort(ranks[0], kind="stable")
+    ranks, k = [ids], 1
+    order = np.argsort(ids).astype(np.int32) if depth == 1 else None
     while k < depth:
         now = ranks[-1]
-        after = np.full(n, -1, np.int64)
+        pair = now.astype(np.int64) * (n + 1)
         if n > k:
-            after[:-k] = np.where(left[:-k] > k, now[k:], -1)
-        pair = now * (n + 1) + after + 1
-        order = np.argsort(pair, kind="stable")
+            pair[:-k] += np.where(left[:-k] > k, now[k:] + 1, 0)
+        order = np.argsort(pair).astype(np.int32)
         pair = pair[order]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.concatenate([[False], pair[1:] != pair[:-1]]))
+        del pair
         ranks.append(rank)
         k *= 2
     a, b = order[:-1], order[1:]
-    same = np.zeros(max(n - 1, 0), np.int64)
+    same = np.zeros(max(n - 1, 0), np.int32)
     for power in range(len(ranks) - 1, -1, -1):
         k, rank = 1 << power, ranks[power]
-        there, here = np.minimum(a + same, n - 1), np.minimum(b + same, n - 1)
-        equal = (left[a] - same >= k) & (left[b] - same >= k) & (rank[there] == rank[here])
-        same += k * equal
-    return order, np.minimum(np.concatenate([[0], same]) if n else same, depth)
+        equal = (left[a] - same >= k) & (left[b] - same >= k)
+        equal &= rank[np.minimum(a + same, n - 1)] == rank[np.minimum(b + same, n - 1)]
+        same += np.int32(k) * equal
+    return order, np.minimum(np.concatenate([np.zeros(1, np.int32), same]) if n else same, depth)
 
 
 def intervals(order: np.ndarray, shared: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,21 +85,33 @@ class Shard:
 
     def __init__(self) -> None:
         counter = itertools.count()
-        self.numbers: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(counter.__next__))
-        self.ids: list[int] = []
-        self.ends: list[int] = []
+        self.numbers: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(counter.__next__, {b"": _NOTHING, b"\n": _END}))
+        self.tokens: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, lang: str, plain: bytes) -> None:
+        """Words of some whole pieces; newlines end pieces."""
+        found = (plain.replace(b"\n", b" \n ") + b" \n").split(b" ")
+        ids = np.fromiter(map(self.numbers[lang].__getitem__, found), np.int32, len(found))
+        self.tokens.append(ids[ids != _NOTHING])
+        self.size += len(self.tokens[-1])
 
     def finish(self) -> None:
         """Numbers, words and languages as arrays."""
-        self.at = np.array(self.ids, np.int64)
-        ends = np.array(self.ends, np.int64)
-        sizes = np.diff(ends, prepend=0)
-        self.left = np.repeat(ends, sizes) - np.arange(len(self.at))
-        pairs = sorted((i, w, lang) for lang, known in self.numbers.items() for w, i in known.items())
-        self.words = pa.array([w for _, w, _ in pairs], pa.binary()).cast(pa.string())
-        self.langs = [lang for _, _, lang in pairs]
-        seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in self.numbers}
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[lang]) for _, w, lang in pairs), np.uint64, len(pairs))
+        tokens = np.concatenate(self.tokens)
+        self.tokens = []
+        inside = tokens != _END
+        self.at = tokens[inside]
+        ends = np.cumsum(inside, dtype=np.int32)[~inside]
+        self.left = np.repeat(ends, np.diff(ends, prepend=np.int32(0))) - np.arange(len(self.at), dtype=np.int32)
+        count = sum(len(known) - 2 for known in self.numbers.values())
+        words, self.langs, self.hashes = [b""] * count, [""] * count, np.zeros(count, np.uint64)
+        for lang, known in self.numbers.items():
+            seed = xxhash.xxh3_64_intdigest(lang.encode())
+            for w, i in known.items():
+                if i >= 0:
+                    words[i], self.langs[i], self.hashes[i] = w, lang, xxhash.xxh3_64_intdigest(w, seed)
+        self.words = pa.array(words, pa.binary()).cast(pa.string())
 
     def keys(self, first: np.ndarray, size: int) -> np.ndarray:
         """64-bit hashes of the n-grams that begin at ``first``, the same in every shard."""
@@ -110,32 +126,40 @@ class Shard:
             yield size, *intervals(order, shared, self.left, size)
 
 
+def _chunks(plain: bytes) -> Iterator[bytes]:
+    """Parts of about CHUNK bytes that end where pieces end."""
+    at = 0
+    while len(plain) - at > CHUNK:
+        end = plain.rfind(b"\n", at, at + CHUNK)
+        if end < 0 and (end := plain.find(b"\n", at + CHUNK)) < 0:
+            break
+        yield plain[at:end]
+        at = end + 1
+    yield plain[at:]
+
+
 def shards(batches: Iterator[pa.RecordBatch], most_words: int = SHARD_WORDS) -> Iterator[Shard]:
-    """Shards of batches (text, lang); a shard ends at the end of a piece once it has ``most_words``."""
+    """Shards of batches (text, lang); a shard ends at the end of a piece once it has ``most_words`` (ends of pieces count, too)."""
     shard = Shard()
     for batch in slices(batches):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            number = shard.numbers[lang].__getitem__
-            for piece in (text or "").encode().translate(_PLAIN).split(b"\n"):
-                if found := piece.split():
-                    shard.ids += map(number, found)
-                    shard.ends.append(len(shard.ids))
-                    if len(shard.ids) >= most_words:
-                        shard.finish()
-                        yield shard
-                        shard = Shard()
-                        number = shard.numbers[lang].__getitem__
-    if shard.ids:
+            for part in _chunks((text or "").encode().translate(_PLAIN)):
+                shard.add(lang, part)
+                if shard.size >= most_words:
+                    shard.finish()
+                    yield shard
+                    shard = Shard()
+    if shard.size:
         shard.finish()
         yield shard
 
 
-def _frequent(docs: DataFrame, most: int, least: int) -> np.ndarray:
-    """A bit table with the hashes of all n-grams that may occur ``least`` times; its size is a power of two."""
+def _frequent(docs: DataFrame, least: int) -> np.ndarray:
+    """A bit table with the hashes of all words and pairs that may occur ``least`` times; its size is a power of two."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            for size, first, counts in shard.grams(most):
+            for size, first, counts in shard.grams(2):
                 for at in range(0, len(first), ROWS_OUT):
                     keys = shard.keys(first[at : at + ROWS_OUT], size).view(np.int64)
                     yield pa.record_batch([pa.array(keys), pa.array(counts[at : at + ROWS_OUT])], names=["key", "n"])
@@ -160,12 +184,16 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10) -> DataFrame:
     Each language also has one row of no words, whose ``f`` is the number of all its words.
     """
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    table = texts.sparkSession.sparkContext.broadcast(_frequent(texts, most, least))
+    table = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         mask = np.uint64(len(known) * 64 - 1)
 
+        def frequent(keys: np.ndarray) -> np.ndarray:
+            keys &= mask
+            return (known[(keys >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
         def rows(langs: list[str], phrases: pa.Array, size: int, counts: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(langs, pa.string()), pa.array(np.full(len(counts), size, np.int32)), phrases, pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "f"])
 
@@ -177,8 +205,9 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10) -> DataFrame:
             yield rows(langs, pa.array([""] * len(langs), pa.string()), 0, totals)
             names = pa.array(langs, pa.string())
             for size, first, counts in shard.grams(most):
-                keys = shard.keys(first, size) & mask
-                kept = np.flatnonzero((known[(keys >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1))
+                kept = np.arange(len(first))
+                for j in range(max(1, size - 1)):  # the n-gram itself, or each pair in it
+                    kept = kept[frequent(shard.keys(first[kept] + j, min(size, 2)))]
                 for at in range(0, len(kept), ROWS_OUT):
                     here = kept[at : at + ROWS_OUT]
                     parts = [shard.words.take(pa.array(shard.at[first[here] + j])) for j in range(size)]
