@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions import encoders, scalar, vectors
-from corpuscope.operators import labels, lexical, spatial, versioned
+from corpuscope.functions import encoders, msgpack, scalar, vectors
+from corpuscope.operators import clusters, labels, lexical, spatial, versioned
 from corpuscope.operators import neighbour_index as neighbours
 from corpuscope.operators.stages import shared_folder
 from corpuscope.queries import register
 from corpuscope.sources import tables as t
-from corpuscope.streaming import waiting
+from corpuscope.streaming import ids, waiting
 
 #: A row of such a time closes a stream: it moves the watermark past all others.
 CLOSING = "2100-01-01"
@@ -116,3 +116,80 @@ def map_labels(spark: SparkSession, d: str) -> DataFrame:
     titled = points.withColumn("doc", F.col("id") % n).join(letters, "doc").drop("doc")
     meta = spatial.map_meta(points)
     return labels.pick_labels(titled, spatial.lod_sample(points, meta), meta)
+
+
+# --- key-value tables -------------------------------------------------------------------------------------------------------------
+
+_META = "description string, lang string, title string, visits bigint, share double, seen timestamp, seen_modified timestamp"
+
+
+@register("SELECT page_id AS id, CASE WHEN page_id % 3 <> 0 THEN url END AS description, regexp_extract(html, 'lang=\"([a-z]*)\"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id * 1000003 - 500 AS visits, page_id / 7.0 AS share, TIMESTAMP '2024-01-01' + INTERVAL 1 MICROSECOND * (page_id * 1234567 % 4000000) AS seen, TIMESTAMP '1969-07-20' + INTERVAL 1 DAY * (page_id * 37 % 300000) AS seen_modified FROM pages WHERE page_id % 10 <> 9 UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 10 = 9", plain=True)
+def kv_url_metas(spark: SparkSession, d: str) -> DataFrame:
+    """Page metadata written as binary values of a key-value table, every tenth cut off, and read back."""
+    p, n = t.read_table(spark, d, "pages"), F.col("page_id")
+    at = lambda day, micros: F.timestamp_micros(F.unix_micros(F.lit(day).cast("timestamp")) + micros)
+    rows = p.select("page_id", F.when(n % 3 != 0, F.col("url")).alias("description"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), (n * 1000003 - 500).alias("visits"), (n / F.lit(7.0)).alias("share"), at("2024-01-01", n * 1234567 % 4000000).alias("seen"), at("1969-07-20", n * 37 % 300000 * F.lit(86_400_000_000).cast("long")).alias("seen_modified"))
+    value = msgpack.packed(rows, rows.columns[1:])
+    kv = rows.select(F.concat(F.lit("url/"), n.cast("string"), F.lit("/meta")).alias("k"), value.alias("v"), "page_id")
+    broken = kv.select("k", F.when(F.col("page_id") % 10 == 9, F.expr("substring(v, 1, octet_length(v) - 1)")).otherwise(F.col("v")).alias("v"))
+    fields = spark.createDataFrame([], _META).schema
+    return t.kv_values(broken, "url/%/meta", fields).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("seen", "seen_modified")})
+
+
+@register("SELECT vec_id AS id, unnest(range(len(embedding)))::INTEGER AS dim, unnest(embedding) AS value FROM embeddings WHERE vec_id % 7 <> 3", plain=True)
+def kv_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as raw bytes of a key-value table, some under other fields, and read back."""
+    v = t.vector_table(spark, d)
+    field = F.when(F.col("vec_id") % 7 == 3, "/emb_other").otherwise("/emb")
+    kv = v.select(F.concat(F.lit("post/"), F.col("vec_id").cast("string"), field).alias("k"), vectors.floats_to_bytes(F.col("embedding")).alias("v"))
+    return t.kv_vectors(kv, "post/%/emb", len(t.query_vector(spark, d))).select("id", F.posexplode("emb").alias("dim", "value"))
+
+
+@register("SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'text' ELSE 'meta' END AS field FROM pages WHERE page_id % 5 <> 4", plain=True)
+def kv_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and fields of keys; keys of another form are none."""
+    n = F.col("page_id")
+    key = F.concat(F.when(n % 5 == 4, "xurl/").otherwise("url/"), n.cast("string"), F.when(n % 2 == 0, "/text").otherwise("/meta"))
+    number, field = t.kv_id_field(key, "url", ["text", "meta"])
+    return t.read_table(spark, d, "pages", ["page_id"]).select(number.alias("id"), field.alias("field")).where("id is not null")
+
+
+# --- clusters ---------------------------------------------------------------------------------------------------------------------
+
+
+@register()
+def kmeans_many(spark: SparkSession, d: str) -> DataFrame:
+    """Inertia and filled clusters for every k from 2 to 16, each round one scan; stopped after three rounds and taken up again."""
+    v, folder = t.vector_table(spark, d), shared_folder(spark, "kmeans")
+    clusters.ManyKMeans(v, range(2, 17), folder).run(3)
+    return clusters.ManyKMeans(v, range(2, 17), folder).run(9).inertia()
+
+
+@register("SELECT label AS cluster, string_agg(title, ' | ' ORDER BY place, id) AS titles FROM (SELECT label, vec_id AS id, (vec_id * 2654435761) % 4294967296 AS place, text || ' (' || split_part(regexp_replace(url, '^https?://', ''), '/', 1) || ')' AS title, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) AS rn FROM embeddings JOIN pages ON page_id = vec_id % (2 * (SELECT count(*) FROM pages)) JOIN documents ON doc_id = vec_id) WHERE rn <= 5 GROUP BY 1", plain=True)
+def cluster_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and sites of five members of each cluster; members whose post has no page are left out."""
+    urls = t.urls(spark, d)
+    e = t.read_table(spark, d, "embeddings", ["vec_id", "label"]).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    posts = e.select("id", (F.col("id") % (2 * urls.count())).alias("url_id"))
+    return clusters.cluster_titles(e, posts, urls, t.titles(spark, d), 5).select("cluster", F.array_join("titles", " | ").alias("titles"))
+
+
+@register("SELECT event_id AS id, user_id, value, event_id % 1000 <> 777 AS done, (SELECT min(event_id) FROM events WHERE event_id % 1000 = 777) AS committed FROM events", plain=True)
+def id_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """All events asked for by ranges of ids; the second batch fails once and is taken up again; the commit stays before the first unfinished id."""
+    e = t.read_table(spark, d, "events", ["event_id", "user_id", "value"]).withColumnRenamed("event_id", "id")
+    n, failures = e.count(), [True]
+
+    def work(batch: DataFrame) -> DataFrame:
+        if failures and batch.where(F.col("id") > n // 2).limit(1).count():
+            failures.clear()
+            raise ConnectionError("no answer")
+        return batch.join(e, "id").withColumn("done", F.col("id") % 1000 != 777)
+
+    folder, schema = shared_folder(spark, "ids"), e.withColumn("done", F.lit(True)).schema
+    for _ in range(2):
+        try:
+            table = ids.work_through(spark, folder, n - 1, work, schema, per_batch=-(-n // 3), buckets=8)
+        except ids.StreamingQueryException:
+            continue
+    return table.read().withColumn("committed", F.lit(ids.committed(table)).cast("long"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.functions import scalar
+from corpuscope.functions import msgpack, scalar, vectors
 from corpuscope.plans.query import Dataset
 
 _KINDS = {"l": T.LongType(), "i": T.IntegerType(), "h": T.ShortType(), "b": T.BooleanType(), "s": T.StringType(), "t": T.TimestampType(), "d": T.DoubleType(), "f": T.FloatType(), "v": T.ArrayType(T.FloatType()), "m": T.MapType(T.StringType(), T.FloatType())}
@@ -68,6 +68,25 @@ def kv_scan(kv: DataFrame, pattern: str, value: str = "text") -> DataFrame:
     return found.where("id is not null")
 
 
+def kv_id_field(key: Column, entity: str, fields: list[str]) -> tuple[Column, Column]:
+    """The id and field of keys of the form entity/id/field with one of ``fields``; both null for any other key."""
+    pattern = f"^{entity}/([0-9]+)/({'|'.join(fields)})$"
+    field = F.nullif(F.regexp_extract(key, pattern, 2), F.lit(""))
+    return F.when(field.isNotNull(), F.regexp_extract(key, pattern, 1).try_cast("long")), field
+
+
+def kv_values(kv: DataFrame, pattern: str, fields: T.StructType) -> DataFrame:
+    """``id`` and ``fields`` of the MessagePack maps of all keys like ``pattern``; malformed values give nulls, keys without a number are dropped."""
+    found = kv.where(F.col("k").like(pattern)).select(scalar.kv_id(F.col("k")).alias("id"), msgpack.unpacked(F.col("v"), fields).alias("f"))
+    return found.where("id is not null").select("id", "f.*")
+
+
+def kv_vectors(kv: DataFrame, pattern: str, dims: int) -> DataFrame:
+    """``id, emb`` of the raw float32 values of all keys like ``pattern``; values of another length give nulls."""
+    found = kv.where(F.col("k").like(pattern)).select(scalar.kv_id(F.col("k")).alias("id"), vectors.bytes_to_floats(F.col("v"), dims).alias("emb"))
+    return found.where("id is not null")
+
+
 def keyset_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """A relational table in ranges of its key, read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="id", lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions), **options).load()
@@ -129,16 +148,16 @@ def dataset(spark: SparkSession, folder: str, name: str) -> Dataset:
     """The query tables post, toppost and comment."""
     from corpuscope.operators import features
 
-    vectors = vector_table(spark, folder)
+    held = vector_table(spark, folder)
     if name == "comment":
         rows = features.comment_table(comments(spark, folder), sentiments(spark, folder))
     else:
         rows = features.post_table(posts(spark, folder), comment_posts(spark, folder))
-    n = vectors.count()
+    n = held.count()
     rows = rows.withColumn("emb_key", F.col("id") % n)
     if name == "toppost":
         rows = rows.join(layout(spark, folder).withColumnRenamed("id", "emb_key"), "emb_key")
-    return Dataset(name, rows, vectors)
+    return Dataset(name, rows, held)
 
 
 def comment_posts(spark: SparkSession, folder: str) -> DataFrame:
