@@ -35,7 +35,7 @@ LOCAL_STAR = 8
 #: Rows of stars that are shipped as one piece, to any block: they need not meet again.
 STAR_ROWS = 65_536
 #: Members of one block of a bucket at most, and bytes; bytes of texts, pairs and rows that a group of texts gives one task.
-BUCKET_BLOCK, BLOCK_BYTES, TASK_BYTES, TASK_PAIRS, TASK_ROWS = 2048, 4_000_000, 24_000_000, 50_000_000, 20_000
+BUCKET_BLOCK, BLOCK_BYTES, TASK_BYTES, TASK_PAIRS, TASK_ROWS = 2048, 4_000_000, 24_000_000, 50_000_000, 4_000
 #: Pairs sifted at once, and failed pairs a task remembers.
 PAIRS, FAILED = 131_072, 1_000_000
 
