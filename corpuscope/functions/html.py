@@ -22,6 +22,8 @@ META = {"article:modified_time": "timestamp_modified", "article:published_time":
 FIELDS = ("description", "image_url", "lang", "snippet", "timestamp", "timestamp_modified", "title")
 ARTICLE_TYPES = {"http://schema.org/Article", "https://schema.org/Article"}
 MOST_CHARS, SNIPPET_CHARS = 65536, 251
+#: Pages that are parsed at once.
+PAGES = 256
 CLOSES_P = BLOCKS - {"body", "td", "th", "tr"}
 
 
@@ -131,7 +133,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     at = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PAGES) for whole in batches for i in range(0, whole.num_rows, PAGES)):
             rows = [parse_page(h) for h in batch.column(at).to_pylist()]
             yield pa.record_batch([*[batch.column(i) for i in range(at)], *[pa.array([r[f] for r in rows], pa.string()) for f in (*FIELDS, "text")]], names=[*kept, *FIELDS, "text"])
 

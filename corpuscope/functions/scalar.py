@@ -109,18 +109,28 @@ def strip_protocol(url: Column) -> Column:
 MOST_URL_BYTES = 3000
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..`` (also escaped), the latter with the segment before; one at the end leaves a slash."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    numbered = F.transform(segments, lambda x, i: F.struct(F.regexp_replace(x, "(?i)%2e", ".").alias("plain"), x.alias("x"), (i == F.size(segments) - 1).alias("last")))
+    end = lambda s: F.when(s["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    shorter = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(numbered, F.array().cast("array<string>"), lambda kept, s: F.when(s["plain"] == "..", F.concat(shorter(kept), end(s))).when(s["plain"] == ".", F.concat(kept, end(s))).otherwise(F.concat(kept, F.array(s["x"]))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Protocol and the rest of an url, normalised; both null if it is no http url or the rest is longer than MOST_URL_BYTES.
 
-    The host is lower-cased, a default port and the fragment go, an empty path is a slash, percent escapes are upper case, the
-    parts of the query are sorted.
+    The host is lower-cased, a default port and the fragment go, dot segments of the path are taken away, an empty path is a
+    slash, percent escapes are upper case, the parts of the query are sorted.
     """
     whole = F.trim(url)
     part = lambda i: F.regexp_extract(whole, r"^(?i:(https?)://)(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?(?:#.*)?$", i)
     proto, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), F.substring(part(5), 2, 1 << 30)
     port = F.when((port == "") | (proto == "http") & (port == "80") | (proto == "https") & (port == "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
     asked = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x != "")), "&")
-    rest = F.concat(host, port, F.when(path == "", F.lit("/")).otherwise(path), F.when(asked == "", F.lit("")).otherwise(F.concat(F.lit("?"), asked)))
+    rest = F.concat(host, port, F.when(path == "", F.lit("/")).otherwise(without_dots(path)), F.when(asked == "", F.lit("")).otherwise(F.concat(F.lit("?"), asked)))
     # split at escapes: what follows each % begins with its two digits
     pieces = F.split(rest, "%")
     rest = F.array_join(F.transform(pieces, lambda x, i: F.when((i > 0) & x.rlike("^[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30))).otherwise(x)), "%")

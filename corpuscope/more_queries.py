@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions import encoders, msgpack, scalar, vectors
-from corpuscope.operators import clusters, labels, lexical, spatial, versioned
+from corpuscope.functions import encoders, msgpack, scalar, sentiment, vectors
+from corpuscope.operators import clusters, labels, layout, lexical, results, spatial, versioned
 from corpuscope.operators import neighbour_index as neighbours
 from corpuscope.operators.stages import shared_folder
 from corpuscope.queries import register
 from corpuscope.sources import tables as t
-from corpuscope.streaming import ids, waiting
+from corpuscope.streaming import ids, ingest, waiting
 
 #: A row of such a time closes a stream: it moves the watermark past all others.
 CLOSING = "2100-01-01"
@@ -107,6 +109,14 @@ def lexical_search(spark: SparkSession, d: str) -> DataFrame:
 # --- labels -----------------------------------------------------------------------------------------------------------------------
 
 
+@register()
+def label_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of a map of one level, all titles alike long."""
+    points = t.dataset(spark, d, "toppost").rows.select("id", "x", "y", F.col("votes").alias("score"), F.lit(12).alias("letters"))
+    meta = spatial.map_meta(points).withColumn("lod_levels", F.lit(1))
+    return labels.pick_labels(points, points.select(F.lit(0).alias("lod"), "id"), meta).select("zoom", "id")
+
+
 @register()
 def map_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of every zoom of the map, as wide as the first sentences of the points' documents."""
@@ -193,3 +203,102 @@ def id_ranges(spark: SparkSession, d: str) -> DataFrame:
         except ids.StreamingQueryException:
             continue
     return table.read().withColumn("committed", F.lit(ids.committed(table)).cast("long"))
+
+
+# --- sentiment, results, functions ------------------------------------------------------------------------------------------------
+
+_GOOD, _BAD = ["the", "de", "und", "el"], ["of", "la", "die", "that"]
+_SAID = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@register(f"WITH c AS (SELECT conv_id * 8 + turn AS id, len(list_filter({_SAID}, lambda x: list_contains({_GOOD}, x)))::DOUBLE AS a, 1.0::DOUBLE AS b, len(list_filter({_SAID}, lambda x: list_contains({_BAD}, x)))::DOUBLE AS c FROM conversations), m AS (SELECT *, greatest(a, b, c) AS top FROM c) SELECT id, round(exp(a - top) / (exp(a - top) + exp(b - top) + exp(c - top)), 9) AS positive, round(exp(b - top) / (exp(a - top) + exp(b - top) + exp(c - top)), 9) AS neutral, round(exp(c - top) / (exp(a - top) + exp(b - top) + exp(c - top)), 9) AS negative FROM m", plain=True)
+def text_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn's sentiment by word lists, which stand in for a model."""
+    model = sentiment.WordLists(frozenset(_GOOD), frozenset(_BAD))
+    found = sentiment.classify_texts(t.thread(spark, d), model)
+    return found.select("id", *[F.round(c, 9).alias(c) for c in sentiment.CLASSES])
+
+
+@register("SELECT event_id AS id, coalesce(c_name, '') AS author, round(value, 0) AS votes FROM events LEFT JOIN customer ON c_custkey = user_id WHERE user_id % 3 <> 0", plain=True)
+def comment_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Comments with their authors' names; an author who is not known has none."""
+    users = t.users(spark, d)
+    comments = t.comments(spark, d).where("author % 3 <> 0")
+    named = comments.join(users.withColumnRenamed("id", "author"), "author", "left")
+    return named.select("id", F.coalesce("username", F.lit("")).alias("author"), F.col("score").alias("votes"))
+
+
+@register("SELECT id, page, score FROM (SELECT event_id AS id, round(value, 0) AS score, ((row_number() OVER (ORDER BY round(value, 0) DESC, event_id) - 1) // 20)::INTEGER AS page FROM events) WHERE page < 3", plain=True)
+def result_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of comments by score, each found by the mark of the one before."""
+    rows, after, parts = t.comments(spark, d).select("id", "score"), None, []
+    for number in range(3):
+        found = results.page(rows, "score", 20, after)
+        after = found.after
+        parts.append(found.rows.withColumn("page", F.lit(number)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("SELECT doc_id AS id FROM documents ORDER BY ((doc_id + 3 * 7919) * 2654435761) % 4294967296, doc_id LIMIT 12", plain=True)
+def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
+    return results.shuffled(t.titles(spark, d), 12, 3).select("id")
+
+
+@register("SELECT id, min(part)::INTEGER AS part FROM (SELECT vec_id AS id, 0 AS part FROM embeddings WHERE label = 1 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT page_id, 2 FROM pages) GROUP BY 1", plain=True)
+def union_of_results(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of three results, each once, with the first that has it."""
+    vecs = t.read_table(spark, d, "embeddings", ["vec_id", "label"]).where("label = 1").select(F.col("vec_id").alias("id"))
+    return results.union_ids(vecs, t.titles(spark, d).where("id % 2 = 0"), t.urls(spark, d))
+
+
+@register("SELECT page_id AS id, page_id % 4 NOT IN (2) AS is_html, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN '429' WHEN 2 THEN '5xx' WHEN 3 THEN '404' WHEN 4 THEN 'timeout' ELSE 'ok' END AS outcome, trim(CASE WHEN page_id % 3 = 0 THEN ' ' || url ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END) AS snippet FROM pages", plain=True)
+def crawl_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Content types, outcomes and snippets of pages."""
+    n = F.col("page_id")
+    kind = F.when(n % 4 == 0, None).when(n % 4 == 1, "TEXT/HTML; charset=utf-8").when(n % 4 == 2, "application/pdf").otherwise("application/xhtml+xml")
+    status = F.when(n % 6 == 1, 429).when(n % 6 == 2, 503).when(n % 6 == 3, 404).otherwise(200)
+    description = F.when(n % 3 == 0, F.concat(F.lit(" "), "url")).when(n % 3 == 1, "")
+    p = t.read_table(spark, d, "pages")
+    return p.select(n.alias("id"), scalar.is_html_type(kind).alias("is_html"), ingest.error_code(status, F.when(n % 6 == 4, "timeout")).alias("outcome"), scalar.snippet_of(description, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("snippet"))
+
+
+@register("SELECT o_orderkey AS id, round(greatest(0, coalesce(CASE WHEN round(o_totalprice, 0) > lo THEN ln(round(o_totalprice, 0) - lo) END / ln(hi - lo + 1), 0)), 9) AS alpha FROM orders, (SELECT min(round(o_totalprice, 0)) AS lo, max(round(o_totalprice, 0)) AS hi FROM orders)", plain=True)
+def point_weights(spark: SparkSession, d: str) -> DataFrame:
+    """How strongly each point of the map is drawn."""
+    posts = t.posts(spark, d)
+    ends = posts.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return posts.crossJoin(F.broadcast(ends)).select("id", F.round(scalar.point_alpha(F.col("score"), F.col("lo"), F.col("hi")), 9).alias("alpha"))
+
+
+@register("SELECT label, dim, CASE WHEN round(avg(v), 6) = 0 THEN 0 ELSE round(avg(v), 6) END AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings) GROUP BY 1, 2", plain=True)
+def mean_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The mean vector of each label."""
+    e = t.read_table(spark, d, "embeddings", ["label", "embedding"])
+    found = e.groupBy("label").agg(vectors.mean_vector("embedding", len(t.query_vector(spark, d))).alias("m"))
+    value = F.round("x", 6)
+    return found.select("label", F.posexplode("m").alias("dim", "x")).select("label", "dim", F.when(value == 0, 0.0).otherwise(value).alias("mean"))
+
+
+@register("SELECT o_orderkey AS id, round(o_totalprice, 0) AS votes, '{\"name\": \"post\", \"rows\": ' || (SELECT count(*) FROM orders) || '}' AS about FROM orders", plain=True)
+def dataset_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The post dataset written with what is known of it, and read back."""
+    folder, made = shared_folder(spark, "dataset"), t.dataset(spark, d, "post")
+    results.write_dataset(made, folder, rows=made.rows.count())
+    back, about = results.read_dataset(spark, folder)
+    return back.rows.select("id", "votes", F.lit(json.dumps(about)).alias("about"))
+
+
+# --- layout -----------------------------------------------------------------------------------------------------------------------
+
+
+@register()
+def placed_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts placed as labels on a layout of all documents, by their neighbours."""
+    encoder = encoders.HashingEncoder(64)
+    encoded = lambda df: encoders.encode_texts(df, encoder).withColumnRenamed("id", "vec_id")
+    folder = shared_folder(spark, "layout")
+    index = neighbours.build(vectors.distinct_vectors(encoded(t.titles(spark, d))), f"{folder}/index")
+    made = layout.fit(index, f"{folder}/layout")
+    texts = t.read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "id")
+    found = made.place(encoded(texts.withColumn("id", -1 - F.col("id"))))
+    return found.select((-1 - F.col("vec_id")).alias("id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

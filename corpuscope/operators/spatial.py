@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,7 +97,7 @@ def tile_range(meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: f
 
 def write_tiles(tiles: DataFrame, folder: str) -> None:
     """The map's tiles as Parquet, a folder per level and row of tiles, so that a lookup reads only those that it asks for."""
-    tiles.repartition("lod", "tile_y").sortWithinPartitions("lod", "tile_y", "tile_x").write.partitionBy("lod", "tile_y").mode("overwrite").parquet(folder)
+    tiles.repartition("lod", "tile_y", "tile_x", "chunk").sortWithinPartitions("lod", "tile_y", "tile_x", "chunk").write.partitionBy("lod", "tile_y").mode("overwrite").parquet(folder)
 
 
 def viewport_tiles(spark: SparkSession, folder: str, meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -108,8 +107,12 @@ def viewport_tiles(spark: SparkSession, folder: str, meta: DataFrame, lod: int,
     return tiles.where(F.col("tile_x").between(r["tile_x_min"], r["tile_x_max"]))
 
 
-def lod_tiles(points: DataFrame, sample: DataFrame, meta: DataFrame) -> DataFrame:
-    """``lod, tile_x, tile_y, points``: each level's points by tile, 2^lod tiles an axis, sorted by id."""
+def lod_tiles(points: DataFrame, sample: DataFrame, meta: DataFrame, most: int = 4096) -> DataFrame:
+    """``lod, tile_x, tile_y, chunk, points``: each level's points by tile, 2^lod tiles an axis, sorted by id.
+
+    A tile with more than ``most`` points comes in as many chunks as leave about so many to each, dealt by a hash of the id, so
+    that no row grows with the density of the map.
+    """
     placed = sample.join(points, "id").crossJoin(F.broadcast(meta.select("x_min", "x_max", "y_min", "y_max")))
     n = F.pow(F.lit(2.0), F.col("lod"))
 
@@ -117,7 +120,11 @@ def lod_tiles(points: DataFrame, sample: DataFrame, meta: DataFrame) -> DataFram
         at = F.floor(F.try_divide((F.col(c) - F.col(f"{c}_min")) * n, F.col(f"{c}_max") - F.col(f"{c}_min")))
         return F.coalesce(F.least(at, n.cast("long") - 1), F.lit(0)).cast("int")
 
-    return placed.select("lod", tile("x").alias("tile_x"), tile("y").alias("tile_y"), F.struct("id", "x", "y", "score").alias("p")).groupBy("lod", "tile_x", "tile_y").agg(F.sort_array(F.collect_list("p")).alias("points"))
+    tiled = placed.select("lod", tile("x").alias("tile_x"), tile("y").alias("tile_y"), F.struct("id", "x", "y", "score").alias("p"))
+    # only tiles with several chunks are looked up; these are at most points / most
+    full = tiled.groupBy("lod", "tile_x", "tile_y").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = tiled.join(full, ["lod", "tile_x", "tile_y"], "left").withColumn("chunk", F.pmod(F.xxhash64("p.id"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    return dealt.groupBy("lod", "tile_x", "tile_y", "chunk").agg(F.sort_array(F.collect_list("p")).alias("points"))
 
 
 def lod_of_zoom(zoom: float, levels: int) -> int:
@@ -265,37 +272,6 @@ def terrain_paths(cells: DataFrame, meta: DataFrame, dpi: float = 32, upscale: i
     return cells.crossJoin(F.broadcast(meta.select("x_min", "y_min", "x_max", "y_max"))).groupBy().applyInPandas(trace, "level int, path_id int, path array<struct<x:double,y:double>>")
 
 
-def pick_labels(points: DataFrame, zooms: list[int], tile: float, width: float = 0.1, height: float = 0.02) -> DataFrame:
-    """``zoom, id``: labels picked greedily by score so that none overlap, per zoom and tile; a zoom doubles the room.
-
-    Spark sorts the points of a tile, best first, and may spill; Python reads them as they come and holds the labels kept of one
-    tile alone, of which no more than a bounded number have room. Points without a place get no label; those without a score come last.
-    """
-    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    at_zoom = placed.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(z,) for z in zooms], "zoom int")))
-    tile_of = {f"tile_{c}": F.floor(F.col(c) / tile).cast("long") for c in ("x", "y")}
-    tiled = at_zoom.select("zoom", "id", "x", "y", F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")).alias("score")).withColumns(tile_of)
-    keys = ["zoom", "tile_x", "tile_y"]
-
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: tuple[int, ...] = ()
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        for pdf in frames:
-            kept = []
-            for row in pdf.itertuples():
-                if group != (row.zoom, row.tile_x, row.tile_y):
-                    group, cells = (row.zoom, row.tile_x, row.tile_y), {}
-                w, h = width / 2**row.zoom, height / 2**row.zoom
-                cx, cy = int(row.x // w), int(row.y // h)
-                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((cx + i, cy + j), ()))
-                if not any(abs(px - row.x) < w and abs(py - row.y) < h for px, py in near):
-                    cells.setdefault((cx, cy), []).append((row.x, row.y))
-                    kept.append((row.zoom, row.id))
-            yield pd.DataFrame(kept, columns=["zoom", "id"])
-
-    return tiled.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "id").mapInPandas(pick, "zoom int, id long")
-
-
 def per_group_sample(rows: DataFrame, group: str, n: int) -> DataFrame:
     """``n`` rows of each group, chosen by hash of their id."""
     w = Window.partitionBy(group).orderBy(key_hash(F.col("id")), "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.operators.stages import cut_lineage
+
 
 def upsert_latest(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the one of greatest ``order``; a change wins a tie with the current row."""
@@ -17,11 +19,12 @@ def upsert_latest(current: DataFrame, changes: DataFrame, key: str, order: str)
 def dictionary_encode(dictionary: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """``dictionary`` (id, name) with new names added, numbered on from the largest id in order of their names.
 
-    Numbers are given by a range partitioning, counts per partition and places within it, so nothing is sorted in one task.
+    Numbers are given by a range partitioning, counts per partition and places within it, so nothing is sorted in one task. The
+    places are written before they are counted, so a lost executor can't change a number.
     """
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(dictionary, name, "left_anti")
     spark = dictionary.sparkSession
-    ordered = fresh.repartitionByRange(name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).persist()
+    ordered = cut_lineage(fresh.repartitionByRange(name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     counts = {r["part"]: (r["first"], r["n"]) for r in ordered.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()}
     top, offsets = dictionary.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0], []
     for part in sorted(counts):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import scalar, vectors
 from corpuscope.operators.spatial import heat_image
+from corpuscope.operators.stages import cut_lineage
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
@@ -181,10 +182,10 @@ def heat_cells(points: DataFrame, whole: DataFrame, density: float, weight: str
 
 
 def compile_query(dataset: Dataset, q: QueryInput) -> list[DataFrame]:
-    """One DataFrame per output. With several outputs the scored rows are cached for the session."""
+    """One DataFrame per output. With several outputs the scored rows are written once, and each output reads them."""
     rows = scored(dataset, q)
     if len(q.outputs) > 1:
-        rows = rows.persist()
+        rows = cut_lineage(rows)
     out = []
     for o in q.outputs:
         if isinstance(o, ItemsOutput):

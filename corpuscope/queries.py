@@ -84,6 +84,13 @@ def analyze_popularity(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.select("group", "score"), "score", digits=4)
 
 
+@register('SELECT floor(ts_day / 7)::INTEGER AS "group", TIMESTAMP \'1970-01-01\' + INTERVAL 7 DAY * floor(ts_day / 7)::INTEGER AS week, round(sum(votes * sim), 4) AS score FROM ps WHERE sim BETWEEN 0.1 AND 1 AND ts_day >= 1 GROUP BY 1, 2')
+def popularity_by_week(spark: SparkSession, d: str) -> DataFrame:
+    """As analyze_popularity, with the day on which each week begins."""
+    found = endpoints.analyze_popularity(t.dataset(spark, d, "post"), t.query_vector(spark, d), sim_min_hundredths=10, floor=10)
+    return _rounded(found.withColumn("week", F.col("week").cast("timestamp_ntz")), "score", digits=4)
+
+
 @register(f"SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(sim, 6) AS sim, round(0.5 * ((least(greatest(sim, 0.1), 1) - 0.1) / 0.9) + 0.2 * exp(-0.001 * ({NOW} - ts_day)) + 0.3 * votes_norm, 6) AS final_score FROM ps ORDER BY 0.5 * ((least(greatest(sim, 0.1), 1) - 0.1) / 0.9) + 0.2 * exp(-0.001 * ({NOW} - ts_day)) + 0.3 * votes_norm DESC, id LIMIT 50")
 def search(spark: SparkSession, d: str) -> DataFrame:
     found = endpoints.search(t.dataset(spark, d, "toppost"), t.query_vector(spark, d), limit=50, w_sim=0.5, w_score=0.3, w_ts=0.2, decay=0.001, now_days=NOW, sim_floor=0.1)
@@ -243,6 +250,12 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     return features.interactions(t.posts(spark, d), t.comments(spark, d), sentinel=None)
 
 
+@register('SELECT o_custkey AS "user", o_orderkey AS post FROM orders WHERE o_custkey <> 0 AND o_orderkey <> 0 UNION SELECT user_id, event_id % (SELECT count(*) FROM orders) FROM events WHERE user_id <> 0 AND event_id % (SELECT count(*) FROM orders) <> 0', plain=True)
+def interactions_known(spark: SparkSession, d: str) -> DataFrame:
+    """As interactions, with 0 as the id of what is not known."""
+    return features.interactions(t.posts(spark, d), t.comments(spark, d), sentinel=0)
+
+
 @register("WITH r AS (SELECT event_id AS id, user_id, event_type = 'purchase' AS is_post, embedding::DOUBLE[] AS e FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE event_type IN ('purchase', 'view', 'click')), u AS (SELECT id, user_id, is_post, unnest(e) AS v, unnest(range(len(e)))::INTEGER AS dim FROM r), w AS (SELECT *, avg(CASE WHEN NOT is_post THEN v END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(CASE WHEN NOT is_post THEN 1 END) OVER (PARTITION BY user_id, dim ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM u) SELECT user_id, id, n AS n_before, dim, round(a, 6) AS value FROM w WHERE is_post", plain=True)
 def asof_user_average(spark: SparkSession, d: str) -> DataFrame:
     v = t.vector_table(spark, d)
@@ -414,12 +427,19 @@ def site_of_url(spark: SparkSession, d: str) -> DataFrame:
     return t.urls(spark, d).select("id", scalar.site_of(F.col("url")).alias("site"))
 
 
-@register("SELECT page_id AS id, 'https' AS proto, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) || '/a%2Fb?a=2&z=1' AS url FROM pages", plain=True)
+_PARTS = "SELECT page_id AS id, lower(regexp_extract(url, '^(https?):', 1)) AS proto, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM pages"
+
+
+@register(f"SELECT id, proto, host || '/top' || CASE WHEN path = '' THEN '/' ELSE path END || '%2F?' || array_to_string(list_sort(list_concat(list_filter(string_split(query, '&'), lambda x: x <> ''), ['b=1', 'a=2'])), '&') AS url FROM ({_PARTS})", plain=True)
 def normal_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Every page's host in an url that needs all rules."""
-    odd = F.concat(F.lit("  HTTPS://u@"), F.upper(scalar.site_of(F.col("url"))), F.lit(":443/a%2fb?z=1&&a=2#top"))
+    """Every page's whole url, written so that it needs all rules: case, user, port, dots, escapes, empty and unsorted parts, fragment."""
+    p = t.read_table(spark, d, "pages", ["page_id", "url"])
+    part = lambda i: F.regexp_extract("url", r"^(https?)://([^/?#]+)([^?#]*)[?]?([^#]*)", i)
+    path = F.when(part(3) == "", "/").otherwise(part(3))
+    port = F.when(part(1) == "https", ":443").otherwise(":80")
+    odd = F.concat(F.lit("  "), F.upper(part(1)), F.lit("://u:p@"), F.upper(part(2)), port, F.lit("/gone/../top/./x/.."), path, F.lit("%2f?b=1&&"), part(4), F.lit("&a=2#end "))
     proto, rest = scalar.url_parts(odd)
-    return t.urls(spark, d).select("id", proto.alias("proto"), rest.alias("url"))
+    return p.select(F.col("page_id").alias("id"), proto.alias("proto"), rest.alias("url"))
 
 
 @register()
@@ -493,18 +513,22 @@ def lod_tiles(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
     meta = spatial.map_meta(points)
     tiles = spatial.lod_tiles(points, spatial.lod_sample(points, meta), meta)
-    return tiles.select("lod", "tile_x", "tile_y", F.size("points").cast("long").alias("n"), F.get("points", F.lit(0))["id"].alias("first_id"), F.array_max(F.transform("points", lambda p: p["score"])).alias("best"))
+    best = F.max(F.array_max(F.transform("points", lambda p: p["score"]))).alias("best")
+    return tiles.groupBy("lod", "tile_x", "tile_y").agg(F.sum(F.size("points").cast("long")).alias("n"), F.min(F.get("points", F.lit(0))["id"]).alias("first_id"), best)
+
+
+_AT = "greatest(0, least(1, floor(({v} - {c}0) * 2 / ({c}1 - {c}0))))"
 
 
-@register(_with_sample(f"SELECT tile_x, tile_y, count(*) AS n, min(id) AS first_id FROM (SELECT {TILE.format(c='x')} AS tile_x, {TILE.format(c='y')} AS tile_y, id FROM sample JOIN pts USING (id), (SELECT x0, x1, y0, y1 FROM mm) WHERE lod = 0), (SELECT x0, x1, y0, y1 FROM mm) WHERE tile_x BETWEEN greatest(0, floor((0.0 - x0) / (x1 - x0))) AND least(0, floor((0.1 - x0) / (x1 - x0))) AND tile_y BETWEEN greatest(0, floor((-0.05 - y0) / (y1 - y0))) AND least(0, floor((0.05 - y0) / (y1 - y0))) GROUP BY 1, 2"), plain=True)
+@register(_with_sample(f"SELECT tile_x, tile_y, count(*) AS n, min(id) AS first_id FROM (SELECT {TILE.format(c='x')} AS tile_x, {TILE.format(c='y')} AS tile_y, id FROM sample JOIN pts USING (id), (SELECT x0, x1, y0, y1 FROM mm) WHERE lod = 1), (SELECT x0, x1, y0, y1 FROM mm) WHERE tile_x BETWEEN {_AT.format(v='0.0', c='x')} AND {_AT.format(v='0.1', c='x')} AND tile_y BETWEEN {_AT.format(v='-0.05', c='y')} AND {_AT.format(v='0.05', c='y')} GROUP BY 1, 2"), plain=True)
 def tile_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Write the map and read back the tiles of level 0 that a viewport touches."""
+    """Write the map and read back the tiles of level 1 that a viewport touches."""
     points = _points(spark, d)
     meta = spatial.map_meta(points)
     folder = f"{_shared(spark)}/map-{uuid.uuid4().hex}"
     spatial.write_tiles(spatial.lod_tiles(points, spatial.lod_sample(points, meta), meta), folder)
-    found = spatial.viewport_tiles(spark, folder, meta, 0, 0.0, -0.05, 0.1, 0.05)
-    return found.select("tile_x", "tile_y", F.size("points").cast("long").alias("n"), F.get("points", F.lit(0))["id"].alias("first_id"))
+    found = spatial.viewport_tiles(spark, folder, meta, 1, 0.0, -0.05, 0.1, 0.05)
+    return found.groupBy("tile_x", "tile_y").agg(F.sum(F.size("points").cast("long")).alias("n"), F.min(F.get("points", F.lit(0))["id"]).alias("first_id"))
 
 
 @register("SELECT id, score FROM pts WHERE x BETWEEN 0.0 AND 0.1 AND y BETWEEN -0.05 AND 0.05")
@@ -530,11 +554,6 @@ def terrain_paths(spark: SparkSession, d: str) -> DataFrame:
     return spatial.terrain_paths(spatial.terrain_cells(points, meta), meta)
 
 
-@register()
-def label_pick(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.pick_labels(_points(spark, d), [0, 1, 2, 3], tile=0.25)
-
-
 # --- vector jobs ------------------------------------------------------------------------------------------------------------------
 
 

@@ -110,15 +110,18 @@ def test_lod_levels_nest_and_keep_the_best(spark):
         assert best.join(sample.where(F.col("lod") == lod), "id", "left_anti").count() == 0
     tiles = spatial.lod_tiles(points, sample, meta)
     assert tiles.where("lod = 2").agg(F.sum(F.size("points"))).first()[0] == n
+    # a dense tile comes in chunks of a bounded size, which hold the same points
+    cut = spatial.lod_tiles(points, sample, meta, most=50)
+    assert cut.agg(F.max(F.size("points"))).first()[0] < 120 and cut.where("chunk > 0").count() > 0
+    ids = lambda df: sorted(map(tuple, df.select("lod", "tile_x", "tile_y", F.explode("points.id")).collect()))
+    assert ids(cut) == ids(tiles)
 
 
-def test_terrain_outline_and_labels(spark):
+def test_terrain_outline():
     mask = np.zeros((5, 6), bool)
     mask[1:4, 1:5] = True
     path = spatial._outline(mask, spatial._shapes(mask)[0])
     assert set(path) == {(y, x) for y in range(1, 4) for x in range(1, 5) if y in (1, 3) or x in (1, 4)}
-    points = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 0.01, 0.0, 9.0), (3, 0.5, 0.0, 1.0)], "id long, x double, y double, score double")
-    assert {r["id"] for r in spatial.pick_labels(points, [0], 1.0).collect()} == {2, 3}
 
 
 def test_parse_page():
