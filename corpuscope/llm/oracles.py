@@ -80,14 +80,18 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_remo
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)"""
 
 
-def embedding_dedup(least: float = 0.98) -> str:
+#: Every vector thrice: itself, turned a little towards the next and made longer, and the same again; a chain of two links.
+COPIES = "SELECT e.vec_id * 3 + k AS vec_id, e.label, list_transform(list_zip(e.embedding, w.embedding), lambda z: (z[1]::DOUBLE + k * 0.15 * z[2]::DOUBLE) * (k + 1)) AS embedding FROM embeddings e JOIN embeddings w ON w.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings), (SELECT unnest([0, 1, 2]) AS k)"
+
+
+def embedding_dedup(least: float = 0.98, rows: str = "SELECT * FROM embeddings") -> str:
     return f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+WITH RECURSIVE source AS ({rows}), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM source WHERE label IS NOT NULL AND embedding IS NOT NULL),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= {least}),
 reach AS (SELECT a AS id, b AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(first, vec_id)) AS component_id, vec_id <= coalesce(first, vec_id) AS kept
-FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1) c USING (vec_id) LEFT JOIN (SELECT id AS vec_id, min(other) AS first FROM reach GROUP BY 1) r USING (vec_id)"""
+FROM source LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1) c USING (vec_id) LEFT JOIN (SELECT id AS vec_id, min(other) AS first FROM reach GROUP BY 1) r USING (vec_id)"""
 
 
 def line_dedup(min_chars: int = 10) -> str:

@@ -49,6 +49,15 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all vectors and two turned and longer copies of each: a chain of two links per vector."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    after = e.select(F.pmod(F.col("vec_id") - 1, F.lit(e.count())).alias("vec_id"), F.col("embedding").alias("w"))
+    turned = F.zip_with("embedding", "w", lambda x, y: (x.cast("double") + F.col("k") * F.lit(0.15) * y.cast("double")) * (F.col("k") + 1))
+    copies = e.join(after, "vec_id").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    return embedding_duplicates(copies.select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), "label", turned.alias("embedding")), least=0.98)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -91,7 +100,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_substring_dedup, op4_embedding_dedup, op5_line_dedup, op6_packing, op7_language_id, op8_quality_classifier, op9_toxicity, op10_sentencepiece, op11_vector_codes, op12_phrases, op13_fingerprints)}
-    return named | {"pipeline": corpus_pipeline.run}
+    return named | {"embedding_copies": embedding_copies, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,6 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_join": oracles.ngram_join(),
         "op3_substring_dedup": oracles.substring_dedup(),
         "op4_embedding_dedup": oracles.embedding_dedup(),
+        "embedding_copies": oracles.embedding_dedup(rows=oracles.COPIES),
         "op5_line_dedup": oracles.line_dedup(),
         "op11_vector_codes": oracles.vector_codes(),
         "op12_phrases": oracles.phrases(),
