@@ -14,7 +14,7 @@ _VOTES = {
     "v2": f"CASE WHEN {_ENOUGH} n_letters = 0 THEN 0 WHEN n_upper / n_letters >= 0.45 THEN -1 WHEN n_upper / n_letters <= 0.2 THEN 1 ELSE 0 END",
     "v3": f"CASE WHEN {_ENOUGH} n_repeat_words / n_words >= 0.45 THEN -1 WHEN n_repeat_words / n_words <= 0.1 THEN 1 ELSE 0 END",
     "v4": f"CASE WHEN {_ENOUGH} (word_chars / n_words < 2 OR word_chars / n_words > 15) THEN -1 WHEN word_chars / n_words BETWEEN 3 AND 10 THEN 1 ELSE 0 END",
-    "v5": f"CASE WHEN {_ENOUGH} n_words <= 2000 AND n_distinct / n_words < 0.12 THEN -1 WHEN n_distinct / n_words >= 0.3 THEN 1 ELSE 0 END",
+    "v5": f"CASE WHEN {_ENOUGH} ln(n_distinct) / ln(n_words) < 0.6 THEN -1 WHEN ln(n_distinct) / ln(n_words) >= 0.75 THEN 1 ELSE 0 END",
     "v6": "CASE WHEN n_lines < 4 THEN 0 WHEN n_dup_lines / n_lines >= 0.5 THEN -1 WHEN n_dup_lines / n_lines <= 0.2 THEN 1 ELSE 0 END",
     "v7": f"CASE WHEN {_ENOUGH} n_letters / word_chars <= 0.75 THEN -1 WHEN n_letters / word_chars >= 0.85 THEN 1 ELSE 0 END",
     "v8": f"CASE WHEN {_ENOUGH} n_marks / n_words >= 0.1 THEN -1 WHEN n_marks / n_words < 0.03 THEN 1 ELSE 0 END",

@@ -103,14 +103,16 @@ def default_rules() -> list[Rule]:
     enough = F.col("n_words") >= FEW_WORDS
     vote = lambda bad, good: F.when(enough & bad, -1).when(enough & good, 1).otherwise(0)
     symbols, upper, repeats, marks = per("n_symbols", "n_words"), per("n_upper", "n_letters"), per("n_repeat_words", "n_words"), per("n_marks", "n_words")
-    mean, distinct, dups, letters = per("word_chars", "n_words"), per("n_distinct", "n_words"), per("n_dup_lines", "n_lines"), per("n_letters", "word_chars")
+    mean, dups, letters = per("word_chars", "n_words"), per("n_dup_lines", "n_lines"), per("n_letters", "word_chars")
+    # distinct words grow with a power of all words: the power says the same of short and of long texts
+    variety = F.try_divide(F.ln(F.col("n_distinct").cast("double")), F.ln(F.col("n_words").cast("double")))
     return [
         Rule("length", F.when(F.col("n_words") < 10, -1).when(F.col("n_words") >= 30, 1).otherwise(0)),
         Rule("symbols", vote(symbols >= 0.1, symbols < 0.02)),
         Rule("capitals", vote(upper >= 0.45, upper <= 0.2)),
         Rule("repeats", vote(repeats >= 0.45, repeats <= 0.1)),
         Rule("word_length", vote((mean < 2) | (mean > 15), mean.between(3, 10))),
-        Rule("variety", vote((F.col("n_words") <= 2000) & (distinct < 0.12), distinct >= 0.3)),
+        Rule("variety", vote(variety < 0.6, variety >= 0.75)),
         Rule("line_repeats", F.when(F.col("n_lines") < 4, 0).when(dups >= 0.5, -1).when(dups <= 0.2, 1).otherwise(0)),
         Rule("letters", vote(letters <= 0.75, letters >= 0.85)),
         Rule("marks", vote(marks >= 0.1, marks < 0.03)),
