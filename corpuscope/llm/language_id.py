@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from corpuscope.llm.common import bounded_sample, fold, slices, written
 
-#: Bounds of the fit: labelled documents, and words and n-grams of each length that the model keeps (the most frequent).
-FIT_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 60_000, 30_000, 5
+#: Labelled documents that the fit reads, which bound the model, and the length of the longest n-grams.
+FIT_DOCS, LONGEST = 4_000, 5
 REMEMBERED = 300_000
 
 
@@ -127,7 +127,7 @@ class LanguageModel:
 
 
 def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Fit on whole texts of about ``fit_docs`` labelled documents at most, none of the held-out fold."""
+    """Fit on whole texts of about ``fit_docs`` labelled documents at most, none of the held-out fold; every word and n-gram in them is kept."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     sample = bounded_sample(known.select("doc_id", "lang", "text"), "doc_id", fit_docs, "language")
     counts = written(sample.select("lang", "text").mapInArrow(_count, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), "language-counts")
@@ -135,12 +135,9 @@ def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageMod
     languages = sorted({lang for lang, _ in total})
     tables: list[dict[str, np.ndarray]] = []
     for kind in range(LONGEST + 1):
-        most = MOST_GRAMS if kind else MOST_WORDS
-        mine = counts.where(F.col("kind") == kind)
-        common = mine.groupBy("token").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "token").limit(most).select("token")
         vectors: dict[str, np.ndarray] = {}
         index = {lang: i for i, lang in enumerate(languages)}
-        for r in mine.join(F.broadcast(common), "token").select("token", "lang", "n").toArrow().to_pylist():  # at most ``most`` tokens
+        for r in counts.where(F.col("kind") == kind).select("token", "lang", "n").toArrow().to_pylist():  # of the sample
             vectors.setdefault(r["token"], np.zeros(len(languages)))[index[r["lang"]]] = r["n"]
         if vectors:
             size = np.array([total.get((lang, kind), (0, 1))[0] for lang in languages])
