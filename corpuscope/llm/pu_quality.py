@@ -161,7 +161,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIV
             for batch in slices(batches):
                 yield pa.record_batch([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
 
-        rows = df.select("text").mapInArrow(run, "x array<double>").limit(2 * most).toArrow()["x"]  # bounded, should one id have very many rows
+        # bounded, should one id have very many rows: the first by a hash of what was measured
+        rows = df.select("text").mapInArrow(run, "x array<double>").orderBy(F.xxhash64("x"), "x").limit(2 * most).toArrow()["x"]
         x = rows.combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
         return x[np.lexsort(x.T)]  # the same order whatever the partitioning
 
