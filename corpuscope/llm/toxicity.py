@@ -4,8 +4,9 @@ Words are mapped to classes: insult, threat, target, predicate, intent, negation
 read the classes of a clause. The insult transducer marks what is read as name-calling, the target transducer lifts it when
 a person is meant or a predicate says it of somebody, the threat transducer accepts an intended or commanded deed and its
 target, the negation and reported-speech transducers take most of either back. Composed, they are one deterministic table of
-states by classes. A clause pays what its best match pays, and a text the sum of its BEST_CLAUSES best clauses: an insult word
-that aims at nobody pays little, and a longer text doesn't pay more for being long.
+states by classes. A clause ends at punctuation, or where all machines rest, so that no match is cut. It pays what its best match
+pays, and a text the sum of its BEST_CLAUSES best clauses: an insult word that aims at nobody pays little, and a longer text
+doesn't pay more for being long.
 
 Which words insult, and how much, is learned from labelled documents outside the held-out fold: whole words and word
 beginnings (which stand for their inflected forms) that tell toxic documents from others beyond chance.
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from corpuscope.llm.common import bounded_sample, fold, slices, written
 
-#: Bounds of the fit: labelled documents, and features kept; evidence that a feature needs (log-likelihood ratio) and its log odds.
-FIT_DOCS, MOST_FEATURES, LEAST_EVIDENCE, LEAST_ODDS = 30_000, 20_000, 16.0, 3.5
+#: Labelled documents that the fit reads; evidence that a feature needs (log-likelihood ratio) and its log odds.
+FIT_DOCS, LEAST_EVIDENCE, LEAST_ODDS = 30_000, 16.0, 3.5
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 500_000
@@ -45,22 +46,24 @@ CLASSES = {
 THREAT_STEMS = "kill murder strangle stab shoot shot beat hurt destroy töte umbring erwürg erschieß verprügel tuer tuera étrangl frapp détrui matar mata golpea destru estrangul".split()
 #: What a match pays: an insult that is aimed pays its weight, one that is not this share of it; a threat pays so much; either loses by negation or report.
 BARE, THREAT_PAYS, NEGATED, REPORTED = 0.35, 6.0, 0.2, 0.4
-#: Words that a clause without punctuation may have, and clauses that a text is scored by.
-CLAUSE_WORDS, BEST_CLAUSES = 20, 3
+#: Clauses that a text is scored by.
+BEST_CLAUSES = 3
 
 
 @dataclass(frozen=True)
 class Transducer:
     """``step(state, class) -> (state, (factor, lift, extra))``: what a match at this word is multiplied by, whether it lifts
-    the insult read now or last, and what it pays by itself. A clause end leads back to ``start``."""
+    the insult read now or last, and what it pays by itself. A clause end leads back to ``start``; at ``rest`` nothing that was
+    read matters any more."""
 
     start: Hashable
+    rest: Hashable
     step: Callable[[Hashable, int], tuple[Hashable, tuple[float, bool, float]]]
 
 
 def insults() -> Transducer:
     """Accepts a name that is called; without it no insult pays at all."""
-    return Transducer(0, lambda state, cls: (0, (1.0, False, 0.0)))
+    return Transducer(0, 0, lambda state, cls: (0, (1.0, False, 0.0)))
 
 
 def targets(reach: int = 4, after: int = 2) -> Transducer:
@@ -76,7 +79,7 @@ def targets(reach: int = 4, after: int = 2) -> Transducer:
             return (max(0, aimed - 1), after), (1.0, aimed > 0, 0.0)
         return (max(0, aimed - 1), max(0, insulted - 1)), (1.0, False, 0.0)
 
-    return Transducer((0, 0), step)
+    return Transducer((0, 0), (0, 0), step)
 
 
 def threats(reach: int = 4, after: int = 2) -> Transducer:
@@ -95,12 +98,12 @@ def threats(reach: int = 4, after: int = 2) -> Transducer:
             return (False, meant, intended, gone[3]), (1.0, False, 0.0)
         return gone, (1.0, False, 0.0)
 
-    return Transducer((True, 0, 0, 0), step)
+    return Transducer((True, 0, 0, 0), (False, 0, 0, 0), step)
 
 
 def takes_back(trigger: int, reach: int, factor: float) -> Transducer:
     """Scales what matches within ``reach`` words behind ``trigger``."""
-    return Transducer(0, lambda state, cls: (reach if cls == trigger else max(0, state - 1), (factor if state else 1.0, False, 0.0)))
+    return Transducer(0, 0, lambda state, cls: (reach if cls == trigger else max(0, state - 1), (factor if state else 1.0, False, 0.0)))
 
 
 MACHINES: dict[str, Callable[[], Transducer]] = {
@@ -112,8 +115,8 @@ MACHINES: dict[str, Callable[[], Transducer]] = {
 }
 
 
-def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[list[tuple[float, bool, float]]]]:
-    """One table for all, over the states that can be reached: next state and output by state and class; factors multiply, lifts join, extras add."""
+def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[list[tuple[float, bool, float]]], int]:
+    """One table for all, over the states that can be reached: next state and output by state and class, and the state in which all rest; factors multiply, lifts join, extras add."""
     start = tuple(m.start for m in machines)
     number, after, output = {start: 0}, [], []
     for state in (queue := [start]):
@@ -129,7 +132,7 @@ def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[list[tupl
                 queue.append(to)
             after[-1][cls] = number[to]
             output[-1][cls] = (math.prod(o[0] for _, o in steps), any(o[1] for _, o in steps), sum(o[2] for _, o in steps))
-    return after, output
+    return after, output, number[tuple(m.rest for m in machines)]
 
 
 def plain(word: str) -> str:
@@ -152,7 +155,7 @@ class ToxicityModel:
     known: dict[str, tuple[int, float, bool]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.after, self.output = compose([MACHINES[m]() for m in self.machines])
+        self.after, self.output, self.rest = compose([MACHINES[m]() for m in self.machines])
         self.classes = {w: c for c, words in CLASSES.items() for w in words}
 
     def __reduce__(self):
@@ -168,30 +171,35 @@ class ToxicityModel:
             return INSULT, weight, ends
         return (THREAT if any(word.startswith(x) and len(word) <= len(x) + 4 for x in THREAT_STEMS) else OTHER), 0.0, ends
 
-    def clauses(self, text: str | None) -> Iterator[list[tuple[int, float]]]:
-        """Classes and weights of each clause that holds an insult or threat word."""
-        known = self.known
+    def clauses(self, text: str | None) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """First state, and the classes and weights, of each clause that holds an insult or threat word.
+
+        A clause ends at a mark, at the end of its line, or where all machines rest: what follows can't change what was read.
+        """
+        known, after, rest = self.known, self.after, self.rest
         if len(known) > REMEMBERED:
             known.clear()
         for line in (text or "").split("\n"):
             clause: list[tuple[int, float]] = []
-            worth = False
+            worth, first, state = False, 0, 0
             for w in line.split():
                 if (seen := known.get(w)) is None:
                     seen = known[w] = self.look(w)
                 cls, weight, ends = seen
+                state = after[state][cls]
                 clause.append((cls, weight))
                 worth = worth or cls == INSULT or cls == THREAT
-                if ends or len(clause) == CLAUSE_WORDS:
+                if ends or state == rest:
                     if worth:
-                        yield clause
-                    clause, worth = [], False
+                        yield first, clause
+                    clause, worth, state = [], False, 0 if ends else rest
+                    first = state
             if worth:
-                yield clause
+                yield first, clause
 
-    def pays(self, clause: list[tuple[int, float]]) -> float:
-        """What the best match of a clause pays."""
-        state, held, best = 0, 0.0, 0.0
+    def pays(self, clause: list[tuple[int, float]], state: int = 0) -> float:
+        """What the best match of a clause pays, read from ``state``."""
+        held, best = 0.0, 0.0
         for cls, weight in clause:
             factor, lift, extra = self.output[state][cls]
             if cls == INSULT:
@@ -205,7 +213,7 @@ class ToxicityModel:
 
     def weigh(self, text: str | None) -> float:
         """What the best clauses of a text pay together."""
-        return sum(sorted((self.pays(c) for c in self.clauses(text)), reverse=True)[:BEST_CLAUSES])
+        return sum(sorted((self.pays(c, first) for first, c in self.clauses(text)), reverse=True)[:BEST_CLAUSES])
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.steep * (self.weigh(text) - self.middle)))))
@@ -237,8 +245,8 @@ def _middle(toxic: np.ndarray, clean: np.ndarray, start: float) -> float:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> ToxicityModel:
     """Fit on whole texts of about ``fit_docs`` labelled documents at most, none of the held-out fold.
 
-    A document with several labels is toxic if any of them says so. Features are kept by evidence; MOST_FEATURES bounds the
-    model as FIT_DOCS bounds the rows that it is learned from.
+    A document with several labels is toxic if any of them says so. All features with enough evidence are kept: the rows that
+    they are learned from bound the model.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     chosen = bounded_sample(known, "doc_id", fit_docs, "toxicity")
@@ -251,7 +259,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
     part = lambda k, n: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
     evidence = 2 * (part(F.col("a"), float(max(1, t))) + part(F.col("b"), float(max(1, c))))
     told = counts.where(F.col("a") > 1).withColumns({"odds": odds, "evidence": evidence}).where((F.col("odds") >= LEAST_ODDS) & (F.col("evidence") >= LEAST_EVIDENCE))
-    weights = {r["feature"]: min(6.0, r["odds"]) for r in told.orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect()}
+    weights = {r["feature"]: min(6.0, r["odds"]) for r in told.collect()}  # of the sample
     model = ToxicityModel(weights)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

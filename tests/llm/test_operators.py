@@ -628,8 +628,11 @@ def test_toxicity_grammar():
     assert {model.weigh(t) for t in threats} == {toxicity.THREAT_PAYS}
     assert {model.weigh(t) for t in ("he killed them in the play", "the shooting of the film", "killing time")} == {0}
     assert model.weigh("I will not kill you") < 2 and model.weigh("he said he will kill you") < 3
-    # best clauses, not a sum over length; an endless clause is cut
-    assert model.weigh("a lump. " * 1000) == toxicity.BEST_CLAUSES * bare and model.weigh("lump " * 5000) == toxicity.BEST_CLAUSES * bare
+    # best clauses, not a sum over length; a line without marks ends its clauses where all machines rest, and nowhere else
+    assert model.weigh("a lump. " * 1000) == toxicity.BEST_CLAUSES * bare == model.weigh("some lump lies on the road " * 5000) and model.weigh("lump " * 5000) == bare
+    for k in range(60):
+        assert model.weigh("word " * k + "you are a lump") == 4 and model.weigh("word " * k + "you are not a lump") == negated
+    assert model.weigh("later in the evening kill them all") == 0  # no command: not the first word of its clause
 
 
 def test_toxicity_composition_against_machines_run_one_by_one():
