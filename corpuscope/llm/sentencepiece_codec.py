@@ -25,7 +25,6 @@ from corpuscope.llm.common import slices
 SPACE = "▁"
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
-DIFFER = "words encoded one by one differ from the whole text"
 _CODECS: dict[str, Codec] = {}
 
 
@@ -176,23 +175,23 @@ class Codec:
         """Of each text the ids as in :meth:`encode`, and as little-endian uint32 where its pieces begin, then its length in bytes.
 
         Every text's pieces must spell it. Words are held against the library's encoding of a whole text when they are first
-        met (see :meth:`encode`).
+        met (see :meth:`encode`); a text that its words' pieces don't spell is encoded whole.
         """
         out = []
         for text, ids in zip(texts, self.encode(texts), strict=True):
             inner = np.frombuffer(ids, "<u4")[1:-1]
             try:
                 out.append((ids, self.align(text, inner).tobytes()))
-            except ValueError as error:
-                if np.array_equal(inner, self.sp.encode(text)):
-                    raise
-                raise ValueError(DIFFER) from error
+            except ValueError:
+                whole = np.asarray(self.sp.encode(text), "<u4")
+                out.append((self.ends[0] + whole.tobytes() + self.ends[1], self.align(text, whole).tobytes()))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text between the begin and end ids.
 
-        Each new word is encoded once by itself and once among the others in one text, with the same pieces.
+        Each new word is encoded once by itself and once among the others in one text. Should their pieces differ, the texts that
+        hold any of these words are encoded whole.
         """
         split = [t.split(" ") if self.by_word and SPACE not in t else [] for t in texts]
         unseen = list({w for words in split for w in words if w not in self.known})
@@ -202,9 +201,8 @@ class Codec:
         self.known[""] = None  # next to another space, or at an end: spaces may join
         unseen = [w for w in unseen if w]
         alone = self.sp.encode(unseen, num_threads=1)
-        if self.sp.encode(" ".join(unseen)) != [i for word in alone for i in word]:
-            raise ValueError(DIFFER)
-        self.known.update(zip(unseen, (np.asarray(i, "<u4").tobytes() for i in alone), strict=True))
+        alike = self.sp.encode(" ".join(unseen)) == [i for word in alone for i in word]
+        self.known.update(zip(unseen, (np.asarray(i, "<u4").tobytes() if alike else None for i in alone), strict=True))
         out = []
         for text, words in zip(texts, split, strict=True):
             parts = [self.known[w] for w in words]
@@ -244,7 +242,8 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id``, ``ids`` (binary, little-endian uint32, begin and end ids included), ``offsets`` and ``decoded``, the library's decoding of the ids.
 
     offsets (binary, little-endian uint32): the byte of the text where each piece begins, then the text's length.
-    A null text is an empty one. Repeated rows and null ids are encoded like any other; other columns are not carried.
+    A null text is an empty one. Repeated rows and null ids are encoded like any other, very long texts whole in their task; an
+    empty table gives an empty one; other columns are not carried.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
