@@ -155,7 +155,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     The prediction sees the text alone. ``und`` with score 0 if the text is null or has no letter, or nothing was learned; equal
     scores go to the language that sorts first. Repeated rows and null ids are scored like any other (held_out is null for
-    the latter). Other columns are not carried.
+    the latter); very long texts are read whole and are no surer than 50 words would make them; an
+    empty table gives an empty one. Other columns are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

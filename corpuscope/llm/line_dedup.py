@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     in the smallest doc_id that holds the key. Null and empty texts are one empty line; the result's text is never null.
     A row whose doc_id is null neither counts as a document nor loses a line. Rows that share a doc_id are one document
     for counting; each is rebuilt from its own text. Columns named n_lines or n_dropped are replaced; other columns pass
-    through. Ties cannot arise: the smallest doc_id is unique.
+    through. Ties cannot arise: the smallest doc_id is unique. An empty table gives an empty table; a very long text is split whole in its task.
     """
     spark = docs.sparkSession
     keys = written(

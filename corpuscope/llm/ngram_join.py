@@ -357,7 +357,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     one shingle; a null, empty or blank text has none and links with nothing. Of rows that share a doc_id but not a text,
     the one with the smallest text hash stands for the document; all get its component_id and each its own n_shingles. A
     row whose doc_id is null links with nothing and has a null component_id. An empty table gives an empty table. Other
-    columns of ``docs`` don't matter. Sets are held as 64-bit shingle hashes.
+    columns of ``docs`` don't matter. Sets are held as 64-bit shingle hashes; a very long text is one set like any other, made of
+    its whole text, and must fit in a task's memory at 8 bytes a word.
     """
     spark: SparkSession = docs.sparkSession
     n_bytes = input_bytes(docs)

@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
     The score sees the text alone. A null text is an empty one; both get the score of a text without words. Without a model
     (nothing was labelled good) every score is EVEN. Long texts are measured whole, in batches bounded in bytes. Repeated rows and null ids are scored like any other (held_out is null
-    for the latter). Other columns are not carried.
+    for the latter); an empty table gives an empty one. Other columns are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -3,11 +3,12 @@
 A window is 50 consecutive words. There are about as many windows as words, and nearly all of them occur once, so they
 are not grouped outright. A count-min sketch goes first:
 
-1. Every task counts its windows in two rows of cells (saturating at 2) and ships its cells, sorted and packed, by block
-   of cells. Partial sketches of a block meet in one task, which merges them. The sketch is as wide as the input is long
-   and nowhere held whole: a block has a fixed number of cells, and more input means more blocks.
-2. Each block answers to the chunk of documents a cell came from, with the cells counted twice or more. An estimate is
-   never too low, so no repeated window is lost.
+1. Every task counts its windows in two rows of cells (saturating at 2) and ships its cells, sorted and packed with the
+   chunks of documents that they came from, by block of cells. Partial sketches of a block meet in one task, which merges
+   them. The sketch is as wide as the input is long and nowhere held whole: a block has a fixed number of cells, and more
+   input means more blocks.
+2. Each block answers to the chunks that a cell came from, with the cells counted twice or more. An estimate is never too
+   low, so no repeated window is lost.
 3. Each chunk looks its windows up and passes on only those estimated repeated; these are grouped exactly, by 96-bit hash.
 
 Exact copies of a whole text are settled by their digest before that: they need no windows.
@@ -28,7 +29,7 @@ from corpuscope.llm.common import hint_small, input_bytes, join_skewed, slices,
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
 #: Cells of one block of one row of the sketch (2^23), windows a task counts before it ships them, and input bytes of a chunk.
-BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 1_500_000, 20_000_000
+BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 4_000_000, 20_000_000
 #: Cells of a row for each window, at least; with two rows, about one unrepeated window in thirty is passed on.
 CELLS_PER_WINDOW = 4
 
@@ -53,13 +54,23 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(keys[0]))
 
 
-def _by_chunk(cell: np.ndarray, chunk: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by chunk, then cell; as one packed key where both fit."""
-    if bits + int(chunk.max(initial=0)).bit_length() <= 64:
-        key = (chunk.astype(np.uint64) << np.uint64(bits)) | cell
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # equal bytes side by side
+
+
+def _unpack_numbers(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _by_cell(cell: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by cell, then chunk; as one packed key where both fit."""
+    wide = np.uint64(int(chunk.max(initial=0)).bit_length())
+    if int(cell.max(initial=0)).bit_length() + int(wide) <= 64:
+        key = (cell << wide) | chunk.astype(np.uint64)
         key.sort()
-        return key & np.uint64((1 << bits) - 1), (key >> np.uint64(bits)).astype(np.int64)
-    order = np.lexsort((cell, chunk))
+        return key >> wide, (key & np.uint64((1 << int(wide)) - 1)).astype(np.int64)
+    order = np.lexsort((chunk, cell))
     return cell[order], chunk[order]
 
 
@@ -71,23 +82,27 @@ def _first_of_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _pieces(h: np.ndarray, chunk: np.ndarray, bits: int) -> pa.RecordBatch:
+    """What is shipped of some windows and their chunks: one piece per row and block."""
+    out: list[list] = [[], [], [], []]
+    for row in (0, 1):
+        c, k = _by_cell(_cell(h, bits, row), chunk)
+        third = np.ones(len(c), bool)  # counts saturate at 2: a third equal cell of a chunk adds nothing
+        third[2:] = (c[2:] != c[:-2]) | (k[2:] != k[:-2])
+        c, k = c[third], k[third]
+        block, offset = c >> np.uint64(BLOCK_BITS), (c & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
+        edges = _runs(block)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[0].append(row)
+            out[1].append(int(block[a]))
+            out[2].append(_pack_numbers(np.diff(offset[a:b], prepend=np.uint32(0))))
+            out[3].append(_pack_numbers(k[a:b]))
+    return pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["row", "block", "cells", "chunks"])
+
+
 def _sketch(window: int, bits: int):
     def flush(hashes: list[np.ndarray], chunks: list[np.ndarray]) -> pa.RecordBatch:
-        h, chunk = np.concatenate(hashes), np.concatenate(chunks)
-        out: list[list] = [[], [], [], []]
-        for row in (0, 1):
-            c, k = _by_chunk(_cell(h, bits, row), chunk, bits)
-            third = np.ones(len(c), bool)  # counts saturate at 2: a third equal cell of a chunk adds nothing
-            third[2:] = (c[2:] != c[:-2]) | (k[2:] != k[:-2])
-            c, k = c[third], k[third]
-            block, offset = c >> np.uint64(BLOCK_BITS), (c & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
-            edges = _runs(k, block)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                out[0].append(row)
-                out[1].append(int(block[a]))
-                out[2].append(int(k[a]))
-                out[3].append(_pack(offset[a:b]))
-        return pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row", "block", "chunk", "packed"])
+        return _pieces(np.concatenate(hashes), np.concatenate(chunks), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, chunks, held = [], [], 0
@@ -109,9 +124,8 @@ def _sketch(window: int, bits: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     """Of one block: for each chunk, its cells that all chunks together count twice or more."""
-    parts = [_unpack(p) for p in table["packed"].to_pylist()]
-    offset = np.concatenate(parts)
-    chunk = np.repeat(table["chunk"].to_numpy(), [len(p) for p in parts])
+    offset = np.concatenate([np.cumsum(_unpack_numbers(p), dtype=np.uint32) for p in table["cells"].to_pylist()])
+    chunk = np.concatenate([_unpack_numbers(p) for p in table["chunks"].to_pylist()]).astype(np.int64)
     order = np.argsort(offset, kind="stable")
     sizes = np.diff(_runs(offset[order]))
     repeated = np.zeros(len(offset), bool)
@@ -175,7 +189,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     Windows are judged on the input, not on what is left. Words are runs of characters other than ASCII white space. A text
     that loses words becomes its kept words joined by one space; others stay as they are, null included. A row whose doc_id
     is null loses nothing and takes nothing from others. Rows that share a doc_id are one document: they don't cut each
-    other. An empty table gives an empty table. Columns named n_words or n_removed are replaced; others pass through.
+    other. An empty table gives an empty table. A very long text is
+    hashed whole in its task, at about 30 bytes a word. Columns named n_words or n_removed are replaced; others pass through.
     """
     spark = docs.sparkSession
     n_bytes = input_bytes(docs)
@@ -188,7 +203,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     copies = written(join_skewed(digests, written(alike, "alike"), ["digest"]).where("doc > keep").select("doc", "row").distinct(), "copies")
     firsts = keyed.join(hint_small(copies), ["doc", "row"], "left_anti").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit("chunk")), F.lit(n_chunks)))
 
-    partial = firsts.select("chunk", "text").mapInArrow(_sketch(window, bits), "row int, block long, chunk long, packed binary")
+    partial = firsts.select("chunk", "text").mapInArrow(_sketch(window, bits), "row int, block long, cells binary, chunks binary")
     answers = written(partial.groupBy("row", "block").applyInArrow(_merge, "chunk long, row int, block long, packed binary"), "cells")
     suspects = written(firsts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_lookup(window, bits), "h1 long, h2 int, doc long, row long, place int"), "windows")
 

@@ -277,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     The score sees the text alone. A null or empty text matches no clause and gets the lowest score. Long texts are read
     whole, in batches bounded in bytes, and score by their best clauses like short ones. Repeated rows and null
-    ids are scored like any other (held_out is null for the latter). Other columns are not carried.
+    ids are scored like any other (held_out is null for the latter); an empty table gives an empty one. Other columns are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
