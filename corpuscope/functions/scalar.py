@@ -176,5 +176,10 @@ def snippet_of(description: Column, snippet: Column) -> Column:
     return F.trim(F.coalesce(F.nullif(description, F.lit("")), snippet))
 
 
+def hundredths(threshold: Column) -> Column:
+    """A threshold in hundredths, rounded up, as queries ask for it."""
+    return F.ceil(threshold * 100).cast("int")
+
+
 def title_bytes(title: Column) -> Column:
     return F.coalesce(F.octet_length(title), F.lit(0)).cast("int")

@@ -11,6 +11,8 @@ from corpuscope.functions import encoders, msgpack, scalar, sentiment, vectors
 from corpuscope.operators import clusters, labels, layout, lexical, results, spatial, versioned
 from corpuscope.operators import neighbour_index as neighbours
 from corpuscope.operators.stages import shared_folder
+from corpuscope.plans.query import Clip, ItemsOutput, QueryInput, scored
+from corpuscope.queries import _sql as sql
 from corpuscope.queries import register
 from corpuscope.sources import tables as t
 from corpuscope.streaming import ids, ingest, waiting
@@ -40,14 +42,14 @@ def dependency_wait(spark: SparkSession, d: str) -> DataFrame:
     tasks = t.read_table(spark, d, "events", ["event_id", "user_id", "ts"]).select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % (2 * n)).alias("page_id"))
     start = F.lit("2024-01-01").cast("timestamp")
     done = pages.select("page_id", F.timestamp_seconds(F.unix_seconds(start) + F.col("page_id") * 37 % 960 * 3600).alias("ts"), "url")
-    folder = shared_folder(spark, "waiting")
+    folder, own = shared_folder(spark, "waiting"), waiting.session_for_state(spark)
     for part, files in enumerate((2, 2)):
         for name, rows in (("tasks", tasks), ("pages", done)):
             half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
             waiting.deal_out(rows.where(half if part == 0 else ~half), f"{folder}/{name}", files, disorder="12 hours", first=10 * part)
             if part:
                 _closing(rows, page_id=-1 if name == "tasks" else -2).write.parquet(f"{folder}/{name}/in=99999")
-        joined = waiting.wait_for(_arrivals(spark, f"{folder}/tasks", tasks), _arrivals(spark, f"{folder}/pages", done), "page_id", limit="10 days", keep="30 days", late="1 day")
+        joined = waiting.wait_for(_arrivals(own, f"{folder}/tasks", tasks), _arrivals(own, f"{folder}/pages", done), "page_id", limit="10 days", keep="30 days", late="1 day")
         waiting.drain(joined, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(joined.schema).parquet(f"{folder}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "arrived")})
 
@@ -59,7 +61,7 @@ def settled_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = e.withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
     folder = shared_folder(spark, "settled")
     waiting.deal_out(rows, f"{folder}/in", 4, disorder="24 hours")
-    held = waiting.settled_stream(_arrivals(spark, f"{folder}/in", rows), "id", "version")
+    held = waiting.settled_stream(_arrivals(waiting.session_for_state(spark), f"{folder}/in", rows), "id", "version")
     waiting.drain(held, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -302,3 +304,40 @@ def placed_labels(spark: SparkSession, d: str) -> DataFrame:
     texts = t.read_table(spark, d, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "id")
     found = made.place(encoded(texts.withColumn("id", -1 - F.col("id"))))
     return found.select((-1 - F.col("vec_id")).alias("id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("SELECT vec_id AS id, label AS cluster, round(embedding[4]::DOUBLE, 6) AS x, round(embedding[5]::DOUBLE, 6) AS y FROM embeddings", plain=True)
+def cluster_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points of each cluster on the map."""
+    e = t.read_table(spark, d, "embeddings", ["vec_id", "label"]).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    return e.join(t.layout(spark, d), "id").select("id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register(sql('SELECT floor(ts_day / 7)::INTEGER AS "group", sum((sent_pos >= 0.34)::INTEGER)::BIGINT AS above, -sum((sent_neg >= 0.34)::INTEGER)::BIGINT AS below, ceil(max(sim) * 100)::INTEGER AS nearest FROM cs WHERE sim >= 0.1 GROUP BY 1'), plain=True)
+def sentiment_series(spark: SparkSession, d: str) -> DataFrame:
+    """Positive comments per week drawn up, negative ones drawn down, and the nearest one's similarity in hundredths."""
+    found = scored(t.dataset(spark, d, "comment"), QueryInput((ItemsOutput(("id",)),), (tuple(t.query_vector(spark, d)),), post_filter_clip={"sim": Clip(0.1, 2.0)}, thresholds={"sent_pos": 0.34, "sent_neg": 0.34}))
+    week = scalar.bucket(F.col("ts_day"), 7.0).alias("group")
+    return found.groupBy(week).agg(F.sum("sent_pos_thresh").alias("above"), (-F.sum("sent_neg_thresh")).alias("below"), scalar.hundredths(F.max("sim")).alias("nearest"))
+
+
+@register("SELECT o_orderkey AS id, false AS deleted, o_orderstatus = 'F' AS dead, round(o_totalprice / 100)::SMALLINT AS score, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_custkey END AS author, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '1970-01-01' ELSE o_orderdate::TIMESTAMP END AS ts, 0::BIGINT AS url, false AS emb_missing_page FROM orders", plain=True)
+def exported_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts written by their schema, what is null as the ingest rule has it, and read back."""
+    o = t.read_table(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.lit(None).cast("boolean").alias("deleted"), (F.col("o_orderstatus") == "F").alias("dead"), F.round(F.col("o_totalprice") / 100).alias("score"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("author"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("ts"), F.lit(None).cast("long").alias("url"), F.lit(False).alias("emb_missing_page"), "o_orderpriority")
+    folder = shared_folder(spark, "export")
+    t.export_table(rows, "posts", folder)
+    return t.load_table(spark, folder, "posts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_SPOT = "(s_suppkey * 37 % 101) / 10.0 * 60 AS x0, (s_suppkey * 37 % 101) / 10.0 * 60 + least(length(s_name), 255) * (13 * 0.6::DOUBLE) + 7 AS x1, (s_suppkey * 53 % 89) / 10.0 * 60 - 6.5 AS y0, (s_suppkey * 53 % 89) / 10.0 * 60 + 6.5 AS y1"
+
+
+@register(f"WITH RECURSIVE b AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn, {_SPOT} FROM supplier), g AS (SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, x0 DOUBLE, x1 DOUBLE, y0 DOUBLE, y1 DOUBLE)[] AS picked UNION ALL SELECT b.rn, CASE WHEN len(list_filter(picked, lambda p: p.x0 <= b.x1 AND b.x0 <= p.x1 AND p.y0 <= b.y1 AND b.y0 <= p.y1)) = 0 THEN list_append(picked, {{'id': b.id, 'x0': b.x0, 'x1': b.x1, 'y0': b.y0, 'y1': b.y1}}) ELSE picked END FROM g JOIN b ON b.rn = g.rn + 1) SELECT unnest(picked).id AS id FROM (SELECT picked FROM g ORDER BY rn DESC LIMIT 1)", plain=True)
+def supplier_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' names on a plane, the richest first, none over another."""
+    s, key = t.read_table(spark, d, "supplier"), F.col("s_suppkey")
+    points = s.select(key.alias("id"), (key * 37 % 101 / F.lit(10.0)).alias("x"), (key * 53 % 89 / F.lit(10.0)).alias("y"), F.col("s_acctbal").alias("score"), F.length("s_name").alias("letters"))
+    boxes = labels.with_boxes(points, 60.0, True)
+    return labels.greedy(boxes, boxes.limit(0))

@@ -177,7 +177,7 @@ def cluster_titles(members: DataFrame, posts: DataFrame, urls: DataFrame, titles
     ``members(id, cluster)``, ``posts(id, url_id)``, ``urls(id, url)`` without protocol, ``titles(id, text)``; members that lack any of these are left out.
     """
     from corpuscope.functions.scalar import key_hash, site_of
-    from corpuscope.operators.neighbour_index import first_of
+    from corpuscope.operators.stages import first_of
 
     linked = members.join(posts.select("id", "url_id"), "id").join(urls.select(F.col("id").alias("url_id"), site_of(F.col("url")).alias("site")), "url_id")
     named = linked.join(titles.select("id", "text"), "id").select("cluster", "id", F.concat("text", F.lit(" ("), "site", F.lit(")")).alias("title"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import html, scalar
-from corpuscope.operators.stages import cut_lineage, join_on_hot
+from corpuscope.operators.stages import cut_lineage, first_of, join_on_hot
 
 #: Fixed values of the text format: what parts join with, headings, separators, and the marks that the linked page replaces.
 BLANK_LINE = "\n\n"
@@ -84,13 +84,14 @@ def post_inputs(posts: DataFrame, replies: DataFrame, most_chars: int = MOST_CHA
     score, dead, deleted)`` are direct comments. Empty parts are left out. Replies that are dead, deleted or scored below 0 are
     passed over (a null score counts as 0), the others follow in order of their rank, blank ones too, each behind its separator.
 
-    A text ends at ``most_chars`` characters, so a reply that would start behind them can't be seen: a running sum of the
-    lengths finds these, and only the others are gathered, however many a post has.
+    A text ends at ``most_chars`` characters. Each reply brings a separator, so only a bounded number of a post's replies can be
+    seen, and of these a running sum of the lengths finds those that would start behind the end; only the others are gathered.
     """
     sound = lambda df: df.where(~F.coalesce("dead", F.lit(False)) & ~F.coalesce("deleted", F.lit(False)))
     said = sound(replies).where(F.coalesce("score", F.lit(0)) >= 0).select("post", "rank", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text"))
     earlier = Window.partitionBy("post").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1)
     between = len(COMMENTS_NEXT + BLANK_LINE)
+    said = first_of(said, "post", [F.asc("rank"), F.asc("text")], most_chars // between + 1)
     seen = said.withColumn("at", F.coalesce(F.sum(F.length("text") + between).over(earlier), F.lit(0))).where(F.col("at") < most_chars)
     parts = seen.groupBy("post").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("texts"))
     title, url, text = scalar.clean_title(html.unescape(F.coalesce("title", F.lit("")))), F.coalesce("url", F.lit("")), F.coalesce("text", F.lit(""))

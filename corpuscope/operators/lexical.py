@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators.neighbour_index import first_of
-from corpuscope.operators.stages import cut_lineage
+from corpuscope.operators.stages import cut_lineage, first_of
 
 #: Documents are told apart by total weight in so many classes before they are dealt to blocks.
 CLASSES = 64

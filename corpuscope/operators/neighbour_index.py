@@ -14,28 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators.stages import cut_lineage, join_on_hot
+from corpuscope.operators.stages import cut_lineage, first_of, join_on_hot
 
 #: Vectors of one code that meet at first, and the entry points of a search besides the codes.
 LEAF, ENTRIES = 32, 64
-#: Rows of a key are ranked in so many parts before they are ranked together, so that no task ranks those of a hot key alone.
-PARTS = 16
 #: Building ends when a round changes less than this share of all links.
 SETTLED = 0.002
 
 
-def first_of(rows: DataFrame, key: str | list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each key, ranked in parts and then the parts' best."""
-    keys = [key] if isinstance(key, str) else key
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))
-    for by in ([*keys, part], keys):
-        rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__place") <= n).drop("__place")
-    return rows
-
-
 def planes(tables: int, bits: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dims)).astype(np.float32)
 

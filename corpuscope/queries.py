@@ -619,7 +619,7 @@ def failure_counts(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("origin")).agg(F.count("*").alias("n"))
 
 
-@register()
+@register("WITH RECURSIVE e AS (SELECT user_id AS origin, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), f AS (SELECT origin, 0::BIGINT AS rn, 0 AS level FROM e GROUP BY 1 UNION ALL SELECT e.origin, e.rn, CASE event_type WHEN 'error' THEN least(8, level + 1) WHEN 'click' THEN greatest(0, level - 1) ELSE level END FROM f JOIN e ON e.origin = f.origin AND e.rn = f.rn + 1) SELECT origin, arg_max(level, rn)::INTEGER AS level, CASE WHEN arg_max(level, rn) > 0 THEN pow(2, arg_max(level, rn)) ELSE 0 END::DOUBLE AS blocked_s FROM f GROUP BY 1", plain=True)
 def failure_levels(spark: SparkSession, d: str) -> DataFrame:
     e = t.read_table(spark, d, "events", ["event_id", "user_id", "event_type"])
     outcome = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "click", "404").otherwise("ok")

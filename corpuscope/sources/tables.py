@@ -56,6 +56,34 @@ def without_nulls(df: DataFrame) -> DataFrame:
     return df.select(*[filled(f).alias(f.name) for f in df.schema])
 
 
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as the logical table ``name`` of SCHEMAS: its columns in order, cast, with the ingest rule for nulls; other columns go.
+
+    A column that is missing, or a value that its type can't hold, fails the job.
+    """
+    if missing := [f.name for f in SCHEMAS[name] if f.name not in df.columns]:
+        raise ValueError(f"{name} lacks {missing}")
+    return without_nulls(df.select(*[_held(df, f) for f in SCHEMAS[name]]))
+
+
+def _held(df: DataFrame, f: T.StructField) -> Column:
+    c, made = F.col(f.name), F.col(f.name).try_cast(f.dataType)
+    if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+        return c.cast(f.dataType).alias(f.name)
+    return F.when(c.isNotNull() & made.isNull(), F.raise_error(F.concat(F.lit(f"{f.name} can't hold "), c.cast("string"))).cast(f.dataType)).otherwise(made).alias(f.name)
+
+
+def export_table(df: DataFrame, name: str, folder: str) -> None:
+    """Write a logical table as Parquet; a folder that has it already is left as it is."""
+    typed(df, name).write.mode("ignore").parquet(f"{folder}/{name}")
+
+
+def load_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A logical table that :func:`export_table` wrote, by its schema; only ``columns`` are read where they are given."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    return df.select(*columns) if columns else df
+
+
 def strict_flag(df: DataFrame, column: str) -> DataFrame:
     """0 and 1 as boolean; any other number fails the job."""
     c = F.col(column)

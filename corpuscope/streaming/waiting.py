@@ -45,6 +45,16 @@ def distinct_stream(items: DataFrame, key: str, ts: str = "ts", *, within: str =
     return items.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+def session_for_state(spark: SparkSession) -> SparkSession:
+    """A session of its own for a stateful stream, with at most as many state partitions as the cluster has cores (8 at least).
+
+    The number stays for the life of a checkpoint, and unlike a batch's partitions Spark doesn't merge small ones.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))))
+    return own
+
+
 def drain(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Run a stream in append mode to its present end into Parquet files under ``target``; a restart goes on where it ended.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import sentiment, vectors
 from corpuscope.operators import features, layout, neighbour_index, results, upsert
 from corpuscope.plans.query import Dataset
+from corpuscope.sources import tables
 
 
 def nearest(x, k=10):
@@ -144,3 +145,26 @@ def test_dictionary_ids_stay_when_read_again(spark):
     first = sorted(map(tuple, made.collect()))
     assert first == sorted(map(tuple, made.collect())) and [i for i, _ in first] == list(range(5, 305))
     assert [n for _, n in first[1:]] == sorted(n for _, n in first[1:])
+
+
+def test_exports_by_schema(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, 5.0, "x"), (2, "u", None, "y")], "id long, username string, score double, more string")
+    tables.export_table(rows, "users", str(tmp_path))
+    tables.export_table(rows.limit(0), "users", str(tmp_path))  # is there already
+    assert sorted(map(tuple, tables.load_table(spark, str(tmp_path), "users").collect())) == [(1, ""), (2, "u")]
+    assert tables.load_table(spark, str(tmp_path), "users", ["id"]).columns == ["id"]
+    with pytest.raises(ValueError, match="lacks"):
+        tables.typed(rows, "posts")
+    posts = spark.createDataFrame([(1, 70_000)], "id long, score long").select("*", *[F.lit(None).alias(c) for c in ("deleted", "dead", "author", "ts", "url", "emb_missing_page")])
+    with pytest.raises(Exception, match="score can't hold 70000"):
+        tables.typed(posts, "posts").collect()
+
+
+def test_relational_scan_in_ranges_of_the_key(spark):
+    url = "jdbc:derby:memory:scan;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(1000).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    rows.write.jdbc(url, "item", mode="overwrite", properties=driver)
+    found = tables.keyset_jdbc(spark, url, "item", 0, 1000, 8, **driver)
+    assert found.rdd.getNumPartitions() == 8
+    assert sorted(map(tuple, found.select(*[F.col(c).alias(c.lower()) for c in found.columns]).select("id", "name").collect())) == [(i, f"n{i}") for i in range(1000)]
