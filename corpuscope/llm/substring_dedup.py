@@ -29,7 +29,7 @@ from corpuscope.llm.common import hint_small, input_bytes, join_skewed, slices,
 from corpuscope.llm.hashing import MIX_3, mix, window_hashes, word_hashes
 
 #: Cells of one block of one row of the sketch (2^23), windows a task counts before it ships them, and input bytes of a chunk.
-BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 4_000_000, 20_000_000
+BLOCK_BITS, FLUSH_WINDOWS, CHUNK_BYTES = 23, 3_000_000, 20_000_000
 #: Cells of a row for each window, at least; with two rows, about one unrepeated window in thirty is passed on.
 CELLS_PER_WINDOW = 4
 
