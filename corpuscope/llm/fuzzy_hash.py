@@ -100,13 +100,16 @@ def _common(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    """1 - distance / lengths, where an insertion or a removal costs 1 and a change 2; 0 without a common run of characters."""
+    """1 - distance / lengths, where an insertion or a removal costs 1 and a change 2; 0 without a common run of characters.
+
+    Lengths and distance are of what is left when no character stands more than three times in a row.
+    """
     if a == b:
         return 1.0
-    a, b = _runs_cut(a), _runs_cut(b)
     run = min(COMMON, len(a), len(b))
     if not run or not {a[i : i + run] for i in range(len(a) - run + 1)} & {b[i : i + run] for i in range(len(b) - run + 1)}:
         return 0.0
+    a, b = _runs_cut(a), _runs_cut(b)
     return 2 * _common(a, b) / (len(a) + len(b))
 
 
