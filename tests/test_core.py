@@ -213,6 +213,26 @@ def test_neighbour_lists_deal_blocks_of_bounded_size(spark, monkeypatch):
     assert got == {i: np.argsort(-sims[i])[:3].tolist() for i in range(100)}
 
 
+def test_nearest_in_blocks_keep_ties_and_ship_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 16)
+    v = np.random.default_rng(5).normal(size=(90, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[40:70] = v[3]  # copies tie, smaller ids go first
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    sims = np.zeros((90, 90))
+    for d in range(8):
+        sims += np.outer(v[:, d].astype(np.float64), v[:, d].astype(np.float64))
+    want = {i: sorted((-sims[i, j], j) for j in range(90) if j != i)[:4] for i in range(90)}
+    lists = {r["vec_id"]: [(-n["sim"], n["id"]) for n in r["neighbours"]] for r in ml.neighbour_lists(df, 4).collect()}
+    assert lists == want
+    found = ml.lsh_nearest_many(df, df.where("vec_id % 5 = 0"), 4, bucket=100.0, tables=16)  # so wide that all meet in some table
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["vec_id"], []).append((-r["sim"], r["other"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: want[q] for q in range(0, 90, 5)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row per pair that meets
+
+
 def test_entry_lists_queries_and_oracles():
     import __spark_entry__
 
