@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import encoders, msgpack, scalar, sentiment, vectors
 from corpuscope.operators import clusters, labels, layout, lexical, results, spatial, versioned
 from corpuscope.operators import neighbour_index as neighbours
-from corpuscope.operators.stages import shared_folder
+from corpuscope.operators.stages import shared_folder, stored
 from corpuscope.plans.query import Clip, ItemsOutput, QueryInput, scored
 from corpuscope.queries import _sql as sql
 from corpuscope.queries import register
@@ -122,7 +122,7 @@ def label_pick(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def map_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of every zoom of the map, as wide as the first sentences of the points' documents."""
-    points = t.dataset(spark, d, "toppost").rows.select("id", "x", "y", F.col("votes").alias("score"))
+    points = stored(t.dataset(spark, d, "toppost").rows.select("id", "x", "y", F.col("votes").alias("score")), "points")
     n = t.rows_in(spark, d, "documents")
     letters = t.titles(spark, d).select(F.col("id").alias("doc"), scalar.title_bytes(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("letters"))
     titled = points.withColumn("doc", F.col("id") % n).join(letters, "doc").drop("doc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.scalar import key_hash
-from corpuscope.operators.stages import cut_lineage
+from corpuscope.operators.stages import cut_lineage, stored
 
 #: Points of the coarsest level along an axis.
 BASE = 32
+#: Ranges of hashes in which points are counted.
+RANGES = 4096
 
 
 def lod_levels(count: int) -> int:
@@ -44,37 +47,58 @@ def with_cells(points: DataFrame, meta: DataFrame, n: int, prefix: str) -> DataF
 def top_per_cell(points: DataFrame, meta: DataFrame, lod: int) -> DataFrame:
     """The best point (then the smallest id) of every cell of a level."""
     celled = with_cells(points, meta, BASE << lod, "cell")
-    best = celled.groupBy("cell_x", "cell_y").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
+    best = celled.groupBy("cell_x", "cell_y").agg(_best_of_cell().alias("b"))
     return best.select("cell_x", "cell_y", F.col("b.id").alias("id"), F.col("b.score").alias("score"))
 
 
 def lod_sample(points: DataFrame, meta: DataFrame) -> DataFrame:
-    """``lod, id``: each level holds the best point per cell, then points of earlier levels, then others by hash, up to its size; the last holds all."""
+    """``lod, id``: each level holds the best point per cell, then points of earlier levels, then others by hash, up to its size; the last holds all.
+
+    All points are read once, for the cells of the finest grid. The best of a cell is the best of its four cells' best, and of the
+    others a level of n points can only take some of the first n of all by hash. So a level's work goes with its size, and
+    the sizes of all add up to four thirds of the last sample.
+    """
     levels = meta.select("lod_levels").first()["lod_levels"]
-    out, before = None, None
+    last = points.select(F.lit(levels - 1).alias("lod"), "id")
+    if levels == 1:
+        return last
+    celled = with_cells(points.select("id", "x", "y", "score"), meta, BASE << (levels - 2), "cell")
+    placed = stored(celled.select("id", "score", "cell_x", "cell_y", key_hash(F.col("id")).alias("at")), "placed")
+    finest = placed.groupBy("cell_x", "cell_y").agg(_best_of_cell().alias("b"))
+    best = [cut_lineage(finest.select("cell_x", "cell_y", "b.id", "b.score"))]
+    for _ in range(levels - 2):
+        wider = best[0].groupBy(*[F.shiftright(c, 1).alias(c) for c in ("cell_x", "cell_y")]).agg(_best_of_cell().alias("b"))
+        best.insert(0, cut_lineage(wider.select("cell_x", "cell_y", "b.id", "b.score")))
+    counts = {r["range"]: r["count"] for r in placed.groupBy(_hash_range(F.col("at")).alias("range")).count().collect()}
+    out, before = [], None
     for lod in range(levels - 1):
-        best = top_per_cell(points, meta, lod).select("id", F.lit(0).alias("first"))
-        marked = points.select("id").join(best, "id", "left")
+        n, seen, ranges = (BASE << lod) ** 2, 0, 0
+        while seen < n and ranges < RANGES:
+            seen, ranges = seen + counts.get(ranges, 0), ranges + 1
+        turns = best[lod].select("id", F.lit(0).alias("turn")).union(placed.where(F.col("at") < ranges * ((1 << 32) // RANGES)).select("id", F.lit(2)))
         if before is not None:
-            marked = marked.join(before.select("id", F.lit(1).alias("second")), "id", "left")
-        else:
-            marked = marked.withColumn("second", F.lit(None).cast("int"))
-        ranked = marked.select("id", F.coalesce("first", "second", F.lit(2)).alias("turn"))
-        before = cut_lineage(first_rows(ranked.withColumn("at", key_hash(F.col("id"))), (BASE << lod) ** 2))
-        level = before.select(F.lit(lod).alias("lod"), "id")
-        out = level if out is None else out.unionByName(level)
-    last = points.select(F.lit(levels - 1).alias("lod"), "id")
-    return last if out is None else out.unionByName(last)
+            turns = turns.union(before.select("id", F.lit(1)))
+        ranked = cut_lineage(turns.groupBy("id").agg(F.min("turn").alias("turn")).withColumn("at", key_hash(F.col("id"))))
+        before = cut_lineage(first_rows(ranked, n))
+        out.append(before.select(F.lit(lod).alias("lod"), "id"))
+    return reduce(DataFrame.unionByName, [*out, last])
+
 
+def _best_of_cell() -> Column:
+    return F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id")))
 
-def first_rows(ranked: DataFrame, n: int, ranges: int = 4096) -> DataFrame:
+
+def _hash_range(at: Column, ranges: int = RANGES) -> Column:
+    return F.floor(at / ((1 << 32) // ranges)).cast("int")
+
+
+def first_rows(ranked: DataFrame, n: int, ranges: int = RANGES) -> DataFrame:
     """The ``id`` of the first ``n`` rows of ``ranked(id, turn, at)`` by turn, at (a hash below 2^32) and id.
 
     Rows are counted by turn and range of hashes, a table of a few thousand numbers, which tells in which range the n-th row
     lies: ranges before it are taken whole, and only that one is sorted.
     """
-    cut = F.floor(F.col("at") / ((1 << 32) // ranges)).cast("int")
-    placed = ranked.withColumn("range", cut)
+    placed = ranked.withColumn("range", _hash_range(F.col("at"), ranges))
     left = n
     for row in sorted(placed.groupBy("turn", "range").count().collect()):
         if row["count"] > left:
@@ -96,8 +120,11 @@ def tile_range(meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: f
 
 
 def write_tiles(tiles: DataFrame, folder: str) -> None:
-    """The map's tiles as Parquet, a folder per level and row of tiles, so that a lookup reads only those that it asks for."""
-    tiles.repartition("lod", "tile_y", "tile_x", "chunk").sortWithinPartitions("lod", "tile_y", "tile_x", "chunk").write.partitionBy("lod", "tile_y").mode("overwrite").parquet(folder)
+    """The map's tiles as Parquet, a folder per level and row of tiles, so that a lookup reads only those that it asks for.
+
+    Tasks write ranges of tiles, so there are about as many files as folders and tasks, not their product.
+    """
+    tiles.repartitionByRange("lod", "tile_y", "tile_x", "chunk").sortWithinPartitions("lod", "tile_y", "tile_x", "chunk").write.partitionBy("lod", "tile_y").mode("overwrite").parquet(folder)
 
 
 def viewport_tiles(spark: SparkSession, folder: str, meta: DataFrame, lod: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -120,7 +147,7 @@ def lod_tiles(points: DataFrame, sample: DataFrame, meta: DataFrame, most: int =
         at = F.floor(F.try_divide((F.col(c) - F.col(f"{c}_min")) * n, F.col(f"{c}_max") - F.col(f"{c}_min")))
         return F.coalesce(F.least(at, n.cast("long") - 1), F.lit(0)).cast("int")
 
-    tiled = placed.select("lod", tile("x").alias("tile_x"), tile("y").alias("tile_y"), F.struct("id", "x", "y", "score").alias("p"))
+    tiled = stored(placed.select("lod", tile("x").alias("tile_x"), tile("y").alias("tile_y"), F.struct("id", "x", "y", "score").alias("p")), "tiled")
     # only tiles with several chunks are looked up; these are at most points / most
     full = tiled.groupBy("lod", "tile_x", "tile_y").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks")).where("chunks > 1")
     dealt = tiled.join(full, ["lod", "tile_x", "tile_y"], "left").withColumn("chunk", F.pmod(F.xxhash64("p.id"), F.coalesce("chunks", F.lit(1))).cast("int"))

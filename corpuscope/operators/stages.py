@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: what several steps read is computed once."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def join_on_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``table``, which has at most one row per ``key``, where some keys may hold a large part of ``rows``.
 

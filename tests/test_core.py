@@ -233,6 +233,35 @@ def test_nearest_in_blocks_keep_ties_and_ship_no_pairs(spark, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row per pair that meets
 
 
+def test_lod_sample_reads_points_once_and_holds_every_level(spark):
+    n, seen = 20_000, spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        seen.add(1)
+        return float(i * 7919 % 1009)
+
+    base = spark.range(n).select("id", (F.col("id") * 37 % 1013).cast("double").alias("x"), (F.col("id") * 53 % 997).cast("double").alias("y"))
+    points = base.withColumn("score", score("id"))
+    meta = spark.createDataFrame([(0.0, 1012.0, 0.0, 996.0, 4)], "x_min double, x_max double, y_min double, y_max double, lod_levels int")
+    sample = spatial.lod_sample(points, meta)
+    assert seen.value == n
+    got = {}
+    for r in sample.collect():
+        got.setdefault(r["lod"], set()).add(r["id"])
+    before = set()
+    for lod in range(3):
+        cells, side = {}, 32 << lod
+        for i in range(n):
+            at = tuple(min(side - 1, int(v // (m / side))) for v, m in ((i * 37 % 1013, 1012.0), (i * 53 % 997, 996.0)))
+            cells[at] = min(cells.get(at, (1, 0)), (-(i * 7919 % 1009), i))
+        first = {i for _, i in cells.values()}
+        turn = lambda i: (0 if i in first else 1 if i in before else 2, i * 2654435761 % 2**32, i)  # noqa: B023, E731
+        before = set(sorted(range(n), key=turn)[: side * side])
+        assert got[lod] == before
+    assert got[3] == set(range(n))
+
+
 def test_entry_lists_queries_and_oracles():
     import __spark_entry__
 
