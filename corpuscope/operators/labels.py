@@ -3,7 +3,8 @@
 Greedy picking in order of score depends on what was picked before, across all borders. It is done in rounds: regions of the
 picture, each a group of its own, decide what they can decide alone. A label that lies whole in a region meets there
 all that it could overlap; it is picked unless it overlaps a pick, or waits if a better label that it overlaps is undecided
-itself. What waits goes to the next round, with regions moved by half, so that every label lies whole in one of four.
+itself. What waits goes to the next round, with regions moved by half, so that every label lies whole in one of four. Of
+many labels that begin in one place a round decides the best few.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.operators.stages import cut_lineage
+from corpuscope.operators.stages import cut_lineage, first_of
 
 #: Fixed values of the drawing, in pixels: size of the type, gap and radius of the point, margin above and below, padding of the map.
 FONT_SIZE, POINT_GAP, POINT_RADIUS, MARGIN_Y, PADDING = 13, 4, 3, 6, 32
@@ -24,7 +25,9 @@ LETTER, ZOOMS_PER_LOD, MOST_LETTERS = 0.6, 3, 255
 REGION_X, REGION_Y = 4096, 512
 #: Cells in which a region looks for overlaps.
 CELL_X, CELL_Y = 256, 32
-_REJECTED, _WAITS, _PICKED = 2, 0, 1
+#: Cells in which labels look for picks, labels (or cells of picks) that are few, and the labels of a small cell that a round decides.
+GRID_X, GRID_Y, SMALL, OF_CELL = 512, 64, 200_000, 8
+BOX = ["x0", "x1", "y0", "y1"]
 
 
 def zoom_scale(zoom: int, base: float) -> float:
@@ -71,25 +74,30 @@ class _Boxes:
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by region, picks first and then labels from best to worst: a decision on every label."""
-    region, picked, waiting = None, _Boxes(), _Boxes()
+    """Rows sorted by region, then from the best label to the worst: the ids of those that are picked.
+
+    A row without an id stands for labels of its cell that were left out, all worse than the one before it: what its box overlaps
+    waits, unless a label of the cell is picked, which all others of the cell overlap.
+    """
+    region, picked, waiting, done = None, _Boxes(), _Boxes(), set()
     for pdf in frames:
         out = []
         for r in pdf.itertuples(index=False):
             if region != (r.rx, r.ry):
-                region, picked, waiting = (r.rx, r.ry), _Boxes(), _Boxes()
+                region, picked, waiting, done = (r.rx, r.ry), _Boxes(), _Boxes(), set()
             box = r.x0, r.x1, r.y0, r.y1
-            if r.is_pick:
-                picked.add(box)
+            if r.left_out:
+                if (r.cx, r.cy) not in done:
+                    waiting.add(box)
             elif picked.overlaps(box):
-                out.append((r.id, _REJECTED))
+                continue
             elif r.whole and not waiting.overlaps(box):
                 picked.add(box)
-                out.append((r.id, _PICKED))
+                done.add((r.cx, r.cy))
+                out.append(r.id)
             else:
                 waiting.add(box)
-                out.append((r.id, _WAITS))
-        yield pd.DataFrame(out, columns=["id", "decision"])
+        yield pd.DataFrame({"id": pd.Series(out, dtype="int64")})
 
 
 def _regions(boxes: DataFrame, turn: int) -> DataFrame:
@@ -104,23 +112,54 @@ def _regions(boxes: DataFrame, turn: int) -> DataFrame:
     return spread.withColumn("whole", whole).withColumn("rx", F.explode("xs")).withColumn("ry", F.explode("ys")).drop("xs", "ys")
 
 
+def _clear_of(labels: DataFrame, picks: DataFrame) -> DataFrame:
+    """The labels that overlap none of ``picks(x0, x1, y0, y1)``, found by the cell in which a label begins."""
+    wide, high = labels.agg(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0"))).first()
+    if wide is None:
+        return labels
+    cell = lambda c, size: F.floor(c / size)
+    spots = picks.select(*[F.col(c).alias(f"p_{c}") for c in BOX])
+    # one cell more at each end, so that rounding loses none
+    spots = spots.withColumn("gx", F.explode(F.sequence(cell(F.col("p_x0") - wide, GRID_X) - 1, cell(F.col("p_x1"), GRID_X) + 1)))
+    spots = spots.withColumn("gy", F.explode(F.sequence(cell(F.col("p_y0") - high, GRID_Y) - 1, cell(F.col("p_y1"), GRID_Y) + 1)))
+    spots = cut_lineage(spots)
+    placed = labels.withColumns({"gx": cell(F.col("x0"), GRID_X), "gy": cell(F.col("y0"), GRID_Y)})
+    over = [placed["gx"] == spots["gx"], placed["gy"] == spots["gy"], F.col("p_x0") <= F.col("x1"), F.col("x0") <= F.col("p_x1"), F.col("p_y0") <= F.col("y1"), F.col("y0") <= F.col("p_y1")]
+    near = F.broadcast(spots) if spots.count() <= SMALL else spots
+    return placed.join(near, over, "left_anti").drop("gx", "gy")
+
+
+def _front(left: DataFrame, count: int) -> DataFrame:
+    """What is decided now: all labels if they are few, else the best of every cell, followed by a row for those that are left out.
+
+    Cells are as small as the smallest label, so that all labels that begin in one overlap each other.
+    """
+    if count <= SMALL:
+        return left.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "left_out": F.lit(False)})
+    low_x, low_y, wide, high = left.agg(*[f(F.col(f"{c}1") - F.col(f"{c}0")) for f in (F.min, F.max) for c in "xy"]).first()
+    # a little smaller, so that rounding doesn't part two that overlap
+    celled = left.withColumns({"cx": F.floor(F.col("x0") / (low_x * 0.99)), "cy": F.floor(F.col("y0") / (low_y * 0.99)), "left_out": F.lit(False)})
+    best = cut_lineage(first_of(celled, ["cx", "cy"], [F.desc_nulls_last("score"), F.asc("id")], OF_CELL + 1))
+    place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(F.desc_nulls_last("score"), "id"))
+    ranked = best.withColumn("place", place)
+    box = {"x0": F.col("cx") * (low_x * 0.99) - 1, "x1": (F.col("cx") + 1) * (low_x * 0.99) + wide + 1, "y0": F.col("cy") * (low_y * 0.99) - 1, "y1": (F.col("cy") + 1) * (low_y * 0.99) + high + 1}
+    return ranked.select(*celled.columns[:2], *[F.when(F.col("place") > OF_CELL, v).otherwise(F.col(k)).alias(k) for k, v in box.items()], "cx", "cy", (F.col("place") > OF_CELL).alias("left_out"))
+
+
 def greedy(labels: DataFrame, picks: DataFrame) -> DataFrame:
     """The ``id`` of each of ``labels(id, score, x0, x1, y0, y1)`` that greedy picking keeps beside ``picks(x0, x1, y0, y1)``.
 
     From the greatest score down (then the smallest id, null scores last), a label is kept if it overlaps no pick and no label
-    kept before. Equal to one serial pass over all labels.
+    kept before. Equal to one serial pass over all labels. What overlaps a pick goes in a join; of the rest only the best of
+    each small cell are decided in a round, so a region's work is bounded by its area, however many labels begin there.
     """
-    box = ["x0", "x1", "y0", "y1"]
-    left, held, kept, turn = cut_lineage(labels.select("id", "score", *box)), picks.select(*box), None, 0
-    while left.limit(1).count():
-        rows = left.withColumn("is_pick", F.lit(False)).unionByName(held.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast(left.schema["score"].dataType).alias("score"), *box, F.lit(True).alias("is_pick")))
-        dealt = _regions(rows, turn).repartition("rx", "ry").sortWithinPartitions("rx", "ry", F.desc("is_pick"), F.desc_nulls_last("score"), "id")
-        decided = dealt.select("rx", "ry", "id", "is_pick", "whole", *box).mapInPandas(_decide, "id long, decision int").groupBy("id").agg(F.max("decision").alias("decision"))
-        joined = cut_lineage(left.join(decided, "id"))
-        new = joined.where(F.col("decision") == _PICKED)
+    left, kept, turn = cut_lineage(_clear_of(labels.select("id", "score", *BOX), picks.select(*BOX))), None, 0
+    while count := left.count():
+        dealt = _regions(_front(left, count), turn).repartition("rx", "ry").sortWithinPartitions("rx", "ry", F.desc_nulls_last("score"), "id")
+        picked = dealt.select("rx", "ry", "id", "left_out", "whole", "cx", "cy", *BOX).mapInPandas(_decide, "id long").distinct()
+        new = cut_lineage(left.join(picked, "id").select("id", *BOX))
         kept = new.select("id") if kept is None else kept.unionByName(new.select("id"))
-        held = held.unionByName(new.select(*box))
-        left, turn = joined.where(F.col("decision") == _WAITS).select("id", "score", *box), (turn + 1) % 4
+        left, turn = cut_lineage(_clear_of(left, new)), (turn + 1) % 4
     return labels.select("id").where("false") if kept is None else kept
 
 

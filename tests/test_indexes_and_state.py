@@ -236,6 +236,31 @@ def test_labels_equal_one_serial_pass(spark, monkeypatch, seed):
     assert got == want and len({i for _, i, _ in want}) > 100 and len({s for *_, s in want}) > 3
 
 
+def test_greedy_sends_only_the_best_of_crowded_places_to_a_region(spark, monkeypatch):
+    monkeypatch.setattr(labels, "SMALL", 100)
+    monkeypatch.setattr(labels, "OF_CELL", 2)
+    rng, sent = np.random.default_rng(11), spark.sparkContext.accumulator(0)
+    decide = labels._decide
+
+    def counted(frames):
+        def told():
+            for f in frames:
+                sent.add(len(f))
+                yield f
+
+        return decide(told())
+
+    monkeypatch.setattr(labels, "_decide", counted)
+    rows = [(i, float(s), x, x + w, y, y + 13.0) for i, (s, x, w, y) in enumerate(zip(rng.integers(0, 50, 6000).tolist(), (rng.integers(0, 60, 6000) * 4.0).tolist(), (40.0 + rng.integers(0, 30, 6000)).tolist(), (rng.integers(0, 30, 6000) * 3.0).tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "id long, score double, x0 double, x1 double, y0 double, y1 double")
+    want = []
+    for i, _, x0, x1, y0, y1 in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if not any(a0 <= x1 and x0 <= a1 and b0 <= y1 and y0 <= b1 for _, a0, a1, b0, b1 in want):
+            want.append((i, x0, x1, y0, y1))
+    assert {r["id"] for r in labels.greedy(df, df.limit(0)).collect()} == {w[0] for w in want}
+    assert sent.value < 6000
+
+
 def test_labels_of_an_empty_map(spark):
     df = spark.createDataFrame([], "id long, x double, y double, score double, letters int")
     for extent in (None, 0.0):
