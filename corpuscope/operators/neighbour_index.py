@@ -1,14 +1,13 @@
-"""A stored index of nearest neighbours: built by graph refinement, written, loaded, and searched along its links.
+"""A stored index of nearest neighbours: built, written and loaded, and searched for all queries at once.
 
-Building follows NN-descent: neighbours of neighbours are likely neighbours. Vectors that share a code of random hyperplanes
-meet first; then each round every vector lets its neighbours, and those whose neighbour it is, meet each other. Each meets
-a bounded number, so a round costs work in proportion to the vectors. Searching walks the links from the codes' members and
-a few entry points, all queries at once, a join a step, until no step finds anything nearer.
+Vectors go to coarse lists, those of like direction together; a vector is compared with the members of the lists nearest to it.
+How many lists that takes is measured on a sample, against all of the sample. Slices of the queries meet blocks of lists in
+groups of bounded bytes, each of which returns its best few, so an index takes the same few Spark jobs whatever its size.
+The links of all vectors, each to its nearest others and some that it is near to, are stored beside it as a graph.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,109 +16,161 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators.stages import cut_lineage, first_of, join_on_hot
+from corpuscope.operators.stages import first_of
 
-#: Vectors of one code that meet at first, and the entry points of a search besides the codes.
-LEAF, ENTRIES = 32, 64
-#: Building ends when a round changes less than this share of all links.
-SETTLED = 0.002
+#: Lists at most, and vectors that they are fitted on at most; both are fewer where vectors are long (FIT_BYTES).
+LISTS, FIT_ROWS, FIT_BYTES = 1024, 20_000, 16 << 20
+#: Share of the sample's neighbours that the lists of a search must hold, and vectors of the sample that ask; a search of k asks lists of ENOUGH times k members.
+FOUND, ASKING, ENOUGH = 0.96, 512, 4
+#: A table is cut in about so many blocks of at least and at most so many vectors, of no more bytes.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 8, 1024, 1 << 16, 32 << 20
+#: Queries that a task compares at once.
+CHUNK = 2048
 
+NEAR = "array<struct<far:double,id:long>>"
 
-def planes(tables: int, bits: int, dims: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dims)).astype(np.float32)
 
-
-def _floats(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(rows, -1)
-
-
-def coded(vectors: DataFrame, tables: int, bits: int, dims: int, seed: int) -> DataFrame:
-    """``vec_id, v, codes`` of ``vectors(vec_id, embedding)``: scaled to length 1, and the sides of each table's planes as bits.
-
-    Vectors that are null, of another length, zero, or hold null or non-finite components are left out.
-    """
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = vectors.where(F.size("embedding") == dims).where(finite).where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normals, weights = planes(tables, bits, dims, seed), 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dims)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            codes = np.stack([(x @ p.T > 0) @ weights if bits else np.zeros(len(x), np.int64) for p in normals], axis=1)
-            yield pa.record_batch([batch.column(0), _lists(x), _lists(codes)], names=["vec_id", "v", "codes"])
-
-    return sound.mapInArrow(run, "vec_id long, v array<float>, codes array<long>")
+def _floats(column: pa.Array | pa.ChunkedArray, rows: int, dims: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(rows, dims)
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
 
 
-def _meet(groups: DataFrame, k: int) -> DataFrame:
-    """``id, other, sim, compared`` of ``groups(members)``: what members that have not met yet find nearer than their worst link.
+def scaled(vectors: DataFrame, dims: int) -> DataFrame:
+    """``vec_id, v`` of ``vectors(vec_id, embedding)``: scaled to length 1.
 
-    ``members`` are structs (id, v, fresh, worst). ``compared`` tells once a group how many pairs were compared.
+    Vectors that are null, of another length, zero, or hold null or non-finite components are left out.
     """
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = vectors.where(F.size("embedding") == dims).where(finite).where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, others, sims, compared = [], [], [], []
-            lists = batch.column(0)
-            flat, starts = lists.flatten(), lists.offsets.to_numpy()
-            starts = starts - starts[0] if len(starts) else starts
-            names, fresh, worst = flat.field("id").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False), flat.field("worst").to_numpy()
-            x = _floats(flat.field("v"), len(flat)) if len(flat) else np.zeros((0, 1), np.float32)
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                new = np.flatnonzero(fresh[lo:hi])
-                m, f = hi - lo, len(new)
-                if m < 2 or not f:
-                    continue
-                near = x[lo:hi][new] @ x[lo:hi].T
-                near[np.arange(f), new] = -np.inf
-                # rows are fresh ones; both ends of a pair may gain by it
-                both = np.full((m, m), -np.inf, np.float32)
-                both[new] = near
-                both[:, new] = np.maximum(both[:, new], near.T)
-                both[both <= worst[lo:hi][:, None]] = -np.inf
-                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(both, top, axis=1)
-                a, b = np.nonzero(np.isfinite(value))
-                if len(a):
-                    ids.append(names[lo:hi][a])
-                    others.append(names[lo:hi][top[a, b]])
-                    sims.append(value[a, b])
-                    compared.append(np.zeros(len(a), np.int64))
-                ids.append(np.array([-1]))
-                others.append(np.array([-1]))
-                sims.append(np.array([0], np.float32))
-                compared.append(np.array([f * (f - 1) // 2 + f * (m - f)]))
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(others).astype(np.int64)), pa.array(np.concatenate(sims).astype(np.float32)), pa.array(np.concatenate(compared).astype(np.int64))], names=["id", "other", "sim", "compared"])
-
-    return groups.select("members").mapInArrow(run, "id long, other long, sim float, compared long")
-
-
-def _best(links: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each id of ``links(id, other, sim, fresh)``; a link that was known is not fresh."""
-    once = links.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    return first_of(once, "id", [F.desc("sim"), F.asc("other")], k)
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dims)
+                x /= np.abs(x).max(axis=1, keepdims=True)
+                yield pa.record_batch([batch.column(0), _lists((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))], names=["vec_id", "v"])
+
+    return sound.mapInArrow(run, "vec_id long, v array<float>")
+
+
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances to the centres, up to a number of each row's own."""
+    return (centres * centres).sum(axis=1)[None] - 2 * x @ centres.T
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([_apart(x[at : at + CHUNK], centres).argmin(axis=1) for at in range(0, len(x), CHUNK)] or [np.zeros(0, np.int64)])
+
+
+def _fit(sample: np.ndarray, lists: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """Centres of the lists by k-means; one that no vector is nearest to stays."""
+    centres = sample[np.sort(np.random.default_rng(seed).choice(len(sample), lists, replace=False))].copy()
+    for _ in range(rounds if lists > 1 else 0):
+        near = _nearest(sample, centres)
+        order, count = np.argsort(near, kind="stable"), np.bincount(near, minlength=lists)
+        held = np.flatnonzero(count)
+        sums = np.add.reduceat(sample[order], (np.cumsum(count) - count)[held], axis=0)
+        centres[held] = sums / count[held, None]
+    return centres
+
+
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many of the lists nearest to a vector hold the share FOUND of its ``k`` nearest in the sample."""
+    if len(sample) < 2 or len(centres) < 2:
+        return 1
+    asking = np.unique(np.linspace(0, len(sample) - 1, ASKING).astype(int))
+    at, ranks = _nearest(sample, centres), []
+    for part in np.array_split(asking, -(-len(asking) // 64)):
+        near = sample[part] @ sample.T
+        near[np.arange(len(part)), part] = -np.inf
+        top = np.argpartition(-near, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+        place = np.argsort(np.argsort(_apart(sample[part], centres), axis=1), axis=1)
+        ranks.append(np.take_along_axis(place, at[top], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), FOUND, method="higher")) + 1
+
+
+def _asked(d: np.ndarray, probes: int, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Which lists each row of distances asks: the ``probes`` nearest, and more where these hold fewer than ENOUGH times ``k`` members."""
+    if probes >= d.shape[1]:
+        return np.ones(d.shape, bool)
+    asked = d <= np.partition(d, probes - 1, axis=1)[:, probes - 1 : probes]
+    few = np.flatnonzero(asked @ sizes < ENOUGH * k)
+    order = np.argsort(d[few], axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    more = np.zeros((len(few), d.shape[1]), bool)
+    np.put_along_axis(more, order, before < ENOUGH * k, axis=1)
+    asked[few] |= more
+    return asked
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of pairs in columns, the ``k`` of each row with the greatest sims, ties to smaller ids."""
+    order = np.lexsort((ids, -sims, rows))
+    rows = rows[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    kept = order[first]
+    return rows[first], ids[kept], sims[kept], at[kept]
+
+
+def _meet(centres: np.ndarray, sizes: np.ndarray, probes: int, k: int):
+    """A slice of queries and a block of members: of each query the best ``k`` in the lists that it asks, and how many it was compared with."""
+
+    def run(asking: pa.Table, members: pa.Table) -> pa.Table:
+        dims, found = centres.shape[1], []
+        held = members["list"].to_numpy()
+        order = np.argsort(held, kind="stable")
+        names, x = members["vec_id"].to_numpy()[order], _floats(members["v"], len(held), dims)[order]
+        lists, starts = np.unique(held[order], return_index=True)
+        ends = [*starts[1:], len(held)]
+        qs, a = asking["q"].to_numpy(), _floats(asking["v"], asking.num_rows, dims)
+        for lo in range(0, len(qs) if len(held) else 0, CHUNK):
+            q, y = qs[lo : lo + CHUNK], a[lo : lo + CHUNK]
+            ask = _asked(_apart(y, centres), probes, sizes, k)[:, lists]
+            least, compared = np.full(len(q), -np.inf, np.float32), ask @ np.diff([*starts, len(held)])
+            best, more, waiting = None, [], 0
+            for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+                rows = np.flatnonzero(ask[:, i])
+                near = y[rows] @ x[s:e].T
+                r, c = np.nonzero(near >= least[rows][:, None])
+                more.append((rows[r], names[s + c], near[r, c], s + c))
+                waiting += len(r)
+                if more and (waiting > 4 * k * len(q) or i + 1 == len(lists)):
+                    best = [np.concatenate(c) for c in zip(*([best] if best else []), *more, strict=True)]
+                    other = best[1] != q[best[0]]
+                    best = _best(*[c[other] for c in best], k)
+                    n = np.bincount(best[0], minlength=len(q))
+                    last = (np.cumsum(n) - 1)[n == k]
+                    least[n == k] = best[2][last]
+                    more, waiting = [], 0
+            rows, ids, _, at = best
+            exact = np.einsum("ij,ij->i", y[rows].astype(np.float64), x[at].astype(np.float64))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(q)))]).astype(np.int32)
+            near = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids.astype(np.int64))], ["far", "id"]))
+            found.append(pa.table({"q": pa.array(q), "near": near, "compared": pa.array(compared.astype(np.int64))}))
+        schema = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))), ("compared", pa.int64())])
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    return run
 
 
 @dataclass
 class NeighbourIndex:
-    """Tables of an index: ``vectors(vec_id, v, codes)``, ``links(vec_id, neighbours, around)``, ``leaves(table, code, ids)``, ``entries(vec_id)``."""
+    """Tables of an index: ``vectors(vec_id, v, list, block)``, ``centres(list, centre, size, first, last)``, ``links(vec_id, neighbours, around)``.
+
+    ``first`` and ``last`` are the blocks that a list's members lie in, -1 where it has none.
+    """
 
     spark: SparkSession
     folder: str
     k: int
-    tables: int
-    bits: int
     dims: int
-    seed: int
+    probes: int
+    block: int
     compared: int
 
     def table(self, name: str) -> DataFrame:
@@ -129,93 +180,86 @@ class NeighbourIndex:
         """``vec_id, neighbours``: the (about) k nearest others of each vector as structs (id, sim), nearest first."""
         return self.table("links").select("vec_id", "neighbours")
 
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 48, width: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """``q, vec_id, sim, compared``: about the ``k`` vectors nearest to each of ``queries(vec_id, embedding)``, one of its own id left out.
 
-        ``compared`` is the number of vectors a query was compared with. A query holds its ``beam`` nearest vectors so far; each
-        step follows the links of the ``width`` nearest of them that it has not followed yet, until all are followed.
+        ``compared`` is the number of vectors a query was compared with. Queries have ids of their own.
         """
-        asked = cut_lineage(coded(queries, self.tables, self.bits, self.dims, self.seed).select(F.col("vec_id").alias("q"), F.col("v").alias("a"), "codes"))
-        vectors = self.table("vectors").select("vec_id", F.col("v").alias("b"))
-        links = self.table("links").select("vec_id", "around")
-        by_code = asked.select("q", F.posexplode("codes").alias("table", "code")).join(self.table("leaves"), ["table", "code"]).select("q", F.explode("ids").alias("vec_id"))
-        # entry points are at most ENTRIES
-        start = by_code.union(asked.select("q").crossJoin(F.broadcast(self.table("entries"))))
-        seen, found = None, start.distinct()
-        while True:
-            ranked = self._compared(found.where("q <> vec_id"), asked, vectors).withColumn("followed", F.lit(False))
-            seen = cut_lineage(ranked if seen is None else seen.unionByName(ranked))
-            held = first_of(seen, "q", [F.desc("sim"), F.asc("vec_id")], beam)
-            step = cut_lineage(first_of(held.where("not followed"), "q", [F.desc("sim"), F.asc("vec_id")], width).select("q", "vec_id"))
-            if not step.limit(1).count():
-                break
-            seen = seen.join(step.withColumn("now", F.lit(True)), ["q", "vec_id"], "left").select("q", "vec_id", "sim", (F.col("followed") | F.coalesce("now", F.lit(False))).alias("followed"))
-            seen = cut_lineage(seen)
-            near = join_on_hot(step, links, "vec_id").select("q", F.explode("around").alias("vec_id")).distinct()
-            found = near.join(seen.select("q", "vec_id"), ["q", "vec_id"], "left_anti")
-        met = seen.groupBy("q").agg(F.count("*").alias("compared"))
-        return first_of(seen.select("q", "vec_id", "sim"), "q", [F.desc("sim"), F.asc("vec_id")], k).join(met, "q")
-
-    def _compared(self, pairs: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    a, b = (_floats(batch.column(i), batch.num_rows).astype(np.float64) for i in (2, 3))
-                    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "vec_id", "sim"])
-
-        named = pairs.join(vectors, "vec_id").join(asked.select("q", "a"), "q").select("q", "vec_id", "a", "b")
-        return named.mapInArrow(run, "q long, vec_id long, sim double")
-
-
-def build(vectors: DataFrame, folder: str, k: int = 15, *, tables: int = 4, seed: int = 7, most_rounds: int = 30) -> NeighbourIndex:
+        found = self._near(scaled(queries, self.dims), k)
+        return found.select("q", F.explode("near").alias("n"), "compared").select("q", F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("sim"), "compared")
+
+    def _near(self, asking: DataFrame, k: int) -> DataFrame:
+        """``q, near, compared`` of ``asking(vec_id, v)``: structs (far, id), nearest first."""
+        at = self.table("centres").orderBy("list").toArrow()  # at most LISTS rows
+        centres = _floats(at["centre"], at.num_rows, self.dims)
+        sizes, first, last = (at[c].to_numpy() for c in ("size", "first", "last"))
+        probes, blocks = self.probes, int(last.max(initial=-1)) + 1
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lies = (first[:, None] <= np.arange(blocks)) & (np.arange(blocks) <= last[:, None])
+            for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
+                ask = _asked(_apart(_floats(batch.column(1), batch.num_rows, centres.shape[1]), centres), probes, sizes, k)
+                row, to = np.nonzero(ask.astype(np.float32) @ lies.astype(np.float32) > 0)
+                yield pa.record_batch([*(c.take(pa.array(row)) for c in batch.columns), pa.array(to, pa.int32())], names=["q", "v", "block"])
+
+        slices = max(1, -(-asking.count() // self.block))
+        of = F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int").alias("slice")
+        left = asking.mapInArrow(routed, "q long, v array<float>, block int").select(of, "block", "q", "v")
+        right = self.table("vectors").select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "vec_id", "v", "list")
+        met = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(_meet(centres, sizes, probes, k), f"q long, near {NEAR}, compared long")
+        # a query has k entries for each of the blocks
+        return met.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("compared").alias("compared"))
+
+
+def build(vectors: DataFrame, folder: str, k: int = 15, *, seed: int = 7) -> NeighbourIndex:
     """Build the index of ``vectors(vec_id, embedding)`` under ``folder`` and return it as :func:`load` does.
 
     Vectors must have ids of their own; equal vectors should be given once (``vectors.distinct_vectors``), as copies would
-    fill each other's lists. Each vector keeps ``k`` neighbours; in a round a vector lets at most 2 k others meet, its
-    neighbours and, chosen by hash, some of those that it is a neighbour of. Rounds end when they change few links.
+    fill each other's lists. Lists are fitted, and the number that is asked is chosen, on at most FIT_ROWS vectors; all are
+    indexed. Each vector keeps ``k`` neighbours; around it are at most 2 k, its neighbours and, chosen by hash, some of those
+    that it is a neighbour of.
     """
     spark = vectors.sparkSession
-    total = vectors.count()
-    bits = max(0, min(48, int(math.log2(max(1, total) / LEAF)))) if total else 0
     head = vectors.where(F.col("embedding").isNotNull()).orderBy("vec_id").select(F.size("embedding")).first()
     dims = head[0] if head else 0
-    coded(vectors, tables, bits, dims, seed).write.parquet(f"{folder}/vectors")
-    held = spark.read.parquet(f"{folder}/vectors")
-    place = F.xxhash64(F.lit(seed), "vec_id")
-
-    by_code = held.select("vec_id", "v", F.posexplode("codes").alias("table", "code"))
-    sizes = by_code.groupBy("table", "code").agg(F.count("*").alias("n"))
-    # codes are as many as the vectors at most: a shuffle join, whose hot codes Spark splits
-    split = by_code.join(sizes, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64(F.col("table"), place), F.ceil(F.col("n") / LEAF)))
-    member = lambda v, fresh, worst: F.struct(F.col("vec_id").alias("id"), v.alias("v"), fresh.alias("fresh"), worst.cast("float").alias("worst"))
-    groups = split.groupBy("table", "code", "part").agg(F.collect_list(member(F.col("v"), F.lit(True), F.lit(-2.0))).alias("members"))
-    met = cut_lineage(_meet(groups, k))
-    compared = met.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
-    graph = cut_lineage(_best(met.where("id >= 0").select("id", "other", "sim", F.lit(True).alias("fresh")), k))
-
-    for _ in range(most_rounds):
-        fresh = graph.where("fresh").count()
-        if fresh <= SETTLED * k * total:
-            break
-        ends = graph.select("id", "other", "fresh", F.lit(0).alias("turn")).union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh", F.lit(1).alias("turn")))
-        once = ends.groupBy("id", "other").agg(F.max("fresh").alias("fresh"), F.min("turn").alias("turn"))
-        met_by = first_of(once, "id", [F.asc("turn"), F.desc("fresh"), F.xxhash64("id", "other")], 2 * k)
-        worst = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("id").alias("vec_id"), F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0).alias("worst"))
-        carried = cut_lineage(held.select("vec_id", "v").join(worst, "vec_id", "left").fillna(-2.0, ["worst"]))
-        named = join_on_hot(cut_lineage(met_by.select(F.col("id").alias("at"), F.col("other").alias("vec_id"), "fresh")), carried, "vec_id")
-        groups = named.groupBy("at").agg(F.collect_list(member(F.col("v"), F.col("fresh"), F.col("worst"))).alias("members"))
-        met = cut_lineage(_meet(groups, k))
-        compared += met.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
-        old = graph.select("id", "other", "sim", F.lit(False).alias("fresh"))
-        graph = cut_lineage(_best(old.union(met.where("id >= 0").select("id", "other", "sim", F.lit(True))), k))
-
-    nearest = graph.groupBy(F.col("id").alias("vec_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other"))), lambda r: F.struct(r["other"].alias("id"), (-r["far"]).alias("sim"))).alias("neighbours"))
-    both = graph.select(F.col("id").alias("vec_id"), "other", F.lit(0).alias("turn")).union(graph.select(F.col("other").alias("vec_id"), F.col("id").alias("other"), F.lit(1).alias("turn")))
+    scaled(vectors, dims).write.parquet(f"{folder}/scaled")
+    held = spark.read.parquet(f"{folder}/scaled")
+    total, most = held.count(), max(1, min(FIT_ROWS, FIT_BYTES // max(4, 4 * dims)))
+    place = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 32))
+    some = held.where(place < F.lit((1 << 32) * most // max(1, total))).orderBy("vec_id").select("v").toArrow()["v"]  # about most rows
+    sample = _floats(some, len(some), dims)
+    lists = max(1, min(LISTS, int(4 * total**0.5), len(sample) // 16))
+    centres = _fit(sample, lists, seed) if len(sample) else np.zeros((1, dims), np.float32)
+    probes = _probes(sample, centres, k)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([*batch.columns, pa.array(_nearest(_floats(batch.column(1), batch.num_rows, dims), centres), pa.int32())], names=["vec_id", "v", "list"])
+
+    block = max(1, min(max(LEAST_BLOCK, -(-total // BLOCKS)), MOST_BLOCK, BLOCK_BYTES // max(4, 4 * dims)))
+    dealt = held.mapInArrow(listed, "vec_id long, v array<float>, list int")
+    sizes = np.zeros(len(centres), np.int64)
+    for r in dealt.groupBy("list").count().collect():  # at most LISTS rows
+        sizes[r["list"]] = r["count"]
+    starts = np.cumsum(sizes) - sizes
+    rows = [(i, c.tolist(), int(n), int(s // block) if n else -1, int((s + n - 1) // block) if n else -1) for i, (c, s, n) in enumerate(zip(centres, starts, sizes, strict=True))]
+    spark.createDataFrame(rows, "list int, centre array<float>, size long, first int, last int").coalesce(1).write.parquet(f"{folder}/centres")
+    # lists lie side by side, and a block is cut wherever it is full
+    start, size = (F.get(F.lit(x.tolist()), F.col("list")) for x in (starts, np.maximum(1, sizes)))
+    at = start + F.pmod(F.xxhash64(F.lit(seed), "vec_id"), size)
+    dealt.select("vec_id", "v", "list", F.floor(at / block).cast("int").alias("block")).write.parquet(f"{folder}/vectors")
+
+    index = NeighbourIndex(spark, folder, k, dims, probes, block, 0)
+    index._near(held, k).write.parquet(f"{folder}/near")
+    near = spark.read.parquet(f"{folder}/near")
+    compared = near.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
+    nearest = near.select(F.col("q").alias("vec_id"), F.transform("near", lambda n: F.struct(n["id"].alias("id"), (-n["far"]).cast("float").alias("sim"))).alias("neighbours"))
+    graph = nearest.select("vec_id", F.explode("neighbours.id").alias("other"))
+    both = graph.select("vec_id", "other", F.lit(0).alias("turn")).union(graph.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"), F.lit(1).alias("turn")))
     around = first_of(both.groupBy("vec_id", "other").agg(F.min("turn").alias("turn")), "vec_id", [F.asc("turn"), F.xxhash64("vec_id", "other")], 2 * k).groupBy("vec_id").agg(F.collect_list("other").alias("around"))
     around.join(nearest, "vec_id", "left").select("vec_id", F.coalesce("neighbours", F.array().cast("array<struct<id:long,sim:float>>")).alias("neighbours"), "around").write.parquet(f"{folder}/links")
-    first_of(by_code.select("table", "code", "vec_id", place.alias("at")), ["table", "code"], [F.asc("at")], LEAF).groupBy("table", "code").agg(F.collect_list("vec_id").alias("ids")).write.parquet(f"{folder}/leaves")
-    held.select("vec_id").orderBy(place).limit(ENTRIES).write.parquet(f"{folder}/entries")
-    about = spark.createDataFrame([(k, tables, bits, dims, seed, int(compared))], "k int, tables int, bits int, dims int, seed long, compared long")
+    about = spark.createDataFrame([(k, dims, probes, block, int(compared))], "k int, dims int, probes int, block int, compared long")
     about.coalesce(1).write.parquet(f"{folder}/about")
     return load(spark, folder)
 
@@ -223,4 +267,4 @@ def build(vectors: DataFrame, folder: str, k: int = 15, *, tables: int = 4, seed
 def load(spark: SparkSession, folder: str) -> NeighbourIndex:
     """An index that :func:`build` wrote; it was finished if its last table is there."""
     about = spark.read.parquet(f"{folder}/about").first()
-    return NeighbourIndex(spark, folder, about["k"], about["tables"], about["bits"], about["dims"], about["seed"], about["compared"])
+    return NeighbourIndex(spark, folder, about["k"], about["dims"], about["probes"], about["block"], about["compared"])

@@ -61,6 +61,25 @@ def test_neighbour_index_of_odd_and_few_vectors(spark, tmp_path):
     assert none.neighbours().count() == 0 and none.search(df, 3).count() == 0
 
 
+def test_neighbour_index_of_vectors_without_structure_takes_few_jobs(spark, tmp_path):
+    n, k = 3000, 10
+    x = np.random.default_rng(4).normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    spark.sparkContext.setJobGroup("index", "index")
+    try:
+        index = neighbour_index.build(vectors(spark, x), str(tmp_path / "index"), k=k)
+        found = index.search(vectors(spark, x).where("vec_id % 50 = 0"), k).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("index")) < 60
+    sims = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(sims, -np.inf)
+    true = np.argsort(-sims, axis=1)[:, :k]
+    graph = {r["vec_id"]: [e["id"] for e in r["neighbours"]] for r in index.neighbours().collect()}
+    assert np.mean([len(set(graph[i]) & set(true[i].tolist())) / k for i in range(n)]) >= 0.9
+    assert np.mean([r["vec_id"] in true[r["q"]] for r in found]) >= 0.9 and len(found) == 60 * k
+
+
 # --- lexical ------------------------------------------------------------------------------------------------------------------
 
 
