@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators.stages import first_of
+from corpuscope.operators.stages import first_of, stored
 
 #: Lists at most, and vectors that they are fitted on at most; both are fewer where vectors are long (FIT_BYTES).
 LISTS, FIT_ROWS, FIT_BYTES = 1024, 20_000, 16 << 20
@@ -220,6 +220,7 @@ def build(vectors: DataFrame, folder: str, k: int = 15, *, seed: int = 7) -> Nei
     that it is a neighbour of.
     """
     spark = vectors.sparkSession
+    vectors = stored(vectors.select("vec_id", "embedding"), "given-vectors")
     head = vectors.where(F.col("embedding").isNotNull()).orderBy("vec_id").select(F.size("embedding")).first()
     dims = head[0] if head else 0
     scaled(vectors, dims).write.parquet(f"{folder}/scaled")

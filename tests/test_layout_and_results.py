@@ -45,6 +45,29 @@ def test_layout_keeps_neighbours_and_places_new_vectors(spark, tmp_path):
     assert np.median(among) < 0.2 * np.linalg.norm(y - y.mean(axis=0), axis=1).mean()
 
 
+def test_a_round_of_the_layout_takes_few_jobs_and_encodes_once(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(200, 8))
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(v):
+        asked.add(1)
+        return v
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = neighbour_index.build(df.select("vec_id", counted("embedding").alias("embedding")), str(tmp_path / "i"))
+    assert asked.value == 200
+    jobs = {}
+    for rounds in (2, 6):
+        spark.sparkContext.setJobGroup(f"layout-{rounds}", "layout")
+        try:
+            made = layout.fit(index, str(tmp_path / f"l{rounds}"), rounds=rounds)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[rounds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"layout-{rounds}"))
+    assert made.positions().count() == 200 and (jobs[6] - jobs[2]) / 4 <= 5
+
+
 def test_layout_of_few_vectors(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     made = layout.fit(neighbour_index.build(df, str(tmp_path / "i")), str(tmp_path / "l"))
