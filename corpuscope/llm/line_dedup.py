@@ -4,7 +4,7 @@ Every line gets a normalised key; keys are hashed (128 bits) and the distinct do
 key reaches the threshold are dropped everywhere but in the smallest doc_id that holds it, and the rest is put together
 again by position. To find them, no line text is shuffled: one row per distinct (document, hash) is. To rebuild the texts, one
 array of dropped positions per document is joined to them, by broadcast where the checked size of all arrays allows it;
-beyond that the join shuffles every text once.
+beyond that the join shuffles every text once, unsorted.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         shared = keys.groupBy("h1", "h2", "doc").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.min("doc").alias("keep"), F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs).drop("docs")
     shared = written(shared, "line-shared")
     lost = join_skewed(keys, shared, ["h1", "h2"]).where("doc > keep").select("doc", "row", "places").distinct()
-    drops = hint_small(written(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("__drop")), "line-drops").withColumnsRenamed({"doc": "__doc", "row": "__row"}), weight="10 + size(__drop)")
+    # beyond a broadcast, each partition's drops (one row a document) are hashed, so texts stream by and are never held and sorted
+    drops = hint_small(written(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("__drop")), "line-drops").withColumnsRenamed({"doc": "__doc", "row": "__row"}), weight="10 + size(__drop)", beyond="shuffle_hash")
     plain = docs.drop("n_lines", "n_dropped", "__drop", "__doc", "__row")
     keyed = plain.withColumns({"__doc": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})
     joined = keyed.join(drops, ["__doc", "__row"], "left")

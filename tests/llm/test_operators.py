@@ -128,6 +128,19 @@ def test_line_dedup(docs, none):
     assert {r["n_dropped"] for r in line_dedup.dedup_lines(docs, min_docs=50).collect()} == {0}
 
 
+def test_line_dedup_beyond_a_broadcast_sorts_no_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a line that all share\nown line of document {i}") for i in range(40)] + [(40, None)], "doc_id long, text string")
+    small = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()}
+    hint = line_dedup.hint_small
+    monkeypatch.setattr(line_dedup, "hint_small", lambda table, **more: hint(table, most=0, **more))
+    out = line_dedup.dedup_lines(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()} == small
+    assert small[5] == ("own line of document 5", 2, 1) and small[0][2] == 0
+
+
+
 def test_substring_dedup(docs, none):
     first = {}
     for d, t in ids(corpus()):
