@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -87,9 +88,7 @@ class CountingEncoder:
     def weigh(self, texts: list[str]) -> list[dict[str, float]]:
         out = []
         for text in texts:
-            counts: dict[bytes, int] = {}
-            for w in text.encode().lower().split():
-                counts[w] = counts.get(w, 0) + 1
+            counts = Counter(text.encode().lower().split())
             out.append({w.decode(): 1 + math.log(n) for w, n in counts.items()})
         return out
 
@@ -101,7 +100,14 @@ def encode_sparse(rows: DataFrame, encoder: LexicalEncoder, key: str = "id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(at, BATCH_TEXTS)
-                made = [[(w, x) for w, x in found.items() if x > 0] for found in encoder.weigh([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.record_batch([part.column(0), pa.array(made, pa.map_(pa.string(), pa.float32()))], names=[key, "weights"])
+                words, weights, ends = [], [], [0]
+                for found in encoder.weigh([t or "" for t in part.column(1).to_pylist()]):
+                    if not all(x > 0 for x in found.values()):
+                        found = {w: x for w, x in found.items() if x > 0}
+                    words.extend(found)
+                    weights.extend(found.values())
+                    ends.append(len(words))
+                made = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), pa.array(weights, pa.float32()))
+                yield pa.record_batch([part.column(0), made], names=[key, "weights"])
 
     return rows.select(key, text).mapInArrow(run, T.StructType([rows.schema[key], T.StructField("weights", T.MapType(T.StringType(), T.FloatType()))]))

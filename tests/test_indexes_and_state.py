@@ -107,6 +107,29 @@ def test_lexical_search_equals_full_scoring_and_skips_blocks(spark, tmp_path):
     assert lexical.build(encoders.encode_sparse(docs.limit(0), encoder), str(tmp_path / "no")).search(ranked).count() == 0
 
 
+def test_lexical_search_reads_postings_once_whatever_the_blocks(spark, tmp_path):
+    r = random.Random(6)
+    texts = [" ".join(r.choices([f"c{i}" for i in range(300)], k=r.randint(5, 60))) for _ in range(2600)]
+    encoder = encoders.CountingEncoder()
+    encode = lambda rows: encoders.encode_sparse(spark.createDataFrame(rows, "id long, text string"), encoder)
+    # 16 documents a block: three shards; every query has words in all blocks
+    index = lexical.build(encode(list(enumerate(texts))), str(tmp_path / "lex"), block=16)
+    ranked = index.rarity(encode([(q, texts[q]) for q in range(20)]))
+    spark.sparkContext.setJobGroup("lexical", "lexical")
+    try:
+        found = index.search(ranked, 10).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lexical")) < 25
+    rnd = lambda v: int(np.floor(v + 0.5))
+    impacts = [{w: rnd(float(np.float32(x)) * 16) for w, x in d.items()} for d in encoder.weigh(texts)]
+    for row in ranked.collect():
+        weights = {w: rnd(float(x) * 100) for w, x in row["weights"].items()}
+        scores = [(sum(x * words.get(w, 0) for w, x in weights.items()), -i) for i, words in enumerate(impacts)]
+        want = [(-i, s) for s, i in sorted(scores, reverse=True)[:10]]
+        assert sorted(((x["id"], x["score"]) for x in found if x["q"] == row["id"]), key=lambda e: (-e[1], e[0])) == want
+
+
 # --- versioned tables -----------------------------------------------------------------------------------------------------------
 
 
