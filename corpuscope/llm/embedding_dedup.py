@@ -5,8 +5,8 @@ could share a neighbour with (the bisector of two centroids bounds how near a ve
 asymmetric table lookups on the codes that its members carry (a code's own error bounds how wrong the estimate is), and what
 passes is ranked again by the exact cosine. Both bounds are safe, so quantisation costs time but no link.
 
-Equal vectors are one class from the start. A list is worked on in pairs of blocks of bounded size, each of which returns
-link counts and a spanning forest of its links, not the links.
+Equal vectors are one class from the start. The lists of a label are cut in blocks of bounded size and every vector travels once a
+block, however many lists it visits there; each pair of blocks returns link counts and a spanning forest of its links, not the links.
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import bounded_sample, hint_small, join_skewed, slices, written
 from corpuscope.llm.components import components
 
-#: Vectors the index is fitted on, at most; vectors of one block.
-FIT_ROWS, BLOCK = 20_000, 1024
+#: Vectors the index is fitted on, at most; vectors of one block, and bytes of them in double precision.
+FIT_ROWS, BLOCK, BLOCK_BYTES = 20_000, 8192, 16 << 20
 
 
 @dataclass
@@ -89,42 +88,37 @@ def _unit(column: pa.Array) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 
-def _route(quantiser, reach: float):
-    """Each vector as member of its own list, and as visitor of the other lists it could have a neighbour in."""
+def _assign(quantiser):
+    """Each vector with the list of its nearest centroid, its code, and what the code loses of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = quantiser.value
-        between = np.sqrt(q.assign(q.coarse)[0])
         for batch in slices(batches, 2048):
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column(3))
-            d, near = q.assign(x)
-            own = d[np.arange(len(x)), near]
-            # a vector of list c within reach of x: the bisector of c and x's own centroid is no farther than that
-            could = (d - own[:, None]) <= 2 * reach * between[near] + 1e-9
-            could &= np.arange(len(q.coarse))[None] <= near[:, None]  # each pair of lists meets once, in the one of smaller number
-            row, lists = np.nonzero(could)
-            taken = [c.take(pa.array(row)) for c in batch.columns]
-            codes, lost = q.code(x, near)
-            member = pa.array(lists == near[row])
-            of_members = [pc.if_else(member, c.take(pa.array(row)), None) for c in (pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost))]
-            yield pa.record_batch([*taken, pa.array(lists, pa.int32()), member, *of_members], names=[*batch.schema.names, "list", "member", "codes", "lost"])
+            if batch.num_rows:
+                x = _unit(batch.column(3))
+                near = q.assign(x)[1]
+                codes, lost = q.code(x, near)
+                yield pa.record_batch([*batch.columns, pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost)], names=[*batch.schema.names, "list", "codes", "lost"])
 
     return run
 
 
+def _could(q: Quantiser, x: np.ndarray, near: np.ndarray, reach: float) -> np.ndarray:
+    """Which lists could hold a neighbour of each vector: the bisector of such a centroid and its own is no farther than ``reach``."""
+    between = np.sqrt(q.assign(q.coarse)[0])
+    d = q.assign(x)[0]
+    return (d - d[np.arange(len(x)), near][:, None]) <= 2 * reach * between[near] + 1e-9
+
+
 def _compare(quantiser, least: float, reach: float):
-    """One pair of blocks of a list: for each vector the weighted number of its links, and links that join all it finds."""
+    """One pair of blocks of a label: for each vector the weighted number of its links, and links that join all it finds."""
 
     def run(table: pa.Table) -> pa.Table:
         q: Quantiser = quantiser.value
-        side, cid, weight, member = (table[c].to_numpy() for c in ("side", "cid", "weight", "member"))
-        x, coarse, same = _unit(table["embedding"].combine_chunks()), table["list"][0].as_py(), table["same"][0].as_py()
-        held = table["member"].combine_chunks()
-        codes, lost = np.zeros((len(cid), len(q.books)), np.uint8), np.zeros(len(cid))
-        codes[member] = np.frombuffer(b"".join(table["codes"].combine_chunks().filter(held).to_pylist()), np.uint8).reshape(-1, len(q.books))
-        lost[member] = table["lost"].combine_chunks().filter(held).to_numpy()
+        side, cid, weight, near = (table[c].to_numpy() for c in ("side", "cid", "weight", "list"))
+        x, same = _unit(table["embedding"].combine_chunks()), table["same"][0].as_py()
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(-1, len(q.books))
+        lost = table["lost"].to_numpy()
         links: dict[int, int] = {}
         parent: dict[int, int] = {}
         forest: list[tuple[int, int]] = []
@@ -134,7 +128,7 @@ def _compare(quantiser, least: float, reach: float):
                 parent[v] = v = parent.get(parent[v], parent[v])
             return v
 
-        def scan(queries: np.ndarray, among: np.ndarray, ordered: bool) -> None:
+        def scan(queries: np.ndarray, among: np.ndarray, coarse: int, ordered: bool) -> None:
             for at in range(0, len(queries), 256):
                 part = queries[at : at + 256]
                 i, j = np.nonzero(q.estimate(x[part], codes[among], coarse) <= reach + lost[among][None] + 1e-9)
@@ -150,13 +144,17 @@ def _compare(quantiser, least: float, reach: float):
                         parent[max(ru, rv)] = min(ru, rv)
                         forest.append((u, v))
 
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if same:
-            scan(left[member[left]], left[member[left]], True)
-            scan(left[~member[left]], left[member[left]], False)
-        else:
-            scan(left, right[member[right]], False)
-            scan(right[~member[right]], left[member[left]], False)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        for at in range(0, len(left), 2048):
+            some = left[at : at + 2048]
+            could = _could(q, x[some], near[some], reach)
+            for coarse in np.unique(near[right]):
+                asking, among = some[could[:, coarse]], right[near[right] == coarse]
+                if same:  # each pair of lists meets once, in the one of smaller number
+                    scan(asking[near[asking] == coarse], among, coarse, True)
+                    scan(asking[near[asking] > coarse], among, coarse, False)
+                else:
+                    scan(asking, among, coarse, False)
         rows = [(k, None, n) for k, n in links.items()] + [(u, v, 0) for u, v in forest]
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -193,14 +191,18 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.98, fit_rows: int
         quantiser = spark.sparkContext.broadcast(fit_quantiser(_unit(sample.combine_chunks()), lists))
         base = part.select("label", "cid", "weight", "embedding")
         kinds = ", ".join(f"{n} {t}" for n, t in base.dtypes)
-        routed = written(base.mapInArrow(_route(quantiser, reach), f"{kinds}, list int, member boolean, codes binary, lost double"), "routed")
-        # members and visitors of a list are dealt to blocks of bounded size; every pair of blocks meets in a group of its own
-        sizes = routed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = routed.join(hint_small(written(sizes, "list-sizes")), ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
+        routed = written(base.mapInArrow(_assign(quantiser), f"{kinds}, list int, codes binary, lost double"), "routed")
+        # lists of a label lie side by side and are cut in blocks of bounded size; every pair of a label's blocks meets in a group of its own
+        most = max(1, min(BLOCK, BLOCK_BYTES // (8 * dims)))
+        of_list = written(routed.groupBy("label", "list").agg(F.count("*").alias("n")), "list-sizes")
+        by_list = Window.partitionBy("label").orderBy("list")
+        starts = of_list.select("label", "list", (F.sum("n").over(by_list) - F.col("n")).alias("start"), F.col("n").alias("size"), F.ceil(F.sum("n").over(Window.partitionBy("label")) / most).cast("int").alias("blocks"))
+        place = F.col("start") + F.pmod(F.xxhash64("cid", F.lit("block")), F.col("size"))
+        dealt = routed.join(hint_small(written(starts, "list-starts")), ["label", "list"]).withColumn("block", F.floor(place / most).cast("int"))
         pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "label", "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"), "member", "codes", "lost", "cid", "weight", "embedding"
+            "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"), "list", "codes", "lost", "cid", "weight", "embedding"
         )
-        new = written(pairs.groupBy("label", "list", "i", "j").applyInArrow(_compare(quantiser, least, reach), "a long, b long, n long"), "vector-links")
+        new = written(pairs.groupBy("label", "i", "j").applyInArrow(_compare(quantiser, least, reach), "a long, b long, n long"), "vector-links")
         found = new if found is None else found.union(new)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

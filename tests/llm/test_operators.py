@@ -803,3 +803,26 @@ def test_sentencepiece_falls_back_to_whole_texts():
     c.encode(texts)
     c.known["odd"] = c.known["odd"] * 2
     assert c.encode_aligned(texts) == right
+
+
+def test_embedding_dedup_ships_a_vector_once_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    x[150:] = x[:150] * 2 + 0.02 * rng.normal(size=(150, 16))
+    shipped = {}
+    plain = embedding_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        shipped[name] = out.count()
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "written", counted)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert shipped["routed"] == 300
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (np.arange(300)[:, None] % 2 == np.arange(300)[None] % 2)
+    np.fill_diagonal(linked, False)
+    assert got == dict(enumerate(linked.sum(axis=1).tolist())) and linked.sum() > 100
