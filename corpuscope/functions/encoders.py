@@ -35,14 +35,14 @@ class HashingEncoder:
     name: str = "hashing"
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            counts: dict[str, int] = {}
-            for w in text.lower().split():
-                counts[w] = counts.get(w, 0) + 1
-            for w, n in counts.items():
-                h = zlib.crc32(w.encode())
-                out[i, h % self.dim] += (1 if h >> 31 else -1) * (1 + math.log(n))
+        counted = [Counter(text.lower().split()) for text in texts]
+        sizes = [len(c) for c in counted]
+        hashes = np.fromiter((zlib.crc32(w.encode()) for c in counted for w in c), np.int64, sum(sizes))
+        times, where = np.unique(np.fromiter((n for c in counted for n in c.values()), np.int64, sum(sizes)), return_inverse=True)
+        weights = np.where(hashes >> 31, 1.0, -1.0) * np.array([1 + math.log(n) for n in times.tolist()])[where]
+        at = hashes % self.dim + np.repeat(np.arange(len(texts)) * self.dim, sizes)
+        # sums in the order of the words, as one by one
+        out = np.bincount(at, weights, len(texts) * self.dim).reshape(len(texts), self.dim)
         length = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(length > 0, length, 1)
 

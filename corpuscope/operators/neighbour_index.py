@@ -2,7 +2,8 @@
 
 Vectors go to coarse lists, those of like direction together; a vector is compared with the members of the lists nearest to it.
 How many lists that takes is measured on a sample, against all of the sample. Slices of the queries meet blocks of lists in
-groups of bounded bytes, each of which returns its best few, so an index takes the same few Spark jobs whatever its size.
+groups of bounded bytes, so an index takes the same few Spark jobs whatever its size. Each query meets the block around it
+first; from the others only what comes near enough to be among its best returns.
 The links of all vectors, each to its nearest others and some that it is near to, are stored beside it as a graph.
 """
 
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from corpuscope.operators.stages import first_of, stored
 
 #: Lists at most, and vectors that they are fitted on at most; both are fewer where vectors are long (FIT_BYTES).
-LISTS, FIT_ROWS, FIT_BYTES = 1024, 20_000, 16 << 20
+LISTS, FIT_ROWS, FIT_BYTES = 4096, 1 << 16, 16 << 20
 #: Share of the sample's neighbours that the lists of a search must hold, and vectors of the sample that ask; a search of k asks lists of ENOUGH times k members.
 FOUND, ASKING, ENOUGH = 0.96, 512, 4
 #: A table is cut in about so many blocks of at least and at most so many vectors, of no more bytes.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 8, 1024, 1 << 16, 32 << 20
-#: Queries that a task compares at once.
-CHUNK = 2048
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 8, 1024, 1 << 17, 32 << 20
+#: Groups in which queries meet members are dealt to so many tasks at most.
+TASKS = 1000
+#: Queries that a task compares at once, and how far similarities of the same two vectors may lie apart by rounding.
+CHUNK, ROUNDING = 2048, 1e-5
 
 NEAR = "array<struct<far:double,id:long>>"
 
@@ -79,6 +82,15 @@ def _fit(sample: np.ndarray, lists: int, seed: int, rounds: int = 6) -> np.ndarr
     return centres
 
 
+def _side_by_side(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order in which those of like direction lie near each other: halved along their principal axis, over and over."""
+    if len(centres) <= 2:
+        return centres
+    about = centres - centres.mean(axis=0)
+    order = np.argsort(about @ np.linalg.eigh(about.T @ about)[1][:, -1], kind="stable")
+    return np.concatenate([_side_by_side(centres[half]) for half in np.array_split(order, 2)])
+
+
 def _probes(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
     """How many of the lists nearest to a vector hold the share FOUND of its ``k`` nearest in the sample."""
     if len(sample) < 2 or len(centres) < 2:
@@ -110,50 +122,81 @@ def _asked(d: np.ndarray, probes: int, sizes: np.ndarray, k: int) -> np.ndarray:
 
 def _best(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Of pairs in columns, the ``k`` of each row with the greatest sims, ties to smaller ids."""
-    order = np.lexsort((ids, -sims, rows))
+    place = 4 * rows - sims.astype(np.float64)  # sims of vectors of length 1
+    order = np.argsort(place)
+    if (tied := np.flatnonzero(np.diff(place[order]) == 0)).size:
+        alike = np.unique(np.concatenate([tied, tied + 1]))
+        order[alike] = order[alike][np.lexsort((ids[order[alike]], place[order[alike]]))]
     rows = rows[order]
     first = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
     kept = order[first]
     return rows[first], ids[kept], sims[kept], at[kept]
 
 
-def _meet(centres: np.ndarray, sizes: np.ndarray, probes: int, k: int):
-    """A slice of queries and a block of members: of each query the best ``k`` in the lists that it asks, and how many it was compared with."""
+def _binary(bits: np.ndarray) -> pa.Array:
+    """Rows of bytes as an array of binary values."""
+    bits = np.ascontiguousarray(bits)
+    return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(np.arange(0, bits.size + 1, max(1, bits.shape[1]), dtype=np.int32)), pa.py_buffer(bits)])
+
+
+def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _meet(dims: int, k: int, skipped: np.ndarray, passed: tuple[str, ...] = ()):
+    """A slice of queries and a block of members: of each query the best ``k`` in the lists that it asks, and how many it was compared with.
+
+    ``asks`` has a bit for each list that a query asks, after the first 8 ``skipped`` of its block; pairs less alike than ``least``
+    are left out. The columns ``passed`` of the queries return with what was found, and with ``least`` as it is known then.
+    """
 
     def run(asking: pa.Table, members: pa.Table) -> pa.Table:
-        dims, found = centres.shape[1], []
         held = members["list"].to_numpy()
         order = np.argsort(held, kind="stable")
         names, x = members["vec_id"].to_numpy()[order], _floats(members["v"], len(held), dims)[order]
-        lists, starts = np.unique(held[order], return_index=True)
-        ends = [*starts[1:], len(held)]
-        qs, a = asking["q"].to_numpy(), _floats(asking["v"], asking.num_rows, dims)
-        for lo in range(0, len(qs) if len(held) else 0, CHUNK):
-            q, y = qs[lo : lo + CHUNK], a[lo : lo + CHUNK]
-            ask = _asked(_apart(y, centres), probes, sizes, k)[:, lists]
-            least, compared = np.full(len(q), -np.inf, np.float32), ask @ np.diff([*starts, len(held)])
+        there, starts = np.unique(held[order], return_index=True)
+        ends, found = np.append(starts[1:], len(held)), []
+        asking = asking.sort_by("list")  # so that those compared at once ask much the same lists
+        for lo in range(0, asking.num_rows if len(held) else 0, CHUNK):
+            part = asking.slice(lo, CHUNK)
+            q, y = part["q"].to_numpy(), _floats(part["v"], part.num_rows, dims)
+            least = part["least"].to_numpy().copy()
+            ask = np.unpackbits(_bits(part["asks"]), axis=1).view(bool)[:, there - 8 * skipped[part["block"][0].as_py()]]
+            compared = ask @ (ends - starts)
+            # one more than k, as the query may be there itself
+            bound = lambda near: np.partition(near, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1] - ROUNDING
+            nearest = part["list"].to_numpy()
+            for i in np.flatnonzero(np.isin(there, nearest) & (ends - starts > 4 * k)):  # the list nearest to a query bounds its best
+                rows = np.flatnonzero(ask[:, i] & (nearest == there[i]) & np.isneginf(least))
+                least[rows] = bound(y[rows] @ x[starts[i] : ends[i]].T)
             best, more, waiting = None, [], 0
             for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
                 rows = np.flatnonzero(ask[:, i])
                 near = y[rows] @ x[s:e].T
-                r, c = np.nonzero(near >= least[rows][:, None])
-                more.append((rows[r], names[s + c], near[r, c], s + c))
-                waiting += len(r)
-                if more and (waiting > 4 * k * len(q) or i + 1 == len(lists)):
+                new = np.flatnonzero(np.isneginf(least[rows]))
+                if e - s > 4 * k and len(new):
+                    least[rows[new]] = bound(near[new])
+                at = np.flatnonzero(near >= least[rows][:, None])
+                r, c = at // (e - s), at % (e - s)
+                more.append((rows[r], names[s + c], near.ravel()[at], s + c))
+                waiting += len(at)
+                if waiting > 4 * k * len(q) or i + 1 == len(starts):
                     best = [np.concatenate(c) for c in zip(*([best] if best else []), *more, strict=True)]
                     other = best[1] != q[best[0]]
                     best = _best(*[c[other] for c in best], k)
                     n = np.bincount(best[0], minlength=len(q))
                     last = (np.cumsum(n) - 1)[n == k]
-                    least[n == k] = best[2][last]
+                    least[n == k] = np.maximum(least[n == k], best[2][last] - ROUNDING)
                     more, waiting = [], 0
             rows, ids, _, at = best
             exact = np.einsum("ij,ij->i", y[rows].astype(np.float64), x[at].astype(np.float64))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(q)))]).astype(np.int32)
             near = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids.astype(np.int64))], ["far", "id"]))
-            found.append(pa.table({"q": pa.array(q), "near": near, "compared": pa.array(compared.astype(np.int64))}))
-        schema = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))), ("compared", pa.int64())])
-        return pa.concat_tables(found) if found else schema.empty_table()
+            found.append(pa.table({**{c: part[c] for c in ("q", *passed)}, "least": pa.array(least), "near": near, "compared": pa.array(compared.astype(np.int64))}))
+        if found:
+            return pa.concat_tables(found)
+        near = pa.array([[]] * asking.num_rows, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))
+        return pa.table({**{c: asking[c] for c in ("q", *passed)}, "least": asking["least"], "near": near, "compared": pa.array(np.zeros(asking.num_rows, np.int64))})
 
     return run
 
@@ -189,26 +232,68 @@ class NeighbourIndex:
         return found.select("q", F.explode("near").alias("n"), "compared").select("q", F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("sim"), "compared")
 
     def _near(self, asking: DataFrame, k: int) -> DataFrame:
-        """``q, near, compared`` of ``asking(vec_id, v)``: structs (far, id), nearest first."""
+        """``q, near, compared`` of ``asking(vec_id, v)``: structs (far, id), nearest first.
+
+        A query first meets the block that holds the list nearest to it. What it found there bounds what can still be among its
+        best, so the groups in which it meets the others return little.
+        """
         at = self.table("centres").orderBy("list").toArrow()  # at most LISTS rows
         centres = _floats(at["centre"], at.num_rows, self.dims)
         sizes, first, last = (at[c].to_numpy() for c in ("size", "first", "last"))
-        probes, blocks = self.probes, int(last.max(initial=-1)) + 1
+        probes, blocks, dims = self.probes, int(last.max(initial=-1)) + 1, self.dims
+        schema = "q long, v array<float>, list int, block int, asks binary, least float"
+        if not blocks:
+            return asking.limit(0).select(F.col("vec_id").alias("q"), F.array().cast(NEAR).alias("near"), F.lit(0).cast("long").alias("compared"))
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lies = (first[:, None] <= np.arange(blocks)) & (np.arange(blocks) <= last[:, None])
             for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
-                ask = _asked(_apart(_floats(batch.column(1), batch.num_rows, centres.shape[1]), centres), probes, sizes, k)
-                row, to = np.nonzero(ask.astype(np.float32) @ lies.astype(np.float32) > 0)
-                yield pa.record_batch([*(c.take(pa.array(row)) for c in batch.columns), pa.array(to, pa.int32())], names=["q", "v", "block"])
+                apart = _apart(_floats(batch.column(1), batch.num_rows, dims), centres)
+                asks = _binary(np.packbits(_asked(apart, probes, sizes, k), axis=1))
+                apart[:, sizes == 0] = np.inf
+                home = apart.argmin(axis=1)
+                least = pa.array(np.full(len(home), -np.inf, np.float32))
+                yield pa.record_batch([*batch.columns, pa.array(home, pa.int32()), pa.array(first[home], pa.int32()), asks, least], names=["q", "v", "list", "block", "asks", "least"])
+
+        # bytes of the bits of the lists that lie in a block
+        lies = (first[:, None] <= np.arange(blocks)) & (np.arange(blocks) <= last[:, None])
+        lo, hi = lies.argmax(axis=0) // 8, (len(first) - 1 - lies[::-1].argmax(axis=0)) // 8 + 1
+
+        def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
+                bits = _bits(batch.column(4))
+                ask = np.unpackbits(bits, axis=1, count=len(first)).astype(np.float32) @ lies.astype(np.float32) > 0
+                ask[np.arange(len(ask)), batch.column(3).to_numpy()] = False
+                for block in np.flatnonzero(ask.any(axis=0)):
+                    rows = np.flatnonzero(ask[:, block])
+                    q, v, near, _, _, least = (c.take(pa.array(rows)) for c in batch.columns)
+                    yield pa.record_batch([q, v, near, pa.array(np.full(len(rows), block, np.int32)), _binary(bits[rows, lo[block] : hi[block]]), least], names=batch.schema.names)
+
+        asked = stored(asking.mapInArrow(routed, schema), "asked")
+        count = {r["block"]: r["count"] for r in asked.groupBy("block").count().collect()}
+        members, piece = self.table("vectors"), F.xxhash64("q")
+
+        def met(left: DataFrame, right: DataFrame, groups: int, skipped: np.ndarray, passed: tuple[str, ...], result: str) -> DataFrame:
+            tasks = max(min(groups, TASKS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))  # work goes with pairs, not with bytes
+            left, right = (df.repartition(tasks, "slice", "block").groupBy("slice", "block") for df in (left, right))
+            return left.cogroup(right).applyInArrow(_meet(dims, k, skipped, passed), f"{result}, near {NEAR}, compared long")
+
+        pieces = [-(-4 * count.get(b, 0) // self.block) for b in range(blocks)]
+        slices = F.get(F.lit(pieces), F.col("block")).cast("int")
+        left = asked.withColumn("slice", F.pmod(piece, slices).cast("int"))
+        right = members.where(slices > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+        found = met(left, right, sum(pieces), np.zeros(blocks, int), ("v", "list", "block", "asks"), schema)
+        best = F.slice(F.sort_array("near"), 1, k).alias("near")
+        if blocks == 1:
+            return found.select("q", best, "compared")
+        found = stored(found, "found")
+        parts = max(1, -(-sum(count.values()) // self.block))
+        left = found.select("q", "v", "list", "block", "asks", "least").mapInArrow(elsewhere, schema).withColumn("slice", F.pmod(piece, F.lit(parts)).cast("int"))
+        right = members.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        more = met(left, right, parts * blocks, lo, (), "q long, least float")
+        # a query has k entries at most for each of the blocks
+        both = found.select("q", "near", "compared").union(more.select("q", "near", "compared"))
+        return both.groupBy("q").agg(F.flatten(F.collect_list("near")).alias("near"), F.sum("compared").alias("compared")).select("q", best, "compared")
 
-        slices = max(1, -(-asking.count() // self.block))
-        of = F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int").alias("slice")
-        left = asking.mapInArrow(routed, "q long, v array<float>, block int").select(of, "block", "q", "v")
-        right = self.table("vectors").select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "vec_id", "v", "list")
-        met = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(_meet(centres, sizes, probes, k), f"q long, near {NEAR}, compared long")
-        # a query has k entries for each of the blocks
-        return met.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("compared").alias("compared"))
 
 
 def build(vectors: DataFrame, folder: str, k: int = 15, *, seed: int = 7) -> NeighbourIndex:
@@ -230,7 +315,7 @@ def build(vectors: DataFrame, folder: str, k: int = 15, *, seed: int = 7) -> Nei
     some = held.where(place < F.lit((1 << 32) * most // max(1, total))).orderBy("vec_id").select("v").toArrow()["v"]  # about most rows
     sample = _floats(some, len(some), dims)
     lists = max(1, min(LISTS, int(4 * total**0.5), len(sample) // 16))
-    centres = _fit(sample, lists, seed) if len(sample) else np.zeros((1, dims), np.float32)
+    centres = _side_by_side(_fit(sample, lists, seed)) if len(sample) else np.zeros((1, dims), np.float32)
     probes = _probes(sample, centres, k)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +341,15 @@ def build(vectors: DataFrame, folder: str, k: int = 15, *, seed: int = 7) -> Nei
     near = spark.read.parquet(f"{folder}/near")
     compared = near.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]
     nearest = near.select(F.col("q").alias("vec_id"), F.transform("near", lambda n: F.struct(n["id"].alias("id"), (-n["far"]).cast("float").alias("sim"))).alias("neighbours"))
-    graph = nearest.select("vec_id", F.explode("neighbours.id").alias("other"))
-    both = graph.select("vec_id", "other", F.lit(0).alias("turn")).union(graph.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"), F.lit(1).alias("turn")))
-    around = first_of(both.groupBy("vec_id", "other").agg(F.min("turn").alias("turn")), "vec_id", [F.asc("turn"), F.xxhash64("vec_id", "other")], 2 * k).groupBy("vec_id").agg(F.collect_list("other").alias("around"))
-    around.join(nearest, "vec_id", "left").select("vec_id", F.coalesce("neighbours", F.array().cast("array<struct<id:long,sim:float>>")).alias("neighbours"), "around").write.parquet(f"{folder}/links")
+    graph = nearest.select(F.explode("neighbours.id").alias("vec_id"), F.col("vec_id").alias("other"))
+    # of those that a vector is near to, 2 k hold enough that are not its own neighbours
+    towards = first_of(graph.withColumn("place", F.xxhash64("vec_id", "other")), "vec_id", [F.asc("place"), F.asc("other")], 2 * k)
+    towards = towards.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("place", "other")))["other"].alias("towards"))
+    none = F.array().cast("array<long>")
+    own, others = F.coalesce("neighbours.id", none), F.coalesce("towards", none)
+    around = F.slice(F.concat(own, F.array_except(others, own)), 1, 2 * k).alias("around")
+    linked = nearest.join(towards, "vec_id", "full").where(F.size(own) + F.size(others) > 0)
+    linked.select("vec_id", F.coalesce("neighbours", F.array().cast("array<struct<id:long,sim:float>>")).alias("neighbours"), around).write.parquet(f"{folder}/links")
     about = spark.createDataFrame([(k, dims, probes, block, int(compared))], "k int, dims int, probes int, block int, compared long")
     about.coalesce(1).write.parquet(f"{folder}/about")
     return load(spark, folder)

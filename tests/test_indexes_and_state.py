@@ -61,6 +61,25 @@ def test_neighbour_index_of_odd_and_few_vectors(spark, tmp_path):
     assert none.neighbours().count() == 0 and none.search(df, 3).count() == 0
 
 
+def test_a_query_s_best_in_one_block_bound_what_the_others_return(spark, tmp_path):
+    """All pairs of a small k are the same as by brute force, and blocks other than a query's own return only what is above its bound."""
+    n, k = 4000, 5
+    x = planted(n, 24, 40, seed=6)
+    index = neighbour_index.build(vectors(spark, x), str(tmp_path / "index"), k=k)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    found = spark.read.parquet(f"file://{max(glob.glob(f'{shared}/found-*'), key=os.path.getmtime)}")
+    sims = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(sims, -np.inf)
+    kth = -np.sort(-sims, axis=1)[:, k - 1]
+    for r in found.collect():
+        assert r["least"] <= kth[r["q"]] + 1e-6  # no pair of the best is left out
+        assert len(r["near"]) <= k and all(abs(-e["far"] - sims[r["q"], e["id"]]) < 1e-5 for e in r["near"])
+    assert found.where("least > -1").count() > 0.9 * n and index.neighbours().count() == n
+    rows, ids = np.array([1, 0, 1, 1, 0, 1]), np.array([9, 5, 3, 4, 2, 7])
+    best = neighbour_index._best(rows, ids, np.array([0.5, 0.1, 0.5, 0.9, 0.1, 0.5], np.float32), np.arange(6), 3)
+    assert [c.tolist() for c in (best[0], best[1], best[3])] == [[0, 0, 1, 1, 1], [2, 5, 4, 3, 7], [4, 1, 3, 2, 5]]
+
+
 def test_neighbour_index_of_vectors_without_structure_takes_few_jobs(spark, tmp_path):
     n, k = 3000, 10
     x = np.random.default_rng(4).normal(size=(n, 64))

@@ -1,5 +1,7 @@
 """The layout of the neighbour graph, sentiment, and what is done with results."""
 
+import glob
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import PCA
@@ -68,6 +70,33 @@ def test_a_round_of_the_layout_takes_few_jobs_and_encodes_once(spark, tmp_path):
     assert made.positions().count() == 200 and (jobs[6] - jobs[2]) / 4 <= 5
 
 
+def test_rounds_move_packed_positions_and_equal_serial_ones(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(1500, 8))
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = neighbour_index.build(df, str(tmp_path / "i"), k=5)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, rounds, at = set(glob.glob(f"{shared}/layout-turn-*")), 3, {}
+    for n in (0, rounds):
+        made = layout.fit(index, str(tmp_path / f"l{n}"), rounds=n)
+        at[n] = np.array([(r["x"], r["y"]) for r in made.positions().orderBy("vec_id").collect()])
+    # neither a row for each link nor one for each vector is written in a round
+    turns = set(glob.glob(f"{shared}/layout-turn-*")) - before
+    assert len(turns) >= rounds and max(spark.read.parquet(f"file://{t}").count() for t in turns) < 100
+    links = [np.array(r["around"]) // 3 for r in index.table("links").orderBy("vec_id").collect()]
+    y = at[0]
+    for turn in range(rounds):
+        chosen = [r["vec_id"] // 3 for r in df.orderBy(F.xxhash64(F.lit(turn), F.lit(7), "vec_id")).limit(layout.SAMPLE).collect()]
+        new = y.copy()
+        for i, around in enumerate(links):
+            to, away = y[around] - y[i], y[i] - y[chosen]
+            far = (away * away).sum(axis=1, keepdims=True)
+            pull = (2 * to / (1 + (to * to).sum(axis=1, keepdims=True))).sum(axis=0)
+            push = np.clip(2 * away / ((1e-3 + far) * (1 + far)), -4, 4).mean(axis=0) * layout.REPELLING
+            new[i] += layout.STEP * (1 - turn / rounds) * np.clip(pull + push * len(around) / 2, -layout.MOST_MOVE, layout.MOST_MOVE) / len(around)
+        y = new
+    assert np.allclose(at[rounds], y, atol=1e-3)
+
+
 def test_layout_of_few_vectors(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     made = layout.fit(neighbour_index.build(df, str(tmp_path / "i")), str(tmp_path / "l"))

@@ -1,6 +1,8 @@
 """Plans, restarts, pictures, encoders and lookups of the core."""
 
+import math
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -86,6 +88,15 @@ def test_encoders(spark):
     assert not any(vectors[2]) and abs(sum(x * x for x in vectors[3]) - 1) < 1e-6
     assert np.allclose(vectors[1], encoders.encode_query(e, "two one two"), atol=1e-6)
     assert encoders.encode_texts(rows.limit(0), e).count() == 0
+    # sums are taken word by word
+    texts, want = ["b a\tB c a b", "", "x", "ß ẞ İ é\u2003é"], np.zeros((4, 64))
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        for w in dict.fromkeys(words):
+            h = zlib.crc32(w.encode())
+            want[i, h % 64] += (1 if h >> 31 else -1) * (1 + math.log(words.count(w)))
+    length = np.sqrt((want * want).sum(1, keepdims=True))
+    assert np.array_equal(e.encode(texts), want / np.where(length > 0, length, 1)) and e.encode([]).shape == (0, 64)
 
     class Wrong:
         name, dim = "wrong", 3
