@@ -27,8 +27,9 @@ FOUND, ASKING, ENOUGH = 0.96, 512, 4
 BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 8, 1024, 1 << 17, 32 << 20
 #: Groups in which queries meet members are dealt to so many tasks at most.
 TASKS = 1000
-#: Queries that a task compares at once, and how far similarities of the same two vectors may lie apart by rounding.
-CHUNK, ROUNDING = 2048, 1e-5
+#: Queries and members of a list that a task compares at once, and how far similarities of
+#: the same two vectors may lie apart by rounding.
+CHUNK, MEMBERS, ROUNDING = 2048, 2048, 1e-5
 
 NEAR = "array<struct<far:double,id:long>>"
 
@@ -154,8 +155,10 @@ def _meet(dims: int, k: int, skipped: np.ndarray, passed: tuple[str, ...] = ()):
         held = members["list"].to_numpy()
         order = np.argsort(held, kind="stable")
         names, x = members["vec_id"].to_numpy()[order], _floats(members["v"], len(held), dims)[order]
-        there, starts = np.unique(held[order], return_index=True)
-        ends, found = np.append(starts[1:], len(held)), []
+        there, n = np.unique(held[order], return_counts=True)
+        tiles = -(-n // MEMBERS)  # long lists come in several
+        starts = np.repeat(np.cumsum(n) - n, tiles) + MEMBERS * (np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles))
+        there, ends, found = np.repeat(there, tiles), np.append(starts[1:], len(held)), []
         asking = asking.sort_by("list")  # so that those compared at once ask much the same lists
         for lo in range(0, asking.num_rows if len(held) else 0, CHUNK):
             part = asking.slice(lo, CHUNK)

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,18 @@ def test_labels_of_an_empty_map(spark):
     for extent in (None, 0.0):
         meta = spark.createDataFrame([(extent,) * 4 + (1,)], "x_min double, x_max double, y_min double, y_max double, lod_levels int")
         assert labels.pick_labels(df, df.select(F.lit(0).alias("lod"), "id"), meta, zooms=1).count() == 0
+
+
+def test_long_lists_are_compared_in_tiles(monkeypatch):
+    """A list longer than a tile gives the same best as brute force."""
+    monkeypatch.setattr(neighbour_index, "MEMBERS", 100)
+    x, k = planted(1000, 16, 20, seed=8), 5
+    lists = np.where(np.arange(1000) < 730, 0, 2).astype(np.int32)
+    members = pa.table({"vec_id": np.arange(1000), "v": neighbour_index._lists(x), "list": lists})
+    asks = np.packbits(np.array([[True, False, True]] * 1000), axis=1)
+    asking = pa.table({"q": np.arange(1000), "v": neighbour_index._lists(x), "list": lists, "block": np.zeros(1000, np.int32), "asks": neighbour_index._binary(asks), "least": np.full(1000, -np.inf, np.float32)})
+    found = neighbour_index._meet(16, k, np.zeros(1, int))(asking, members)
+    sims = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(sims, -np.inf)
+    for q, near, compared in zip(*(found[c].to_pylist() for c in ("q", "near", "compared")), strict=True):
+        assert compared == 1000 and {e["id"] for e in near} == set(np.argsort(-sims[q])[:k].tolist())
